@@ -144,12 +144,12 @@ def _flipped(rounded: DataFrame) -> DataFrame:
     gap = F.abs(F.col("size") - F.abs("missing"))
     best = r.join(m, F.col("r.source").eqNullSafe(F.col("m.source"))).filter(able & (gap < F.abs("missing")))
     best = best.groupBy("r.source").agg(F.min(F.struct(gap.alias("gap"), "size", "_salt", "_j", F.signum("missing").cast("int").alias("by"))).alias("b"))
-    best = best.select(F.col("source"), F.col("b.size").alias("size"), F.col("b._salt").alias("_salt"), F.col("b._j").alias("_j"), F.col("b.by").alias("by")).alias("b")
+    best = best.select(F.col("source"), F.col("b.size").alias("size"), F.col("b._salt").alias("_salt"), F.col("b._j").alias("_j"), F.col("b.by").alias("by"))
     same = F.col("r.source").eqNullSafe(F.col("b.source"))
     for k in ("size", "_salt", "_j"):
         same = same & (F.col(f"r.{k}") == F.col(f"b.{k}"))
     keep = [F.col(f"r.{k}") for k in rounded.columns if k != "copies"]
-    return r.join(b, same, "left").select(*keep, (F.col("copies") + F.coalesce("by", F.lit(0))).alias("copies"))
+    return r.join(best.alias("b"), same, "left").select(*keep, (F.col("copies") + F.coalesce("by", F.lit(0))).alias("copies"))
 
 
 def copies(docs: DataFrame) -> DataFrame:
