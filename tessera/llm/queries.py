@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import exact_dedup, mixing, quality, secret_scan, sharding, warc
+from tessera.llm import exact_dedup, mixing, packing, quality, secret_scan, sharding, warc
 from tessera.session import read, ship
 
 
@@ -19,6 +19,11 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(read(spark, sf_dir, "documents"))
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return packing.pack(read(spark, sf_dir, "documents"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return mixing.report(read(spark, sf_dir, "documents"))
