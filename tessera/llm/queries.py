@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import exact_dedup, mixing, packing, quality, secret_scan, sharding, warc
+from tessera.llm import exact_dedup, lm_scoring, mixing, packing, quality, secret_scan, sharding, warc
 from tessera.session import read, ship
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return lm_scoring.score(read(spark, sf_dir, "documents"))
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(read(spark, sf_dir, "documents"))
 
