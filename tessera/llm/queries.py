@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import exact_dedup, lm_scoring, mixing, packing, quality, secret_scan, sharding, toxicity, warc
+from tessera.llm import exact_dedup, lm_scoring, minhash, mixing, packing, quality, secret_scan, sharding, toxicity, warc
 from tessera.session import read, ship
 
 
@@ -39,6 +39,11 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived(read(spark, sf_dir, "pages"))
 
 
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return minhash.groups(read(spark, sf_dir, "documents"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return exact_dedup.duplicates(read(spark, sf_dir, "documents"))

@@ -154,7 +154,7 @@ def windows(h: np.ndarray, bounds: np.ndarray, width: int) -> tuple[np.ndarray,
 
 def combine(parts: list[np.ndarray]) -> np.ndarray:
     """One hash of aligned hashes, in order."""
-    s = np.zeros(len(parts[0]), U)
+    s = np.zeros_like(parts[0])
     for k, p in enumerate(parts):
         s += p * U(_MULTIPLIERS[k])
     return mix(s + U(len(parts)))
