@@ -108,14 +108,16 @@ def _parse(data: bytes, at: int) -> tuple[Record, int]:
 
 
 def _member(data: bytes, at: int) -> tuple[bytes, int]:
-    z = zlib.decompressobj(31)
+    z, out, view, step = zlib.decompressobj(31), [], memoryview(data), 4096
     try:
-        out = z.decompress(memoryview(data)[at:]) + z.flush()
+        while not z.eof and at < len(data):  # by small steps, as zlib copies what it is given beyond a member's end
+            out.append(z.decompress(view[at : at + step]))
+            at, step = at + step, min(2 * step, 1 << 20)
     except zlib.error as e:
         raise Damage(f"gzip: {e}") from None
     if not z.eof:
         raise Damage("gzip member cut short")
-    return out, len(data) - len(z.unused_data)
+    return b"".join(out), min(at, len(data)) - len(z.unused_data)
 
 
 def _records_of(data: bytes, base: int | None) -> Iterator[Record | Gap]:
