@@ -1,15 +1,734 @@
-"""Every registered query of the engine, by name, with its oracle SQL."""
+"""Every registered query of the engine, by name, with its oracle SQL where SQL can express it."""
 
 from __future__ import annotations
 
+import os
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from tessera.functions import captions, ids, text, vector
+from tessera.operators import ann, collection, corpus, graph, knn, metrics, quadtree, regions, tiles
+from tessera.plans import fixtures as fx
+from tessera.sources import tables
+from tessera.session import read, ship
+from tessera.streaming import ingest
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_ORACLE: dict[str, str] = {}
+
+P, I, H, R, W = fx.PATCHES, fx.INFOS, fx.HITS, fx.RANKED, fx.WALK
+COS = "list_cosine_similarity(q.embedding::DOUBLE[], n.embedding::DOUBLE[])"
+L2SQ = "list_sum(list_transform(list_zip(q.embedding::DOUBLE[], n.embedding::DOUBLE[]), lambda x: (x[1]-x[2])*(x[1]-x[2])))"
+
+
+def query(oracle: str | None = None) -> Callable[[Query], Query]:
+    def register(f: Query) -> Query:
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            return f(spark, sf_dir)
+
+        _QUERIES[f.__name__] = run
+        if oracle:
+            _ORACLE[f.__name__] = oracle
+        return f
+
+    return register
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_ORACLE)
+
+
+def _topk(q: str, n: str, expr: str, k: int, order: str, where: str = "q.vec_id <> n.vec_id") -> str:
+    return f"""SELECT query_id, neighbor_id, rank, round(score, 6) AS score FROM (SELECT q.vec_id AS query_id, n.vec_id AS neighbor_id, {expr} AS score,
+      row_number() OVER (PARTITION BY q.vec_id ORDER BY {expr} {order}, n.vec_id) AS rank FROM ({q}) q, ({n}) n WHERE {where}) WHERE rank <= {k}"""
+
+
+Q50 = "SELECT * FROM embeddings WHERE vec_id < 50"
+ALL = "SELECT * FROM embeddings"
+
+
+def _six(df: DataFrame) -> DataFrame:
+    return df.withColumn("score", F.round("score", 6))
+
+
+# --- vectors and exact search ------------------------------------------------------------------------------------
+
+
+@query(_topk(Q50, ALL, COS, 5, "DESC"))
+def knn_cosine_top5(spark, d):
+    return _six(knn.knn(fx.embeddings(spark, d), fx.queries(spark, d), 5, "cosine", exclude_self=True))
+
+
+@query(_topk(Q50, ALL, L2SQ, 5, "ASC"))
+def knn_l2sq_top5(spark, d):
+    return _six(knn.knn(fx.embeddings(spark, d), fx.queries(spark, d), 5, "l2sq", exclude_self=True))
+
+
+@query(_topk(Q50, ALL, COS, 10, "DESC", f"q.vec_id <> n.vec_id AND {COS} >= 0.4"))
+def knn_threshold(spark, d):
+    return _six(knn.knn(fx.embeddings(spark, d), fx.queries(spark, d), 10, "cosine", exclude_self=True, threshold=0.4))
+
+
+@query(_topk(Q50, ALL, COS, 5, "DESC", "q.vec_id <> n.vec_id AND n.label = 3"))
+def knn_filtered_label(spark, d):
+    return _six(knn.knn(fx.embeddings(spark, d), fx.queries(spark, d), 5, "cosine", exclude_self=True, where=F.col("label") == 3))
+
+
+@query(_topk(ALL, ALL, COS, 5, "DESC"))
+def knn_self_all(spark, d):
+    return _six(knn.knn(fx.embeddings(spark, d), fx.embeddings(spark, d), 5, "cosine", exclude_self=True))
+
+
+SCALED = "SELECT vec_id, label, list_transform(embedding, lambda x: (x * (1 + vec_id % 3))::FLOAT) AS embedding FROM embeddings"
+
+
+@query(_topk("SELECT * FROM (" + SCALED + ") WHERE vec_id < 50", SCALED, L2SQ, 5, "ASC"))
+def knn_scaled_l2sq(spark, d):
+    e = fx.scaled(spark, d)
+    return _six(knn.knn(e, e.filter("vec_id < 50"), 5, "l2sq", exclude_self=True))
+
+
+@query("SELECT vec_id, round(sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x*x))), 6) AS norm FROM (" + SCALED + ")")
+def vector_norms(spark, d):
+    return fx.scaled(spark, d).select("vec_id", F.round(vector.norm(F.col("embedding")), 6).alias("norm"))
+
+
+@query("SELECT vec_id, i AS dim, round(embedding[i]::DOUBLE / sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x*x))), 6) AS value FROM (" + SCALED + "), (SELECT unnest(range(1, 65)) AS i)")
+def l2_normalize(spark, d):
+    unit = fx.scaled(spark, d).select("vec_id", F.posexplode(vector.normalized(F.col("embedding"))).alias("dim", "value"))
+    return unit.select("vec_id", (F.col("dim") + 1).cast("long").alias("dim"), F.round("value", 6).alias("value"))
+
+
+@query(f"""WITH z AS (SELECT vec_id, CASE WHEN vec_id % 5 = 0 THEN list_transform(embedding, lambda x: 0::FLOAT) ELSE embedding END AS embedding FROM ({SCALED}) WHERE vec_id < 30),
+ p AS (SELECT a.vec_id AS i, b.vec_id AS j, list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS d, sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) AS na, sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])) AS nb FROM z a JOIN z b ON b.vec_id = (a.vec_id + 1) % 30)
+ SELECT i, j, round(CASE WHEN na < 1e-8 OR nb < 1e-8 THEN 0 ELSE d/(na*nb) END, 6) AS guarded, round(d/(na*nb+1e-8), 6) AS epsilon, round(CASE WHEN na < 1e-8 THEN 1 ELSE 1 - d/(na*greatest(nb, 1e-8)) END, 6) AS distance FROM p""")
+def cosine_guards(spark, d):
+    z = fx.scaled(spark, d).filter("vec_id < 30").select("vec_id", F.when(F.col("vec_id") % 5 == 0, F.transform("embedding", lambda x: F.lit(0).cast("float"))).otherwise(F.col("embedding")).alias("v"))
+    a, b = z.select(F.col("vec_id").alias("i"), F.col("v").alias("a")), z.select(F.col("vec_id").alias("j"), F.col("v").alias("b"))
+    pair = a.join(b, F.col("j") == (F.col("i") + 1) % 30)
+    x, y = F.col("a"), F.col("b")
+    return pair.select("i", "j", F.round(vector.cosine(x, y), 6).alias("guarded"), F.round(vector.cosine(x, y, "epsilon"), 6).alias("epsilon"), F.round(vector.cosine_distance(x, y), 6).alias("distance"))
+
+
+@query("""SELECT p AS position, i AS dim, round(CASE WHEN i < 4 THEN sin(p / pow(10000, i / 4.0)) ELSE cos(p / pow(10000, (i - 4) / 4.0)) END, 6) AS value
+ FROM (SELECT unnest(range(0, 16)) AS p), (SELECT unnest(range(0, 8)) AS i)""")
+def sincos_pos_embed(spark, d):
+    return spark.range(16).select(F.col("id").alias("position"), F.posexplode(vector.sincos(F.col("id"), 8)).alias("dim", "value")).select("position", F.col("dim").cast("long").alias("dim"), F.round("value", 6).alias("value"))
+
+
+@query("SELECT label, count(*) AS n, round(count(*) * 64 * 4 / pow(2, 20), 6) AS mib FROM embeddings GROUP BY label")
+def memory_accounting(spark, d):
+    return fx.embeddings(spark, d).groupBy("label").agg(F.count("*").alias("n")).withColumn("mib", F.round(vector.mebibytes(F.col("n"), F.lit(64)), 6))
+
+
+@query("SELECT label, i AS dim, round(avg(embedding[i]::DOUBLE), 6) AS mean, round(max(embedding[i]::DOUBLE), 6) AS top FROM embeddings, (SELECT unnest(range(1, 65)) AS i) GROUP BY label, i")
+def pooled_vectors(spark, d):
+    e = fx.embeddings(spark, d)
+    mean, top = metrics.pooled(e, "label", "embedding"), metrics.pooled(e, "label", "embedding", "max").withColumnRenamed("pooled", "high")
+    both = mean.join(top, "label").select("label", F.posexplode(F.arrays_zip("pooled", "high")).alias("dim", "x"))
+    return both.select("label", (F.col("dim") + 1).cast("long").alias("dim"), F.round("x.pooled", 6).alias("mean"), F.round("x.high", 6).alias("top"))
+
+
+# --- shards ------------------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH s AS (SELECT q.vec_id AS query_id, n.vec_id % 4 AS shard_id, CAST(floor(n.vec_id / 4) AS BIGINT) AS local_idx, n.vec_id AS neighbor_id, {L2SQ} AS score FROM ({Q50}) q, embeddings n),
+ l AS (SELECT *, row_number() OVER (PARTITION BY query_id, shard_id ORDER BY score, local_idx) AS lr FROM s)
+ SELECT query_id, shard_id, local_idx, neighbor_id, rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, local_idx, shard_id) AS rank FROM l WHERE lr <= 6) WHERE rank <= 6""")
+def sharded_merge_topk(spark, d):
+    return _six(knn.sharded(fx.embeddings(spark, d), fx.queries(spark, d), 6))
+
+
+@query(f"""SELECT query_id, rank, info, split_part(info, '_', 1) AS slide_id, score FROM (SELECT q.vec_id AS query_id, i.info, round({COS}, 6) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY {COS} DESC, n.vec_id) AS rank
+ FROM (SELECT * FROM embeddings WHERE vec_id < 5) q, embeddings n JOIN ({I}) i ON i.vec_id = n.vec_id) WHERE rank <= 20""")
+def batch_search_by_query(spark, d):
+    from tessera.plans import api
+
+    return api.batch_search(fx.embeddings(spark, d), fx.infos(spark, d), fx.queries(spark, d, 5), 20).select("query_id", "rank", "info", "slide_id", F.round("score", 6).alias("score"))
+
+
+@query(f"""WITH n AS (SELECT DISTINCT substr(info, 1, strpos(info, '.svs') + 3) || '_' || (vec_id % 53) AS wsi_name FROM ({I})), o AS (SELECT wsi_name, row_number() OVER (ORDER BY wsi_name) - 1 AS r, count(*) OVER () AS t FROM n)
+ SELECT wsi_name, CAST(floor(r / 20) AS BIGINT) AS shard_id FROM o WHERE floor(r / 20) < floor(t / 20)""")
+def shard_assign_batches(spark, d):
+    names = fx.infos(spark, d).select(F.concat(F.expr("substr(info, 1, instr(info, '.svs') + 3)"), F.lit("_"), (F.col("vec_id") % 53).cast("string")).alias("wsi_name")).distinct()
+    return knn.shard_batches(names, 20)
+
+
+# --- captions and tiles ------------------------------------------------------------------------------------------
+
+_BROKEN = "SELECT vec_id, CASE WHEN vec_id % 50 = 7 THEN 'a_1.png' ELSE info END AS info FROM"
+
+
+@query(f"""WITH b AS ({_BROKEN} ({I})), p AS (SELECT vec_id, info, string_split(info, '_') AS p FROM b)
+ SELECT vec_id, p[1] AS slide_id, array_to_string(p[2:len(p)-5], '_') AS wsi_name, array_to_string(p[1:len(p)-5], '_') AS source_wsi_name,
+  TRY_CAST(p[len(p)-4] AS INT) AS x, TRY_CAST(p[len(p)-3] AS INT) AS y, TRY_CAST(p[len(p)-2] AS INT) AS w, TRY_CAST(p[len(p)-1] AS INT) AS h, TRY_CAST(split_part(p[len(p)], '.', 1) AS INT) AS level FROM p WHERE len(p) >= 6""")
+def parse_info_string(spark, d):
+    b = fx.infos(spark, d).withColumn("info", F.when(F.col("vec_id") % 50 == 7, F.lit("a_1.png")).otherwise(F.col("info")))
+    parsed = captions.parse_info(F.col("info"))
+    return b.filter(captions.is_complete(parsed)).select("vec_id", *[c.alias(k) for k, c in parsed.items()])
+
+
+@query(I)
+def build_info_string(spark, d):
+    return fx.infos(spark, d)
+
+
+@query(f"SELECT vec_id, gx*256 AS x, gy*256 AS y, 256 AS w, 256 AS h, level FROM ({P})")
+def parse_caption(spark, d):
+    p = fx.patches(spark, d)
+    c = captions.caption(F.col("gx") * 256, F.col("gy") * 256, F.lit(256), F.lit(256), F.col("level"))
+    either = F.when(F.col("vec_id") % 2 == 0, c).otherwise(F.substring(c, 2, 100))
+    return p.select("vec_id", *[x.alias(k) for k, x in captions.parse_caption(either).items()])
+
+
+@query(f"SELECT vec_id, concat('http://tiles/S', slide_no, '/', gx*256, '/', gy*256, '/256/256/', level) AS url FROM ({P})")
+def tile_urls(spark, d):
+    s = F.lit(256)
+    return fx.patches(spark, d).select("vec_id", captions.tile_url("http://tiles", F.concat(F.lit("S"), F.col("slide_no").cast("string")), F.col("gx") * 256, F.col("gy") * 256, s, s, F.col("level")).alias("url"))
+
+
+@query(f"SELECT slide_no, level, gx*256 AS x, gy*256 AS y, 256 AS w, 256 AS h FROM ({P})")
+def tile_grid(spark, d):
+    return tiles.tile_grid(fx.slides(spark, d))
+
+
+def _images(spark, d):
+    return read(spark, d, "pages").select("page_id", (F.lit(100) + F.col("page_id") * 37 % 900).cast("int").alias("width"), (F.lit(230) + F.col("page_id") * 53 % 700).cast("int").alias("height"))
+
+
+_IMG = "SELECT page_id, CAST(100 + page_id * 37 % 900 AS INT) AS width, CAST(230 + page_id * 53 % 700 AS INT) AS height FROM pages"
+
+
+@query(f"""WITH g AS ({_IMG}), s AS (SELECT *, CASE WHEN width <= 224 THEN 224 ELSE 224 - (224 - width % 224) // (width // 224) END AS sx, CASE WHEN height <= 224 THEN 224 ELSE 224 - (224 - height % 224) // (height // 224) END AS sy FROM g)
+ SELECT page_id, CAST(x AS INT) AS x, CAST(y AS INT) AS y, 224 AS w, 224 AS h FROM (SELECT *, unnest(range(0, width - 223, sx)) AS x FROM s) , LATERAL (SELECT unnest(range(0, height - 223, sy)) AS y)""")
+def mesh_tiles(spark, d):
+    return tiles.mesh_tiles(_images(spark, d)).drop("width", "height")
+
+
+@query(f"SELECT page_id, CAST(x AS INT) AS x, CAST(y AS INT) AS y, 224 AS w, 224 AS h FROM (SELECT *, unnest(range(0, width - 223, 224)) AS x FROM ({_IMG})), LATERAL (SELECT unnest(range(0, height - 223, 224)) AS y)")
+def whole_tiles(spark, d):
+    return tiles.whole_tiles(_images(spark, d)).drop("width", "height")
+
+
+@query(f"SELECT page_id, least(width, height) AS w, least(width, height) AS h, CAST(x AS INT) AS x, CAST(y AS INT) AS y FROM (SELECT *, unnest(range(0, width, least(width, height))) AS x FROM ({_IMG})), LATERAL (SELECT unnest(range(0, height, least(width, height))) AS y)")
+def square_tiles(spark, d):
+    return tiles.square_tiles(_images(spark, d)).drop("width", "height")
+
+
+@query(f"SELECT vec_id, slide_no, gx, gy FROM ({P}) WHERE level = 1 AND gx >= 2 AND gx < 6 AND gy >= 1 AND gy < 4")
+def range_region_slice(spark, d):
+    return fx.patches(spark, d).filter((F.col("level") == 1) & tiles.in_window(F.col("gx"), F.col("gy"), 2, 1, 4, 3)).select("vec_id", "slide_no", "gx", "gy")
+
+
+@query(f"SELECT vec_id, slide_no FROM ({P}) WHERE is_foreground = 1")
+def foreground_filter(spark, d):
+    return fx.patches(spark, d).filter("is_foreground = 1").select("vec_id", "slide_no")
+
+
+@query(f"SELECT vec_id, CAST(gx*256*pow(2, level) AS BIGINT) AS x0, CAST(gy*256*pow(2, level) AS BIGINT) AS y0 FROM ({P})")
+def level_zero_coordinates(spark, d):
+    return fx.patches(spark, d).select("vec_id", vector.level_zero(F.col("gx") * 256, F.col("level")).alias("x0"), vector.level_zero(F.col("gy") * 256, F.col("level")).alias("y0"))
+
+
+@query(f"""SELECT page_id, CAST(ceil(round(width*abs(cos(radians(page_id%90)))+height*abs(sin(radians(page_id%90))), 6)) AS BIGINT) AS w, CAST(ceil(round(width*abs(sin(radians(page_id%90)))+height*abs(cos(radians(page_id%90))), 6)) AS BIGINT) AS h FROM ({_IMG})""")
+def rotated_bounds(spark, d):
+    w, h = vector.rotated_size(F.col("width"), F.col("height"), F.col("page_id") % 90)
+    return _images(spark, d).select("page_id", w.alias("w"), h.alias("h"))
+
+
+@query("SELECT c_custkey, CASE WHEN c_nationkey IN (1, 2, 3) THEN 'north' WHEN c_nationkey IN (4, 5) THEN 'south' ELSE 'Others' END AS site FROM customer")
+def site_lookup(spark, d):
+    c = read(spark, d, "customer").select("c_custkey", F.col("c_nationkey").cast("string").alias("code"))
+    return tiles.lookup_site(c, "code", {"north": ["1", "2", "3"], "south": ["3", "4", "5"]}).select("c_custkey", "site")
+
+
+@query("""WITH h AS (SELECT page_id, ascii(substr(html, i, 1)) AS value, count(*) AS n FROM pages, (SELECT unnest(range(1, 201)) AS i) WHERE length(html) >= i GROUP BY ALL),
+ c AS (SELECT *, sum(n) OVER u AS w0, sum(n*value) OVER u AS s0, sum(n) OVER (PARTITION BY page_id) AS w, sum(n*value) OVER (PARTITION BY page_id) AS s FROM h WINDOW u AS (PARTITION BY page_id ORDER BY value)),
+ v AS (SELECT *, CASE WHEN w > w0 THEN w0*(w-w0)*pow(s0/w0-(s-s0)/(w-w0), 2) ELSE 0 END AS var FROM c),
+ t AS (SELECT page_id, value AS threshold FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY var DESC, value) AS r FROM v) WHERE r = 1)
+ SELECT h.page_id AS image_id, CAST(threshold AS BIGINT) AS threshold, round(sum(CASE WHEN value > threshold THEN n ELSE 0 END)/sum(n), 6) AS share, sum(CASE WHEN value > threshold THEN n ELSE 0 END)/sum(n) > 0.1 AS is_tissue FROM h JOIN t ON t.page_id = h.page_id GROUP BY h.page_id, threshold""")
+def otsu_tissue(spark, d):
+    cells = read(spark, d, "pages").select(F.col("page_id").alias("image_id"), F.explode(F.expr("transform(sequence(1, least(200, length(html))), i -> ascii(substr(html, i, 1)))")).alias("value"))
+    t = tiles.tissue_share(cells.groupBy("image_id", "value").agg(F.count("*").alias("n")))
+    return t.select("image_id", F.col("threshold").cast("long").alias("threshold"), F.round("share", 6).alias("share"), "is_tissue")
+
+
+# --- metrics -----------------------------------------------------------------------------------------------------
+
+
+def _walk(spark, d, k: int | None = 5):
+    return metrics.distinct_walk(fx.ranked_patients(spark, d), "n_sub", "q_sub", k)
+
+
+@query(f"""SELECT query_id, round(sum(CASE WHEN relevant THEN c / r ELSE 0 END) / 5, 6) AS ap FROM (SELECT *, sum(relevant::INT) OVER (PARTITION BY query_id ORDER BY r ROWS UNBOUNDED PRECEDING) AS c FROM ({W}) WHERE r <= 5) GROUP BY query_id HAVING count(*) >= 5""")
+def map_at_5(spark, d):
+    return metrics.average_precision(_walk(spark, d), "relevant").withColumn("ap", F.round("ap", 6))
+
+
+@query(f"""WITH f AS (SELECT * FROM ({R}) WHERE rank <= 5), g AS (SELECT *, row_number() OVER (PARTITION BY query_id, n_sub ORDER BY rank) AS fr FROM f WHERE n_sub <> q_sub),
+ w AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS r FROM g WHERE fr = 1), c AS (SELECT *, sum(relevant::INT) OVER (PARTITION BY query_id ORDER BY r ROWS UNBOUNDED PRECEDING) AS c FROM w),
+ s AS (SELECT query_id, sum(CASE WHEN relevant THEN c / r ELSE 0 END) AS s, count(*) AS n, sum(relevant::INT) AS k FROM c GROUP BY query_id)
+ SELECT q.query_id, round(coalesce(CASE WHEN n < 5 OR k = 0 THEN 0 ELSE s / least(k, 5) END, 0), 6) AS ap FROM (SELECT DISTINCT query_id FROM ({R})) q LEFT JOIN s ON s.query_id = q.query_id""")
+def map_at_5_legacy(spark, d):
+    return metrics.average_precision_legacy(fx.ranked_patients(spark, d), "n_sub", "q_sub", "relevant").withColumn("ap", F.round("ap", 6))
+
+
+_VOTE = f"SELECT query_id, vote FROM (SELECT query_id, n_label AS vote, row_number() OVER (PARTITION BY query_id ORDER BY count(*) DESC, n_label) AS v FROM ({W}) WHERE r <= 5 GROUP BY query_id, n_label) WHERE v = 1"
+
+
+@query(_VOTE)
+def majority_vote_at_5(spark, d):
+    return metrics.majority_vote(_walk(spark, d), "n_label")
+
+
+@query("SELECT query_id, " + ", ".join(f"CASE WHEN count(*) >= {k} THEN CAST(max(CASE WHEN r <= {k} AND relevant THEN 1 ELSE 0 END) AS BIGINT) END AS acc_at_{k}" for k in (1, 3, 5)) + f" FROM ({W}) GROUP BY query_id")
+def acc_at_k(spark, d):
+    return metrics.accuracy_at(_walk(spark, d, None), "relevant")
+
+
+@query(f"""WITH q AS (SELECT e.vec_id, e.label, v.vote, e.vec_id % 11 <> 0 AS valid FROM ({_VOTE}) v JOIN embeddings e ON e.vec_id = v.query_id), c AS (SELECT *, coalesce(vote = label OR NOT valid, false) AS ok FROM q)
+ SELECT label, CAST(sum(ok::INT) AS BIGINT) AS correct, CAST(sum((NOT ok)::INT) AS BIGINT) AS incorrect, CAST(sum(valid::INT) AS BIGINT) AS valid, CAST(sum((NOT valid)::INT) AS BIGINT) AS dismissed, count(*) AS total, round(sum(ok::INT) / nullif(sum(valid::INT), 0), 6) AS accuracy FROM c GROUP BY label""")
+def per_class_accuracy(spark, d):
+    vote = metrics.majority_vote(_walk(spark, d), "n_label")
+    q = vote.join(fx.embeddings(spark, d).select(F.col("vec_id").alias("query_id"), "label"), "query_id").withColumn("valid", F.col("query_id") % 11 != 0)
+    return metrics.class_report(q).withColumn("accuracy", F.round("accuracy", 6))
+
+
+@query(f"""WITH h AS (SELECT q.vec_id AS query_id, n.vec_id AS neighbor_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY {COS} DESC, n.vec_id) AS rank FROM ({Q50}) q, embeddings n WHERE q.vec_id <> n.vec_id),
+ e AS (SELECT * FROM h WHERE rank <= 5), a AS (SELECT q.vec_id AS query_id, n.vec_id AS neighbor_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY {COS} DESC, n.vec_id) AS rank FROM ({Q50}) q, embeddings n WHERE q.vec_id <> n.vec_id AND n.vec_id % 3 <> 0)
+ SELECT e.query_id, round(count(a.neighbor_id) / count(*), 6) AS recall FROM e LEFT JOIN (SELECT * FROM a WHERE rank <= 5) a ON a.query_id = e.query_id AND a.neighbor_id = e.neighbor_id GROUP BY e.query_id""")
+def recall_at_k(spark, d):
+    e, q = fx.embeddings(spark, d), fx.queries(spark, d)
+    exact = knn.knn(e, q, 5, exclude_self=True)
+    part = knn.knn(e, q, 5, exclude_self=True, where=F.col("vec_id") % 3 != 0)
+    return metrics.recall(exact, part, 5).withColumn("recall", F.round("recall", 6))
+
+
+@query("""WITH c AS (SELECT p_partkey, p_size AS n FROM part), s AS (SELECT row_number() OVER (ORDER BY p_partkey) AS position, sum(n) OVER (ORDER BY p_partkey) AS running FROM c), t AS (SELECT unnest([100, 1000, 10000, 10000000]) AS threshold)
+ SELECT CAST(threshold AS BIGINT) AS threshold, min(CASE WHEN running > threshold THEN position END) AS position, CAST(min(CASE WHEN running > threshold THEN running END) AS BIGINT) AS running FROM s, t GROUP BY threshold""")
+def cumsum_threshold(spark, d):
+    return metrics.cumulative_thresholds(read(spark, d, "part"), "p_partkey", "p_size", (100, 1000, 10000, 10000000))
+
+
+@query(f"SELECT query_id, " + ", ".join(f"round(avg(CASE WHEN rank <= {n} THEN score END), 5) AS mean_{n}" for n in (1, 3, 5, 10, 50)) + f" FROM ({H}) GROUP BY query_id")
+def mean_of_top_scores(spark, d):
+    m = metrics.mean_of_top(fx.hits(spark, d))
+    return m.select("query_id", *[F.round(c, 5).alias(c) for c in m.columns if c != "query_id"])
+
+
+@query("SELECT event_type, round(avg(value), 5) AS mean, round(stddev_pop(value), 5) AS std, min(value) AS least, count(*) AS trials FROM events GROUP BY event_type")
+def trial_statistics(spark, d):
+    return metrics.trial_stats(read(spark, d, "events"), "event_type", "value").withColumn("mean", F.round("mean", 5)).withColumn("std", F.round("std", 5))
+
+
+@query(f"SELECT slide_no, count(*) AS n FROM ({P}) WHERE is_foreground = 1 GROUP BY slide_no")
+def group_sizes(spark, d):
+    return metrics.group_sizes(fx.patches(spark, d).filter("is_foreground = 1"), "slide_no")
+
+
+@query("SELECT source, CAST(dense_rank() OVER (ORDER BY source) - 1 AS BIGINT) AS code FROM (SELECT DISTINCT source FROM documents)")
+def categorical_codes(spark, d):
+    return metrics.codes(read(spark, d, "documents"), "source")
+
+
+# --- regions -----------------------------------------------------------------------------------------------------
+
+_EDGES = f"SELECT a.query_id, a.slide_no, a.neighbor_id AS src, b.neighbor_id AS dst FROM ({H}) a JOIN ({H}) b ON a.query_id = b.query_id AND a.slide_no = b.slide_no AND a.level = b.level WHERE abs(a.gx-b.gx) <= 1 AND abs(a.gy-b.gy) <= 1 AND (a.gx <> b.gx OR a.gy <> b.gy)"
+_REGIONS = f"""WITH RECURSIVE h AS ({H}), e AS ({_EDGES}), c(query_id, node, other) AS (SELECT query_id, neighbor_id, neighbor_id FROM h UNION SELECT c.query_id, c.node, e.dst FROM c JOIN e ON e.query_id = c.query_id AND e.src = c.other),
+ l AS (SELECT query_id, node, min(other) AS region_id FROM c GROUP BY ALL), r AS (SELECT h.*, l.region_id FROM h JOIN l ON l.query_id = h.query_id AND l.node = h.neighbor_id)"""
+
+
+@query(_EDGES)
+def adjacency_edges(spark, d):
+    return regions.adjacency(fx.hits(spark, d), ["query_id", "slide_no"], "neighbor_id")
+
+
+def _regions(spark, d):
+    return regions.connected(fx.hits(spark, d).drop("embedding"), ["query_id", "slide_no", "level"], "neighbor_id")
+
+
+@query(f"{_REGIONS} SELECT query_id, neighbor_id, region_id FROM r")
+def connected_regions(spark, d):
+    return _regions(spark, d).select("query_id", "neighbor_id", "region_id")
+
+
+@query(f"{_REGIONS} SELECT query_id, region_id, x0, y0, x1, y1, n_patches, round(s / ((x1-x0+1)*(y1-y0+1)), 5) AS score FROM (SELECT query_id, region_id, min(gx) AS x0, min(gy) AS y0, max(gx) AS x1, max(gy) AS y1, count(*) AS n_patches, sum(score) AS s FROM r GROUP BY query_id, region_id)")
+def region_bbox_score(spark, d):
+    return regions.region_boxes(_regions(spark, d), ["query_id"]).withColumn("score", F.round("score", 5))
+
+
+@query(f"""WITH h AS (SELECT q.vec_id AS query_id, n.level, row_number() OVER (PARTITION BY q.vec_id ORDER BY {COS} DESC, n.vec_id) AS rank FROM ({Q50}) q, ({P}) n WHERE q.vec_id <> n.vec_id), c AS (SELECT query_id, level, count(*) AS n, min(rank) AS f FROM h WHERE rank <= 9 GROUP BY ALL)
+ SELECT query_id, level FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, f) AS r FROM c) WHERE r = 1""")
+def region_mode_level(spark, d):
+    p = fx.patches(spark, d)
+    h = knn.knn(p, fx.queries(spark, d), 9, exclude_self=True).join(p.select(F.col("vec_id").alias("neighbor_id"), "level"), "neighbor_id")
+    return regions.first_seen_mode(h, ["query_id"], "level", "rank")
+
+
+@query(f"SELECT query_id, slide_no, total FROM (SELECT query_id, slide_no, round(sum(score), 6) AS total, row_number() OVER (PARTITION BY query_id ORDER BY round(sum(score), 6) DESC, min(rank)) AS r FROM ({H}) GROUP BY query_id, slide_no) WHERE r = 1")
+def slide_vote(spark, d):
+    return regions.best_slide(fx.hits(spark, d), "slide_no")
+
+
+@query("""WITH r AS (SELECT p_partkey, p_partkey % 97 AS x, p_partkey % 89 AS y, 20 + p_partkey % 61 AS w, 10 + p_partkey % 43 AS h, 0.5 + (p_partkey % 7) / 2.0 AS ratio FROM part), s AS (SELECT *, CAST(floor(sqrt((w*h)::DOUBLE * ratio)) AS BIGINT) AS nw FROM r), t AS (SELECT *, CAST(floor(nw / ratio) AS BIGINT) AS nh FROM s)
+ SELECT p_partkey, greatest(x + w // 2 - nw // 2, 0) AS x, greatest(y + h // 2 - nh // 2, 0) AS y, nw AS w, nh AS h FROM t""")
+def region_reshape(spark, d):
+    k = F.col("p_partkey")
+    r = read(spark, d, "part").select("p_partkey", (k % 97).alias("x"), (k % 89).alias("y"), (20 + k % 61).alias("w"), (10 + k % 43).alias("h"), (0.5 + (k % 7) / 2.0).alias("ratio"))
+    return r.select("p_partkey", *[c.alias(n) for n, c in zip("xywh", tiles.reshaped(*[F.col(c) for c in ("x", "y", "w", "h", "ratio")]), strict=True)])
+
+
+_WIN = f"SELECT vec_id AS patch_id, slide_no AS pair_id, gx, gy, embedding FROM ({P}) WHERE level = 1"
+_SIM = f"""WITH a AS (SELECT *, 4 AS w, 3 AS h, min(gx) OVER (PARTITION BY pair_id) AS mx, min(gy) OVER (PARTITION BY pair_id) AS my FROM ({_WIN}) WHERE gx < 4 AND gy < 3), b AS (SELECT *, 5 AS w, 3 AS h, min(gx) OVER (PARTITION BY pair_id) AS mx, min(gy) OVER (PARTITION BY pair_id) AS my FROM ({_WIN}) WHERE gx >= 4 AND gx < 9 AND gy >= 2 AND gy < 5),
+ p AS (SELECT a.pair_id, a.patch_id AS i, b.patch_id AS j, round(sqrt(pow((a.gx-a.mx)/4.0-(b.gx-b.mx)/5.0, 2)+pow((a.gy-a.my)/3.0-(b.gy-b.my)/3.0, 2)), 9) AS dist, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS c FROM a JOIN b ON a.pair_id = b.pair_id),
+ m AS (SELECT *, row_number() OVER (PARTITION BY pair_id, i ORDER BY dist, j) AS r FROM p) SELECT pair_id, round(coalesce(avg(CASE WHEN dist < 0.5 THEN c END), 0) * exp(-1), 6) AS similarity FROM m WHERE r = 1 GROUP BY pair_id"""
+
+
+def _region_similarity(spark, d):
+    p = fx.patches(spark, d).filter("level = 1").select(F.col("vec_id").alias("patch_id"), F.col("slide_no").alias("pair_id"), "gx", "gy", "embedding")
+    sized = lambda df, w, h: df.withColumn("w", F.lit(w)).withColumn("h", F.lit(h))
+    return regions.similarity(sized(p.filter(tiles.in_window(F.col("gx"), F.col("gy"), 0, 0, 4, 3)), 4, 3), sized(p.filter(tiles.in_window(F.col("gx"), F.col("gy"), 4, 2, 5, 3)), 5, 3))
+
+
+@query(_SIM)
+def region_similarity(spark, d):
+    return _region_similarity(spark, d).withColumn("similarity", F.round("similarity", 6))
+
+
+@query(f"SELECT k, round(avg(CASE WHEN r <= k THEN similarity END), 6) AS sim FROM (SELECT *, row_number() OVER (ORDER BY pair_id) AS r FROM ({_SIM})), (SELECT unnest([1, 5, 10]) AS k) GROUP BY k")
+def sim_at_k(spark, d):
+    s = _region_similarity(spark, d).withColumn("similarity", F.round("similarity", 6)).withColumn("r", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("pair_id")))
+    one = s.agg(*[F.avg(F.when(F.col("r") <= k, F.col("similarity"))).alias(f"s{k}") for k in (1, 5, 10)])
+    return one.select(F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.round(f"s{k}", 6).alias("sim")) for k in (1, 5, 10)])).alias("x")).select("x.*")
+
+
+@query(f"""WITH t AS (SELECT DISTINCT slide_no, gx, gy FROM ({P}) WHERE level = 1 AND is_foreground = 1) SELECT s.slide_no, CAST(s.x AS INT) AS x, CAST(s.y AS INT) AS y FROM (SELECT DISTINCT slide_no, gx - i AS x, gy - j AS y FROM t, (SELECT unnest([0,1,2]) AS i), (SELECT unnest([0,1]) AS j)) s JOIN t ON t.slide_no = s.slide_no AND t.gx >= s.x AND t.gx < s.x + 3 AND t.gy >= s.y AND t.gy < s.y + 2 GROUP BY ALL HAVING count(*) = 6""")
+def valid_query_windows(spark, d):
+    return regions.full_windows(fx.patches(spark, d).filter("level = 1 AND is_foreground = 1"), ["slide_no"], 3, 2)
+
+
+_RECT = f"SELECT vec_id AS patch_id, slide_no, gx * 10 AS x, gy * 10 AS y, CASE WHEN vec_id % 6 = 0 THEN 20 ELSE 10 END AS w, 10 AS h FROM ({P}) WHERE level = 1 AND is_foreground = 1"
+
+
+@query(f"""SELECT a.slide_no, a.patch_id AS src, b.patch_id AS dst FROM ({_RECT}) a JOIN ({_RECT}) b ON a.slide_no = b.slide_no AND a.patch_id <> b.patch_id WHERE ((a.x + a.w = b.x OR b.x + b.w = a.x) AND a.y < b.y + b.h AND b.y < a.y + a.h) OR ((a.y + a.h = b.y OR b.y + b.h = a.y) AND a.x < b.x + b.w AND b.x < a.x + a.w)""")
+def rectangle_adjacency(spark, d):
+    r = fx.patches(spark, d).filter("level = 1 AND is_foreground = 1").select(F.col("vec_id").alias("patch_id"), "slide_no", (F.col("gx") * 10).alias("x"), (F.col("gy") * 10).alias("y"), F.when(F.col("vec_id") % 6 == 0, 20).otherwise(10).alias("w"), F.lit(10).alias("h"))
+    return regions.touching(r, ["slide_no"])
+
+
+@query(f"""{_REGIONS}, m AS (SELECT query_id, region_id, i, avg(embedding[i]::DOUBLE) AS v FROM r, (SELECT unnest(range(1, 65)) AS i) GROUP BY ALL), n AS (SELECT query_id, region_id, list(v ORDER BY i) AS v FROM m GROUP BY ALL),
+ s AS (SELECT n.query_id, n.region_id, round(list_cosine_similarity(q.embedding::DOUBLE[], n.v), 6) AS score FROM n JOIN embeddings q ON q.vec_id = n.query_id) SELECT query_id, region_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, region_id) AS rank FROM s""")
+def region_rerank(spark, d):
+    r = regions.connected(fx.hits(spark, d), ["query_id", "slide_no", "level"], "neighbor_id")
+    return regions.rerank(r, fx.queries(spark, d), ["query_id"], 64)
+
+
+# --- graph -------------------------------------------------------------------------------------------------------
+
+
+def _nodes(spark, d):
+    return fx.patches(spark, d).select(F.col("vec_id").alias("node"), F.col("slide_no").alias("wsi_id"), "level", "gx", "gy", "embedding")
+
+
+def _support_sql(rule: str) -> str:
+    return f"WITH p AS ({P}), e AS (SELECT c.vec_id AS up, f.vec_id AS down FROM p c JOIN p f ON f.slide_no = c.slide_no AND c.level = 0 AND f.level = 1 AND {rule}) SELECT up AS src, down AS dst FROM e UNION ALL SELECT down, up FROM e"
+
+
+_SUPPORT = _support_sql("f.gx = c.gx * 2 AND f.gy = c.gy * 2")
+_SEM = f"""SELECT q.vec_id AS src, n.vec_id AS dst, {COS} AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY {COS} DESC, n.vec_id) AS rank FROM ({P}) q JOIN ({P}) n ON q.level = n.level"""
+
+
+@query(_SUPPORT)
+def supporting_edges(spark, d):
+    return graph.supporting_edges(_nodes(spark, d))
+
+
+@query(_support_sql("c.gx = f.gx // 2 AND c.gy = f.gy // 2"))
+def supporting_edges_pyramid(spark, d):
+    return graph.supporting_edges(_nodes(spark, d), "pyramid")
+
+
+@query(f"SELECT src, dst, round(score, 6) AS score FROM ({_SEM}) WHERE rank <= 8")
+def semantic_edges(spark, d):
+    return graph.semantic_edges(_nodes(spark, d), 8).select("src", "dst", F.round("score", 6).alias("score"))
+
+
+_EDGE = f"""WITH s AS ({_SUPPORT}), m AS (SELECT src, dst, min(kind) AS kind FROM (SELECT src, dst, 0 AS kind FROM s UNION ALL SELECT src, dst, 1 FROM ({_SEM}) WHERE rank <= 8) WHERE src <> dst GROUP BY ALL),
+ k AS (SELECT m.*, row_number() OVER (PARTITION BY src ORDER BY kind, round({COS.replace('q.', 'a.').replace('n.', 'b.')}, 9) DESC, dst) AS rank FROM m JOIN embeddings a ON a.vec_id = src JOIN embeddings b ON b.vec_id = dst)"""
+
+
+def _pruned(spark, d, degree: int = 7):
+    n = _nodes(spark, d)
+    return graph.pruned(n, graph.supporting_edges(n), graph.semantic_edges(n, 8), degree)
+
+
+@query(f"{_EDGE} SELECT src, dst, kind, CAST(rank AS BIGINT) AS rank FROM k WHERE rank <= 7")
+def pruned_graph(spark, d):
+    return _pruned(spark, d).filter("kind < 2").select("src", "dst", "kind", F.col("rank").cast("long").alias("rank"))
+
+
+@query(f"{_EDGE}, t AS (SELECT src, count(*) AS d FROM k WHERE rank <= 7 GROUP BY src) SELECT count(*) AS nodes, round(avg(d), 6) AS avg_degree, max(d) AS max_degree, min(d) AS min_degree, max(d) = min(d) AS uniform FROM t")
+def graph_stats(spark, d):
+    return graph.degree_stats(_pruned(spark, d)).withColumn("avg_degree", F.round("avg_degree", 6))
+
+
+@query(f"SELECT vec_id AS node, level, row_number() OVER (ORDER BY level, vec_id) - 1 AS global_idx FROM ({P})")
+def global_index(spark, d):
+    return graph.global_index(_nodes(spark, d).select("node", "level"))
+
+
+@query(f"{_EDGE} SELECT src, rank AS place, dst FROM k WHERE rank <= 7")
+def flat_adjacency(spark, d):
+    return graph.flattened(_pruned(spark, d), 7).select("src", F.posexplode("adj").alias("place", "dst")).filter("dst >= 0").select("src", (F.col("place") + 1).cast("long").alias("place"), "dst")
+
+
+@query()
+def beam_search(spark, d):
+    """Rows only: an approximate search. Tests hold its recall against the exact one."""
+    n = _nodes(spark, d)
+    index = n.select("node", "embedding").join(graph.flattened(graph.pruned(n, graph.supporting_edges(n), graph.semantic_edges(n))).withColumnRenamed("src", "node"), "node")
+    return graph.beam_search(index, fx.queries(spark, d), 10)
+
+
+# --- approximate search ------------------------------------------------------------------------------------------
+
+
+@query()
+def ivf_search(spark, d):
+    """Rows only: an approximate search."""
+    e = fx.embeddings(spark, d)
+    cells = ann.train_cells(e, 32)
+    return ann.ivf_search(ann.assigned(e, cells), cells, fx.queries(spark, d), 10, 12)
+
+
+@query(_topk(Q50, ALL, L2SQ, 10, "ASC", "TRUE"))
+def ivf_all_probes(spark, d):
+    e = fx.embeddings(spark, d)
+    cells = ann.train_cells(e, 32)
+    return _six(ann.ivf_search(ann.assigned(e, cells), cells, fx.queries(spark, d), 10, 32))
+
+
+@query()
+def lsh_search(spark, d):
+    """Rows only: an approximate search."""
+    return ann.lsh_search(fx.embeddings(spark, d), fx.queries(spark, d), 10)
+
+
+@query()
+def ann_recall(spark, d):
+    """Rows only: recall of inverted lists, by query."""
+    exact = knn.knn(fx.embeddings(spark, d), fx.queries(spark, d), 10, "l2sq")
+    return metrics.recall(exact, ivf_search(spark, d), 10)
+
+
+# --- collections -------------------------------------------------------------------------------------------------
+
+
+@query("SELECT vec_id, label, 0 AS version FROM embeddings WHERE vec_id % 10 <> 0 UNION ALL SELECT vec_id, label + 100, 1 FROM embeddings WHERE vec_id % 10 = 0")
+def upsert_latest(spark, d):
+    e = fx.embeddings(spark, d).select("vec_id", "label").withColumn("version", F.lit(0))
+    return collection.upserted(e, e.filter("vec_id % 10 = 0").withColumn("label", F.col("label") + 100).withColumn("version", F.lit(1)), "vec_id", "version")
+
+
+@query("SELECT vec_id, label FROM embeddings WHERE vec_id > 99 ORDER BY vec_id LIMIT 50")
+def scroll_page(spark, d):
+    return collection.scrolled(fx.embeddings(spark, d).select("vec_id", "label"), "vec_id", 50, 99)
+
+
+@query("SELECT count(*) AS n, count(DISTINCT label) AS labels FROM embeddings WHERE label <> 4")
+def collection_count(spark, d):
+    return fx.embeddings(spark, d).filter("label <> 4").agg(F.count("*").alias("n"), F.countDistinct("label").alias("labels"))
+
+
+@query("SELECT vec_id, label FROM embeddings WHERE NOT (label = 2)")
+def delete_filter(spark, d):
+    return fx.embeddings(spark, d).select("vec_id", "label").filter(~F.coalesce(F.col("label") == 2, F.lit(False)))
+
+
+@query("SELECT vec_id, label FROM embeddings WHERE vec_id NOT IN (SELECT vec_id FROM embeddings WHERE vec_id % 4 = 1)")
+def anti_join_new(spark, d):
+    e = fx.embeddings(spark, d).select("vec_id", "label")
+    return collection.without_known(e, e.filter("vec_id % 4 = 1"), "vec_id")
+
+
+@query(_topk("SELECT * FROM embeddings WHERE vec_id < 20", "SELECT * FROM embeddings WHERE label <> 2", COS, 5, "DESC", "n.label > 5"))
+def collection_search(spark, d):
+    root = os.path.join(tempfile.gettempdir(), f"tessera-collection-{uuid.uuid4().hex}") if spark.sparkContext.master.startswith("local[") else f"{spark.conf.get('spark.checkpoint.dir')}/collection-{uuid.uuid4().hex}"
+    c = collection.Collection(spark, root, "vectors")
+    c.create(64, "cosine", "label int")
+    e = fx.embeddings(spark, d).select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
+    c.upsert(e)
+    c.delete(F.col("label") == 2)
+    hits = c.search(e.filter("id < 20"), 5, where=F.col("label") > 5)
+    return _six(hits.withColumnRenamed("id", "neighbor_id"))
+
+
+# --- text and corpora --------------------------------------------------------------------------------------------
+
+
+@query("SELECT doc_id, md5(regexp_replace(regexp_replace(text, '\\s+', ' ', 'g'), '^ | $', '', 'g')) AS digest FROM documents")
+def whitespace_clean(spark, d):
+    return read(spark, d, "documents").select("doc_id", F.md5(text.whitespace_clean(F.col("text"))).alias("digest"))
+
+
+@query("SELECT doc_id, md5(regexp_replace(regexp_replace(lower(regexp_replace(replace(text, '_', ' '), '[[:punct:]]', '', 'g')), '\\s+', ' ', 'g'), '^ | $', '', 'g')) AS digest FROM documents")
+def canonicalize_text(spark, d):
+    return read(spark, d, "documents").select("doc_id", F.md5(text.canonicalize(F.col("text"))).alias("digest"))
+
+
+@query("SELECT page_id, CAST(length(trim(replace(replace(replace(replace('x &amp;amp; ' || page_id || ' &lt;b&gt; ', '&amp;', '&'), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'))) AS BIGINT) AS n FROM pages")
+def basic_clean(spark, d):
+    t = F.concat(F.lit("x &amp;amp; "), F.col("page_id").cast("string"), F.lit(" &lt;b&gt; "))
+    return read(spark, d, "pages").select("page_id", F.length(text.basic_clean(t)).cast("long").alias("n"))
+
+
+_WORDS = r"""regexp_extract_all(lower(text), '(''s|''t|''re|''ve|''m|''ll|''d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+)', 1)"""
+
+
+@query(f"SELECT doc_id, CAST(len({_WORDS}) AS BIGINT) AS n_words, md5(array_to_string({_WORDS}, ' ')) AS digest FROM documents")
+def tokenize_regex(spark, d):
+    w = text.words(F.col("text"))
+    return read(spark, d, "documents").select("doc_id", F.size(w).cast("long").alias("n_words"), F.md5(F.array_join(w, " ")).alias("digest"))
+
+
+@query(f"""WITH w AS (SELECT doc_id, len({_WORDS}) AS n FROM documents) SELECT doc_id, CAST(77 AS BIGINT) AS length, CAST(least(n, 75) + 2 AS BIGINT) AS used, 49407 AS last FROM w""")
+def fixed_length_tokens(spark, d):
+    t = text.fixed_length(text.hash_ids(text.words(F.col("text"))))
+    rows = read(spark, d, "documents").select("doc_id", t.alias("t")).withColumn("end", F.array_position("t", text.END))
+    return rows.select("doc_id", F.size("t").cast("long").alias("length"), F.col("end").cast("long").alias("used"), F.element_at("t", F.col("end").cast("int")).alias("last"))
+
+
+@query(f"""WITH w AS (SELECT doc_id, {_WORDS} AS t FROM documents), e AS (SELECT doc_id, i, t[i] AS word, row_number() OVER (PARTITION BY doc_id ORDER BY md5(concat(doc_id, ':', i - 1))) AS r FROM w, LATERAL (SELECT unnest(range(1, len(t) + 1)) AS i))
+ SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept FROM e WHERE r <= 5 GROUP BY doc_id""")
+def random_token_mask(spark, d):
+    t = text.random_mask(text.words(F.col("text")), F.col("doc_id"), 5)
+    return read(spark, d, "documents").select("doc_id", F.array_join(t, " ").alias("kept")).filter("kept <> ''")
+
+
+@query("""WITH s AS (SELECT unnest(['alpha', 'alpha', 'alpha', 'beta', 'gamma', 'gamma']) AS name, unnest(range(0, 6)) AS slot) SELECT o_orderkey AS step, name FROM orders JOIN s ON slot = ('0x' || substr(md5(concat(o_orderkey, ':42')), 1, 8))::BIGINT % 6""")
+def weighted_mix(spark, d):
+    w = spark.createDataFrame([("alpha", 3), ("beta", 1), ("gamma", 2)], "name string, weight int")
+    return corpus.weighted_choice(w, read(spark, d, "orders").select(F.col("o_orderkey").alias("step")))
+
+
+@query("SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5(concat(doc_id, ':42')), doc_id) AS r FROM documents) WHERE r <= 3")
+def stratified_sample(spark, d):
+    return corpus.sample_per_group(read(spark, d, "documents").select("doc_id", "source"), ["source"], "doc_id", 3)
+
+
+@query("SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents) WHERE r <= 5")
+def capped_per_group(spark, d):
+    return corpus.first_per_group(read(spark, d, "documents").select("doc_id", "source"), ["source"], "doc_id", 5)
+
+
+@query("SELECT doc_id, row_number() OVER (ORDER BY md5(concat(doc_id, ':3')), doc_id) AS position FROM documents")
+def epoch_shuffle(spark, d):
+    return corpus.epoch_order(read(spark, d, "documents").select("doc_id"), "doc_id", 3)
+
+
+@query()
+def inbatch_dedup(spark, d):
+    """Rows only: the rule is greedy in order."""
+    c = read(spark, d, "conversations")
+    return corpus.unique_in_batch(c.select((F.col("conv_id") % 20).alias("batch"), (F.col("conv_id") * 1000 + F.col("turn")).alias("place"), F.array("role", F.substring("text", 1, 2)).alias("texts")), "batch", "place")
+
+
+_LOGITS = "SELECT a.vec_id AS i, b.vec_id - 16 AS j, 20 * list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS logit FROM embeddings a, embeddings b WHERE a.vec_id < 16 AND b.vec_id BETWEEN 16 AND 31"
+
+
+def _logits(spark, d):
+    e = fx.embeddings(spark, d)
+    return corpus.pair_logits(e.filter("vec_id < 16").select(F.col("vec_id").alias("i"), F.col("embedding").alias("a")), e.filter("vec_id between 16 and 31").select((F.col("vec_id") - 16).alias("j"), F.col("embedding").alias("b")))
+
+
+@query(f"WITH l AS ({_LOGITS}), r AS (SELECT i, ln(sum(exp(logit))) AS s FROM l GROUP BY i), c AS (SELECT j, ln(sum(exp(logit))) AS s FROM l GROUP BY j) SELECT round((avg(r.s - logit) + avg(c.s - logit)) / 2, 6) AS loss FROM l JOIN r ON r.i = l.i JOIN c ON c.j = l.j WHERE l.i = l.j")
+def clip_loss(spark, d):
+    return corpus.clip_loss(_logits(spark, d)).withColumn("loss", F.round("loss", 6))
+
+
+@query(f"SELECT round(sum(ln(1 + exp(-(CASE WHEN i = j THEN 1 ELSE -1 END) * logit))) / 16, 6) AS loss FROM ({_LOGITS})")
+def siglip_loss(spark, d):
+    return corpus.siglip_loss(_logits(spark, d)).withColumn("loss", F.round("loss", 6))
+
+
+@query(f"WITH l AS (SELECT *, logit / 2 AS teacher FROM ({_LOGITS})), s AS (SELECT i, ln(sum(exp(logit))) AS a, ln(sum(exp(teacher))) AS b FROM l GROUP BY i) SELECT round(sum(-exp(teacher - b) * (logit - a)) / 16, 6) AS loss FROM l JOIN s ON s.i = l.i")
+def distill_loss(spark, d):
+    return corpus.distill_loss(_logits(spark, d).withColumn("teacher", F.col("logit") / 2)).withColumn("loss", F.round("loss", 6))
+
+
+# --- tables, ids, dates ------------------------------------------------------------------------------------------
+
+
+@query("""SELECT n_nationkey, '{"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name || '","n_regionkey":' || n_regionkey || '}' AS text, 'nation' AS table_name FROM nation""")
+def rows_to_text_nodes(spark, d):
+    n = tables.text_nodes(read(spark, d, "nation"), "nation")
+    return n.select(ids.json_value(F.col("metadata"), "$.n_nationkey").cast("int").alias("n_nationkey"), "text", "table_name")
+
+
+@query(r"""WITH h AS (SELECT doc_id, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode('http://doc/' || doc_id)) AS h FROM documents)
+ SELECT doc_id, substr(h,1,8) || '-' || substr(h,9,4) || '-5' || substr(h,14,3) || '-' || substr('89ab', (('0x' || substr(h,17,1))::INT & 3) + 1, 1) || substr(h,18,3) || '-' || substr(h,21,12) AS uuid FROM h""")
+def uuid5_ids(spark, d):
+    return read(spark, d, "documents").select("doc_id", ids.uuid5(F.concat(F.lit("http://doc/"), F.col("doc_id").cast("string"))).alias("uuid"))
+
+
+@query("SELECT event_id, CAST(props->>'k' AS BIGINT) AS k FROM events")
+def json_access(spark, d):
+    return read(spark, d, "events").select("event_id", ids.json_value(F.col("props"), "$.k").cast("long").alias("k"))
+
+
+@query("SELECT page_id, md5(html) AS md5, starts_with(sha256(html), substr(sha256(html), 1, 8)) AS ok FROM pages")
+def content_digests(spark, d):
+    h = F.encode("html", "UTF-8")
+    return read(spark, d, "pages").select("page_id", F.md5(h).alias("md5"), ids.digest_matches(h, F.substring(F.sha2(h, 256), 1, 8)).alias("ok"))
+
+
+@query("SELECT o_orderkey, replace(CASE WHEN o_orderkey % 5 = 0 THEN '0001-01-01' ELSE strftime(o_orderdate, '%Y-%m-%d') END, '0001-01-01', '1970-01-01') AS day FROM orders")
+def sentinel_dates(spark, d):
+    day = F.when(F.col("o_orderkey") % 5 == 0, F.lit("0001-01-01")).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
+    return read(spark, d, "orders").select("o_orderkey", ids.without_sentinel_dates(day).alias("day"))
+
+
+# --- streams and event time --------------------------------------------------------------------------------------
+
+
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def tumbling_counts(spark, d):
+    return ingest.tumbling(read(spark, d, "events"), "1 hour", "event_type").withColumn("total", F.round("total", 4))
+
+
+@query("""WITH l AS (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS p FROM events), s AS (SELECT *, sum(CASE WHEN p IS NULL OR ts - p >= INTERVAL 30 MINUTE THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts) AS g FROM l)
+ SELECT user_id, min(ts) AS session_start, max(ts) AS last, count(*) AS n FROM s GROUP BY user_id, g""")
+def session_windows(spark, d):
+    return ingest.sessions(read(spark, d, "events"), "30 minutes", "user_id")
+
+
+@query("SELECT event_type, count(DISTINCT event_id) AS n FROM events GROUP BY event_type")
+def stream_ingest_dedup(spark, d):
+    """events sent twice through a file stream, deduplicated within the watermark and counted."""
+    root = os.path.join(tempfile.gettempdir(), f"tessera-stream-{uuid.uuid4().hex}")
+    events = read(spark, d, "events")
+    events.unionByName(events).write.parquet(f"{root}/in")
+    out = f"{root}/out"
+    once = ingest.once_each(ingest.file_stream(spark, f"{root}/in", events.schema), "event_id", "ts", "400 days")
+    ingest.ingest(once, lambda batch, n: batch.write.mode("overwrite").parquet(f"{out}/batch={n}"), f"{root}/state").awaitTermination()
+    return spark.read.parquet(out).groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+# --- quadtree ----------------------------------------------------------------------------------------------------
+
+
+@query()
+def quadtree_split(spark, d):
+    """Rows only: the split is greedy."""
+    return quadtree.quadtree(fx.patches(spark, d).filter("level = 1"), "slide_no", 64)
