@@ -222,9 +222,11 @@ def backward(p: dict[str, np.ndarray], saved, dlogit: np.ndarray) -> dict[str, n
 
 def _logits(p: dict[str, np.ndarray], x: np.ndarray, first: np.ndarray, length: np.ndarray) -> np.ndarray:
     out = np.empty(len(first), _F)
-    gates = gates_of(p, x)
     for i in range(0, len(first), _BATCH):
-        out[i : i + _BATCH] = forward(p, x, first[i : i + _BATCH], length[i : i + _BATCH], gates=gates)[0]
+        f, n = first[i : i + _BATCH], length[i : i + _BATCH]
+        lo, hi = int(f.min()), int((f + n).max())  # windows come in the order of the words
+        own = x[lo:hi]
+        out[i : i + _BATCH] = forward(p, own, f - lo, n, gates=gates_of(p, own))[0]
     return out
 
 
@@ -251,14 +253,33 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * top.astype(np.float64) + self.shift, -40, 40)))
 
 
-def _joined(parts: list[Words]) -> Words:
-    base = np.cumsum([0] + [w.at[-1] for w in parts])
-    pieces = np.cumsum([0] + [w.piece_at[-1] for w in parts])
-    cat = np.concatenate
-    return Words(
-        cat([w.form for w in parts]), cat([w.head for w in parts]), cat([w.piece for w in parts]), cat([w.piece_at[:-1] + o for w, o in zip(parts, pieces[:-1], strict=True)] + [pieces[-1:]]),
-        cat([w.length for w in parts]), cat([w.at[:-1] + o for w, o in zip(parts, base[:-1], strict=True)] + [base[-1:]]),
-    )
+def _shares(texts: pa.Array, y: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For forms, heads and pieces: how many toxic and how many clean texts each bucket is in."""
+    counts = [(np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, np.int64)) for _ in range(3)]
+    for t in K.texts(texts, _SLICE):
+        w = words_of(t)
+        owner = K.owners(w.at)
+        for (bad, good), bucket, of in zip(counts, (w.form, w.head, w.piece), (owner, owner, np.repeat(owner, np.diff(w.piece_at))), strict=True):
+            pairs = np.unique(of * (1 << BITS) + bucket)  # once a text
+            label, b = y[t.first + (pairs >> BITS)], pairs & ((1 << BITS) - 1)
+            bad += np.bincount(b, label, 1 << BITS).astype(np.int64)
+            good += np.bincount(b, 1 - label, 1 << BITS).astype(np.int64)
+    return counts
+
+
+def _training_inputs(texts: pa.Array, y: np.ndarray, counts: list, ratio: float) -> tuple[np.ndarray, np.ndarray]:
+    """(input rows, words of each text), with a text's own count left out."""
+    rows, sizes = [np.zeros((0, _INPUTS), _F)], []
+    for t in K.texts(texts, _SLICE):
+        w = words_of(t)
+        owner = K.owners(w.at)
+        own = []
+        for (bad, good), bucket, of in zip(counts, (w.form, w.head, w.piece), (owner, owner, np.repeat(owner, np.diff(w.piece_at))), strict=True):
+            label = y[t.first + of]
+            own.append(_association(bad[bucket] - label, good[bucket] - (1 - label), ratio))
+        rows.append(inputs(w, *own))
+        sizes.append(np.diff(w.at))
+    return np.concatenate(rows), np.concatenate(sizes)
 
 
 def train(texts: pa.Array, toxic: np.ndarray, epochs: int = 8, seed: int = 7) -> Model:
@@ -266,21 +287,12 @@ def train(texts: pa.Array, toxic: np.ndarray, epochs: int = 8, seed: int = 7) ->
     nothing = np.zeros(1 << BITS, _F)
     if len(y) == 0 or not 0 < y.sum() < len(y):
         return Model(nothing, nothing, nothing, None, 1.0, 0.5 * float(y.sum() / (len(y) + 1)) if len(y) else 0.0)
-    w = _joined([words_of(t) for t in K.texts(texts)])
-    owner = K.owners(w.at)
-    piece_owner = np.repeat(owner, np.diff(w.piece_at))
     ratio = y.sum() / (len(y) - y.sum())
-    tables, own = [], []
-    for bucket, of in ((w.form, owner), (w.head, owner), (w.piece, piece_owner)):
-        pairs = np.unique(of * (1 << BITS) + bucket)  # once a text
-        text, b = pairs >> BITS, pairs & ((1 << BITS) - 1)
-        bad = np.bincount(b, y[text], 1 << BITS)
-        good = np.bincount(b, 1 - y[text], 1 << BITS)
-        tables.append(_association(bad, good, ratio))
-        own.append(_association(bad[bucket] - y[of], good[bucket] - (1 - y[of]), ratio))
-    x = inputs(w, *own)
-    text, first, length = windows_of(np.diff(w.at))
-    first = first + w.at[text]
+    counts = _shares(texts, y)
+    tables = [_association(bad, good, ratio) for bad, good in counts]
+    x, n_words = _training_inputs(texts, y, counts, ratio)
+    text, first, length = windows_of(n_words)
+    first = first + (np.cumsum(n_words) - n_words)[text]
     at = np.searchsorted(text, np.arange(len(y) + 1))
     p, rng = initial(seed), np.random.default_rng(seed)
     m, v, step = {k: np.zeros_like(a) for k, a in p.items()}, {k: np.zeros_like(a) for k, a in p.items()}, 0
