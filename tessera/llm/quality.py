@@ -23,8 +23,9 @@ from pyspark.sql import functions as F
 from tessera.llm import textkernel as K
 
 SAMPLE = 2500
-THRESHOLD = 0.7  # of the probability that a text is bad
+THRESHOLD = 0.3  # of the probability that a text is bad
 BITS = 17
+LEAST_TEXTS = 4
 _FAMILIES = 4
 _SCALE = 30.0
 
@@ -163,9 +164,16 @@ def _rows(array: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _fit(rows, codes, values, y, weight, steps: int = 60, l2: float = 1e-5) -> tuple[np.ndarray, float]:
-    """Weights and bias by Adam on the whole sample."""
+    """Weights and bias by Adam on the whole sample, over features of at least LEAST_TEXTS texts; rarer ones could only be learnt by heart."""
     dims = _FAMILIES << BITS
+    common = (np.bincount(codes[weight[rows] > 0], minlength=dims) >= min(LEAST_TEXTS, len(y)))[codes]
+    rows, codes, values = rows[common], codes[common], values[common]
     used, codes = np.unique(codes, return_inverse=True)
+    # Each feature enters by its log ratio between the labels, so that those alike in both weigh little from the start.
+    seen = weight[rows] > 0
+    bad, good = (np.bincount(codes[seen], (y[rows] == k)[seen], len(used)) for k in (1, 0))
+    ratio = np.log((bad + 1) / ((y == 1) & (weight > 0)).sum() / ((good + 1) / ((y == 0) & (weight > 0)).sum()))
+    values = values * ratio[codes]
     w, bias = np.zeros(len(used) + 1), 0.0
     m, v = np.zeros(len(w)), np.zeros(len(w))
     share = weight / weight.sum()
@@ -180,7 +188,7 @@ def _fit(rows, codes, values, y, weight, steps: int = 60, l2: float = 1e-5) -> t
         v = 0.99 * v + 0.01 * grad**2
         w -= 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
     out = np.zeros(dims, np.float32)
-    out[used] = w[:-1]
+    out[used] = w[:-1] * ratio
     bias = float(w[-1])
     return out, bias
 
