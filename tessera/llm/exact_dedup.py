@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import store
+from tessera.llm.shared import fresh, store
 
 #: log2 of the number of runs that one merge takes.
 BITS = 3
@@ -102,7 +102,8 @@ def duplicates(docs: DataFrame, keep: str = "largest") -> DataFrame:
 
 def deduplicate(docs: DataFrame, keep: str = "largest") -> DataFrame:
     """The rows of docs that stay, one for each distinct text, with all their columns."""
-    stay = duplicates(docs, keep).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
-    keyed = docs.withColumn("_sha", F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256))
-    keyed = keyed.join(stay, (keyed["doc_id"].eqNullSafe(stay["_id"])) & (keyed["_sha"] == stay["_sha"]), "left_semi")
-    return keyed.dropDuplicates(["doc_id", "_sha"]).drop("_sha")
+    sha, own_id = fresh(docs, "_sha"), fresh(docs, "_id")
+    stay = duplicates(docs, keep).filter("kept").select(F.col("doc_id").alias(own_id), F.col("text_sha256").alias(f"{sha}2")).distinct()
+    keyed = docs.withColumn(sha, F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256))
+    keyed = keyed.join(stay, (keyed["doc_id"].eqNullSafe(stay[own_id])) & (keyed[sha] == stay[f"{sha}2"]), "left_semi")
+    return keyed.dropDuplicates(["doc_id", sha]).drop(sha)

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.llm import textkernel as K
-from tessera.llm.shared import store
+from tessera.llm.shared import fresh, store
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -180,6 +180,7 @@ def report(docs: DataFrame) -> DataFrame:
 def mix(docs: DataFrame) -> DataFrame:
     """docs with every row repeated as often as the mix takes it; rows taken zero times go."""
     # Rows that share a doc_id are given the largest of their numbers of copies.
-    taken = copies(docs).groupBy("doc_id").agg(F.max("copies").alias("_copies")).withColumnRenamed("doc_id", "_id")
-    out = docs.join(taken, docs["doc_id"].eqNullSafe(taken["_id"])).filter("_copies > 0")
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).drop("_copy", "_copies", "_id")
+    n, own_id, copy = fresh(docs, "_copies"), fresh(docs, "_id"), fresh(docs, "_copy")
+    taken = copies(docs).groupBy("doc_id").agg(F.max("copies").alias(n)).withColumnRenamed("doc_id", own_id)
+    out = docs.join(taken, docs["doc_id"].eqNullSafe(taken[own_id])).filter(F.col(n) > 0)
+    return out.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(n)))).drop(copy, n, own_id)

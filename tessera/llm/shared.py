@@ -56,6 +56,14 @@ def write_file(uri: str, data) -> None:
     fs.move(part, path)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def by_group(df: DataFrame, key: str, salt: Column, salts: int, aggregates: dict[str, tuple[Column, callable]]) -> DataFrame:
     """df with, on every row, aggregates over all rows of its key; no task sees a whole hot key.
 
