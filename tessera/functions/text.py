@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 START, END = 49406, 49407
 
@@ -31,7 +32,7 @@ def _quoted(s: str) -> str:
     return r"\Q" + s + r"\E"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unescape_twice(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in batches:
         yield s.map(lambda t: t if t is None else html.unescape(html.unescape(t)))
