@@ -12,7 +12,8 @@ from pyspark.sql.window import Window
 
 from tessera.functions.ids import order_key
 from tessera.functions.vector import cosine
-from tessera.operators.knn import knn, numbered_rows
+from tessera.operators.components import cut
+from tessera.operators.knn import knn, matrix, numbered_rows
 
 DEGREE = 64
 MAX_GRAPH_BYTES = 512 << 20
@@ -54,13 +55,15 @@ def pruned(nodes: DataFrame, supporting: DataFrame, semantic: DataFrame, degree:
     level in a seeded order, as far as there are any. To fill, each node looks at places after its own in that order:
     no more than are missing and taken, so nothing is paired with all.
     """
-    both = supporting.select("src", "dst", F.lit(0).alias("kind")).unionByName(semantic.select("src", "dst", F.lit(1).alias("kind")))
-    both = both.filter("src <> dst").groupBy("src", "dst").agg(F.min("kind").alias("kind"))
+    # The search's scores are reused; cosines are computed for the few supporting edges alone.
     v = nodes.select(F.col("node").alias("src"), F.col("embedding").alias("_a"))
     u = nodes.select(F.col("node").alias("dst"), F.col("embedding").alias("_b"))
-    near = both.join(v, "src").join(u, "dst").select("src", "dst", "kind", F.round(cosine(F.col("_a"), F.col("_b"), "epsilon"), 9).alias("_s"))
+    upright = supporting.join(v, "src").join(u, "dst").select("src", "dst", F.lit(0).alias("kind"), cosine(F.col("_a"), F.col("_b"), "epsilon").alias("score"))
+    both = upright.unionByName(semantic.select("src", "dst", F.lit(1).alias("kind"), "score")).filter("src <> dst")
+    near = both.groupBy("src", "dst").agg(F.min("kind").alias("kind"), F.round(F.max("score"), 9).alias("_s"))
     first = Window.partitionBy("src").orderBy("kind", F.desc("_s"), "dst")
-    kept = near.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= degree).drop("_s")
+    # Read three times below: cut here, so the search behind the edges runs once.
+    kept = cut(near.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= degree).drop("_s"))
     # Every level's nodes on a ring, in seeded order.
     ring = nodes.select("node", "level", order_key(F.col("node"), seed=seed).alias("_k"))
     placed = numbered_rows(ring, "level", "_k", "node")
@@ -103,14 +106,15 @@ def beam_search(index: DataFrame, queries: DataFrame, k: int = 10, buffer: int =
     with each step's neighbours; the search ends when a step adds nothing.
     """
     spark = index.sparkSession
+    index = cut(index.select("node", "embedding", "adj"))
     size = index.agg(F.sum(F.size("embedding") * 8 + F.size("adj") * 8 + 16)).first()[0] or 0
     if size > MAX_GRAPH_BYTES:
         raise ValueError(f"the graph takes {size} bytes; search it by parts of at most {MAX_GRAPH_BYTES}")
-    rows = index.orderBy("node").select("node", "embedding", "adj").toPandas()
+    rows = index.orderBy("node").toArrow()
     ids = rows["node"].to_numpy()
-    vectors = np.array(rows["embedding"].tolist(), np.float64)
-    place = {int(n): i for i, n in enumerate(ids)}
-    adj = np.array([[place.get(int(n), -1) for n in a] for a in rows["adj"]], np.int64).reshape(len(ids), -1)
+    vectors, near = matrix(rows["embedding"]), matrix(rows["adj"]).astype(np.int64)
+    at = np.minimum(np.searchsorted(ids, near), len(ids) - 1)
+    adj = np.where(ids[at] == near, at, -1)
     norms = np.linalg.norm(vectors, axis=1)
     shared = spark.sparkContext.broadcast((ids, vectors, norms, adj))
 
