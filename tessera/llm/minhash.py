@@ -290,7 +290,7 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     members = store(families.join(sizes, "label"), "families")
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(members, "id").select("id", "label", "n", "text")
     full = texts.mapInArrow(_full_sets, "id long, label long, n long, shingles binary")
-    dealt = in_blocks(full, "label", "n", BLOCK // 2).select("label", "_i", "_j", "id", "shingles")
+    dealt = in_blocks(full, "label", "n", BLOCK // 4).select("label", "_i", "_j", "id", "shingles")
     return dealt.mapInArrow(_forests("label", _similar), "a long, b long")
 
 
