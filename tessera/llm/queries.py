@@ -71,5 +71,27 @@ FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 """
 
 
+# Base 32 of a digest: five hexadecimal digits make four letters.
+_OP6 = """
+WITH h AS (SELECT page_id, coalesce(html, '') AS p, sha1(coalesce(html, '')) AS d FROM pages),
+ f AS (SELECT *, min(page_id) OVER (PARTITION BY p) AS first FROM h)
+SELECT page_id, strlen(p) AS payload_bytes,
+ array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((('0x' || substr(d, CAST(i // 4 * 5 + 1 AS INT), 5))::BIGINT >> CAST(15 - i % 4 * 5 AS INT)) & 31 AS INT) + 1, 1)), '') AS payload_digest,
+ CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM f
+"""
+
+_OP7 = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS t FROM documents),
+ s AS (SELECT DISTINCT doc_id, array_to_string(t[i : i + 4], ' ') AS g FROM (SELECT doc_id, t, unnest(range(1, greatest(len(t) - 3, 2))) AS i FROM w WHERE len(t) > 0)),
+ n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+ p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+ e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 75 * (x.n + y.n - k)),
+ c(node, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT c.node, e.b FROM c JOIN e ON e.a = c.other)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, r.m AS component_id, d.doc_id = r.m AS kept
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT node, min(other) AS m FROM c GROUP BY node) r ON r.node = d.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op8_exact_dedup": _OP8}
+    return {"op6_warc": _OP6, "op7_minhash": _OP7, "op8_exact_dedup": _OP8}
