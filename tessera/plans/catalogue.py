@@ -41,6 +41,12 @@ def query(oracle: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+def _scratch(spark: SparkSession, name: str) -> str:
+    """A new folder where the session keeps its checkpoints; a temporary one where it names none, as in tests."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "checkpoints", "tessera")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
@@ -564,8 +570,7 @@ def anti_join_new(spark, d):
 
 @query(_topk("SELECT * FROM embeddings WHERE vec_id < 20", "SELECT * FROM embeddings WHERE label <> 2", COS, 5, "DESC", "n.label > 5"))
 def collection_search(spark, d):
-    root = os.path.join(tempfile.gettempdir(), f"tessera-collection-{uuid.uuid4().hex}") if spark.sparkContext.master.startswith("local[") else f"{spark.conf.get('spark.checkpoint.dir')}/collection-{uuid.uuid4().hex}"
-    c = collection.Collection(spark, root, "vectors")
+    c = collection.Collection(spark, _scratch(spark, "collection"), "vectors")
     c.create(64, "cosine", "label int")
     e = fx.embeddings(spark, d).select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
     c.upsert(e)
@@ -716,7 +721,7 @@ def session_windows(spark, d):
 @query("SELECT event_type, count(DISTINCT event_id) AS n FROM events GROUP BY event_type")
 def stream_ingest_dedup(spark, d):
     """events sent twice through a file stream, deduplicated within the watermark and counted."""
-    root = os.path.join(tempfile.gettempdir(), f"tessera-stream-{uuid.uuid4().hex}")
+    root = _scratch(spark, "stream")
     events = read(spark, d, "events")
     events.unionByName(events).write.parquet(f"{root}/in")
     out = f"{root}/out"
