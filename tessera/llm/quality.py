@@ -148,49 +148,47 @@ class Model:
 
 
 def _rows(array: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, feature, value) of texts, each feature once a row."""
-    rows, codes, values = [], [], []
+    """(row, feature, value) of texts, each feature once a row; features of under LEAST_TEXTS texts are left out, as they could only be learnt by heart."""
+    parts = [(np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.float32))]
     for t in K.texts(array):
         for f, (code, at) in enumerate(_features(t)):
-            owner = K.owners(at)
-            key, n = np.unique(owner * (1 << BITS) + code, return_counts=True)
+            key, n = np.unique(K.owners(at) * (1 << BITS) + code, return_counts=True)
             doc = key >> BITS
-            rows.append(doc + t.first)
-            codes.append((key & ((1 << BITS) - 1)) + (f << BITS))
-            values.append(_SCALE * n / np.diff(at)[doc])
-    if not rows:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32)
-    return np.concatenate(rows), np.concatenate(codes).astype(np.int32), np.concatenate(values).astype(np.float32)
+            share = (_SCALE * n / np.diff(at)[doc]).astype(np.float32)
+            parts.append(((doc + t.first).astype(np.int32), ((key & ((1 << BITS) - 1)) + (f << BITS)).astype(np.int32), share))
+    seen = np.zeros(_FAMILIES << BITS, np.int32)
+    for _, codes, _ in parts:
+        seen += np.bincount(codes, minlength=len(seen)).astype(np.int32)
+    common = seen >= min(LEAST_TEXTS, len(array))
+    for i, (rows, codes, values) in enumerate(parts):
+        keep = common[codes]
+        parts[i] = (rows[keep], codes[keep], values[keep])
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
 def _fit(rows, codes, values, y, weight, steps: int = 60, l2: float = 1e-5) -> tuple[np.ndarray, float]:
-    """Weights and bias by Adam on the whole sample, over features of at least LEAST_TEXTS texts; rarer ones could only be learnt by heart."""
-    dims = _FAMILIES << BITS
-    common = (np.bincount(codes[weight[rows] > 0], minlength=dims) >= min(LEAST_TEXTS, len(y)))[codes]
-    rows, codes, values = rows[common], codes[common], values[common]
-    used, codes = np.unique(codes, return_inverse=True)
-    # Each feature enters by its log ratio between the labels, so that those alike in both weigh little from the start.
-    seen = weight[rows] > 0
-    bad, good = (np.bincount(codes[seen], (y[rows] == k)[seen], len(used)) for k in (1, 0))
-    ratio = np.log((bad + 1) / ((y == 1) & (weight > 0)).sum() / ((good + 1) / ((y == 0) & (weight > 0)).sum()))
+    """Weights and bias by Adam on the rows of positive weight.
+
+    Each feature enters by its log ratio between the labels, so that those alike in both weigh little from the start.
+    """
+    inside = weight[rows] > 0
+    rows, codes, values = rows[inside], codes[inside], values[inside]
+    share = (weight / weight.sum()).astype(np.float32)
+    bad, good = ((y == k) & (weight > 0) for k in (1, 0))
+    ratio = np.log((np.bincount(codes[bad[rows]], minlength=_FAMILIES << BITS) + 1) / bad.sum() / ((np.bincount(codes[good[rows]], minlength=_FAMILIES << BITS) + 1) / good.sum())).astype(np.float32)
     values = values * ratio[codes]
-    w, bias = np.zeros(len(used) + 1), 0.0
-    m, v = np.zeros(len(w)), np.zeros(len(w))
-    share = weight / weight.sum()
+    w, bias = np.zeros(_FAMILIES << BITS, np.float32), 0.0
+    m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for step in range(1, steps + 1):
-        z = np.bincount(rows, values * w[codes], len(y)) + w[-1]
-        p = 1 / (1 + np.exp(-np.clip(z, -50, 50)))
-        g = share * (p - y)
-        grad = np.empty(len(w))
-        grad[:-1] = np.bincount(codes, values * g[rows], len(used)) + l2 * w[:-1]
-        grad[-1] = g.sum()
-        m = 0.9 * m + 0.1 * grad
-        v = 0.99 * v + 0.01 * grad**2
-        w -= 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-    out = np.zeros(dims, np.float32)
-    out[used] = w[:-1] * ratio
-    bias = float(w[-1])
-    return out, bias
+        z = np.bincount(rows, values * w[codes], len(y)) + bias
+        g = (share * (1 / (1 + np.exp(-np.clip(z, -50, 50))) - y)).astype(np.float32)
+        grad = np.bincount(codes, values * g[rows], len(w)).astype(np.float32) + l2 * w
+        a, b = 1 - 0.9**step, 1 - 0.99**step
+        m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
+        mb, vb = 0.9 * mb + 0.1 * g.sum(), 0.99 * vb + 0.01 * g.sum() ** 2
+        w -= (0.1 / a) * m / (np.sqrt(v / b) + 1e-8)
+        bias -= 0.1 * (mb / a) / ((vb / b) ** 0.5 + 1e-8)
+    return w * ratio, float(bias)
 
 
 def platt(z: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, float]:
@@ -216,8 +214,7 @@ def train(texts: pa.Array, bad: np.ndarray) -> Model | None:
     fold = np.arange(len(y)) % 5 == 0
     z = None
     if len(y) >= 50 and 0 < y[fold].sum() < fold.sum() and 0 < y[~fold].sum() < (~fold).sum():
-        inside = ~fold[rows]
-        w, b = _fit(rows[inside], codes[inside], values[inside], y, np.where(fold, 0, balanced))
+        w, b = _fit(rows, codes, values, y, np.where(fold, 0, balanced))
         z = np.bincount(rows, values * w[codes], len(y)) + b
     weights, bias = _fit(rows, codes, values, y, balanced)
     slope, shift = platt(z[fold], y[fold]) if z is not None else (1.0, 0.0)
