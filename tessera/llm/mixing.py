@@ -131,9 +131,14 @@ def rates(sized: DataFrame, wanted: DataFrame) -> DataFrame:
     c = classes.alias("c").join(solved, F.col("c.source").eqNullSafe(F.col("s.source")), "left")
     rate = F.when(F.col("size") == 0, F.lit(1.0)).when(F.col("lam") == float("inf"), F.lit(float(CAP))).otherwise(_rate(F.col("lam"), F.col("size") / F.col("mean")))
     c = c.select("c.source", "size", "_salt", "n", F.round(rate * _ONE).cast("long").alias("w"))
-    # The window runs over classes (distinct sizes by salt), never over documents.
-    before = Window.partitionBy("source").orderBy("size", "_salt").rowsBetween(Window.unboundedPreceding, -1)
-    return c.withColumn("c0", F.coalesce(F.sum(F.col("w") * F.col("n")).over(before), F.lit(0)))
+    # Sums in two steps: over a source's distinct sizes, then over the salts of one size; never over documents.
+    steps = c.groupBy("source", "size").agg(F.sum(F.col("w") * F.col("n")).alias("_s"))
+    smaller = Window.partitionBy("source").orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
+    steps = steps.select("source", "size", F.coalesce(F.sum("_s").over(smaller), F.lit(0)).alias("_start")).alias("s")
+    earlier = Window.partitionBy("source", "size").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
+    c = c.withColumn("_in", F.coalesce(F.sum(F.col("w") * F.col("n")).over(earlier), F.lit(0))).alias("c")
+    same = F.col("c.source").eqNullSafe(F.col("s.source")) & (F.col("c.size") == F.col("s.size"))
+    return c.join(steps, same).select("c.source", "c.size", "_salt", "n", "w", (F.col("_start") + F.col("_in")).alias("c0"))
 
 
 def _flipped(rounded: DataFrame) -> DataFrame:
