@@ -504,7 +504,7 @@ def beam_search(spark, d):
     """Rows only: an approximate search. Tests hold its recall against the exact one."""
     n = _nodes(spark, d)
     index = n.select("node", "embedding").join(graph.flattened(graph.pruned(n, graph.supporting_edges(n), graph.semantic_edges(n))).withColumnRenamed("src", "node"), "node")
-    return graph.beam_search(index, fx.queries(spark, d), 10)
+    return graph.beam_search(index, fx.asked(spark, d), 10)
 
 
 # --- approximate search ------------------------------------------------------------------------------------------
@@ -515,7 +515,7 @@ def ivf_search(spark, d):
     """Rows only: an approximate search."""
     e = fx.embeddings(spark, d)
     cells = ann.train_cells(e, 32)
-    return ann.ivf_search(ann.assigned(e, cells), cells, fx.queries(spark, d), 10, 12)
+    return ann.ivf_search(ann.assigned(e, cells), cells, fx.asked(spark, d), 10, 12)
 
 
 @query(_topk(Q50, ALL, L2SQ, 10, "ASC", "TRUE"))
@@ -528,13 +528,13 @@ def ivf_all_probes(spark, d):
 @query()
 def lsh_search(spark, d):
     """Rows only: an approximate search."""
-    return ann.lsh_search(fx.embeddings(spark, d), fx.queries(spark, d), 10)
+    return ann.lsh_search(fx.embeddings(spark, d), fx.asked(spark, d), 10)
 
 
 @query()
 def ann_recall(spark, d):
     """Rows only: recall of inverted lists, by query."""
-    exact = knn.knn(fx.embeddings(spark, d), fx.queries(spark, d), 10, "l2sq")
+    exact = knn.knn(fx.embeddings(spark, d), fx.asked(spark, d), 10, "l2sq")
     return metrics.recall(exact, ivf_search(spark, d), 10)
 
 

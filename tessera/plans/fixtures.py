@@ -39,6 +39,11 @@ def queries(spark: SparkSession, sf_dir: str, n: int = 50) -> DataFrame:
     return embeddings(spark, sf_dir).filter(F.col("vec_id") < n)
 
 
+def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector whose id is divisible by 20: a query set that grows with the table."""
+    return embeddings(spark, sf_dir).filter(F.col("vec_id") % 20 == 0)
+
+
 def infos(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.concat(F.col("slide_no").cast("string"), F.lit("_S"), F.col("slide_no").cast("string"), F.lit("_HE.svs"))
     size = F.lit(256)

@@ -70,3 +70,9 @@ def test_plans_prune_columns_and_push_filters(spark, sf):
     assert "PushedFilters: [IsNotNull(label), EqualTo(label,3)" in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
     plan = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id"))._jdf.queryExecution().toString()
     assert "ReadSchema: struct<doc_id:bigint>" in plan
+
+
+@pytest.mark.parametrize("name", ["ann_recall", "beam_search", "ivf_search", "lsh_search"])
+def test_approximate_searches_ask_every_twentieth_vector(spark, sf, name):
+    wanted = {r["vec_id"] for r in spark.read.parquet(f"{sf}/embeddings.parquet").filter("vec_id % 20 = 0").collect()}
+    assert {r["query_id"] for r in QUERIES[name](spark, sf).select("query_id").collect()} == wanted
