@@ -79,30 +79,41 @@ def ivf_search(index: DataFrame, centroids: np.ndarray, queries: DataFrame, k: i
     return ranked(found, k, metric == "l2sq").select("query_id", "rank", "neighbor_id", "score")
 
 
-def lsh_search(corpus: DataFrame, queries: DataFrame, k: int, tables: int = 16, bits: int = 6, seed: int = 42) -> DataFrame:
+def lsh_search(corpus: DataFrame, queries: DataFrame, k: int, tables: int = 16, bits: int = 6, seed: int = 42, flips: int = 4) -> DataFrame:
     """query_id, rank, neighbor_id, score (cosine) among rows that share a sign pattern with the query in some table.
 
-    Queries are a stated set: their patterns go to the tasks, which scan the corpus once and score candidates in numpy.
+    In each table a query asks for its own pattern, and for those with one of its ``flips`` least certain signs (nearest to
+    their plane) turned: a near row lies most often just across such a plane. Queries are a stated set: their patterns go to the tasks, which scan the corpus once and score candidates in numpy.
     """
     spark, found = corpus.sparkSession, None
     rows = corpus.filter("embedding is not null").select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
 
-    def patterns(x: np.ndarray) -> np.ndarray:
-        planes = np.random.default_rng(seed).normal(size=(x.shape[1], tables * bits))
-        return ((x @ planes > 0).reshape(len(x), tables, bits) * (1 << np.arange(bits))).sum(2)
+    def heights(x: np.ndarray) -> np.ndarray:
+        return (x @ np.random.default_rng(seed).normal(size=(x.shape[1], tables * bits))).reshape(len(x), tables, bits)
+
+    def patterns(h: np.ndarray) -> np.ndarray:
+        return ((h > 0) * (1 << np.arange(bits))).sum(2)
+
+    def probes(x: np.ndarray) -> np.ndarray:
+        h = heights(x)
+        own = patterns(h)[:, :, None]
+        return np.concatenate((own, own ^ (1 << np.argsort(np.abs(h), axis=2, kind="stable")[:, :, :flips])), 2)
 
     for ids, vectors in query_blocks(queries.select(F.col("vec_id").cast("long"), "embedding"), "embedding"):
-        shared = spark.sparkContext.broadcast((ids, vectors, patterns(vectors)))
+        shared = spark.sparkContext.broadcast((ids, vectors, probes(vectors)))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             ids, vectors, asked = shared.value
             held = [(np.zeros(0), np.zeros(0, np.int64)) for _ in ids]
+            table, wanted = np.arange(tables)[:, None], np.zeros((tables, 1 << bits), bool)
             for batch in batches:
                 for lo in range(0, batch.num_rows, 2048):
                     own, x = batch.column(0).slice(lo, 2048).to_numpy(), matrix(batch.column(1).slice(lo, 2048))
-                    mine = patterns(x)
+                    mine = np.ascontiguousarray(patterns(heights(x)).T)
                     for i in range(len(ids)):
-                        near = np.flatnonzero((mine == asked[i]).any(1))
+                        wanted[table, asked[i]] = True
+                        near = np.flatnonzero(wanted[table, mine].any(0))
+                        wanted[table, asked[i]] = False
                         if len(near):
                             s = scores("cosine", vectors[i : i + 1], x[near])[0]
                             key, who = np.concatenate((held[i][0], -s)), np.concatenate((held[i][1], own[near]))

@@ -76,3 +76,18 @@ def test_plans_prune_columns_and_push_filters(spark, sf):
 def test_approximate_searches_ask_every_twentieth_vector(spark, sf, name):
     wanted = {r["vec_id"] for r in spark.read.parquet(f"{sf}/embeddings.parquet").filter("vec_id % 20 = 0").collect()}
     assert {r["query_id"] for r in QUERIES[name](spark, sf).select("query_id").collect()} == wanted
+
+
+def recall_of_query(spark, folder, name, metric):
+    from tessera.operators.knn import knn
+    from tessera.plans import fixtures
+
+    exact = {(r["query_id"], r["neighbor_id"]) for r in knn(fixtures.embeddings(spark, folder), fixtures.asked(spark, folder), 10, metric).collect()}
+    found = [(r["query_id"], r["neighbor_id"]) for r in QUERIES[name](spark, folder).collect()]
+    assert len(found) == len(set(found))
+    return len(exact & set(found)) / len(exact)
+
+
+def test_recall_of_registered_lsh_search(spark, sf):
+    for folder in (sf, sf.replace("0.001", "0.01"), sf.replace("0.001", "0.1")):
+        assert recall_of_query(spark, folder, "lsh_search", "cosine") >= 0.9
