@@ -29,21 +29,25 @@ def train_cells(corpus: DataFrame, cells: int, iterations: int = 12, seed: int =
     return centre
 
 
-def assigned(corpus: DataFrame, centroids: np.ndarray) -> DataFrame:
-    """cell_id, vec_id, embedding of every row: written partitioned by cell_id, the index prunes to the probed cells."""
+def assigned(corpus: DataFrame, centroids: np.ndarray, copies: int = 1) -> DataFrame:
+    """cell_id, vec_id, embedding of every row: written partitioned by cell_id, the index prunes to the probed cells.
+
+    With ``copies`` a row stands in that many of its nearest cells, so rows near a border are found from either side.
+    """
     shared = corpus.sparkSession.sparkContext.broadcast(centroids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                own = scores("l2sq", matrix(batch.column("embedding")), shared.value).argmin(1)
-                yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), batch.column("vec_id"), batch.column("embedding")], names=["cell_id", "vec_id", "embedding"])
+                own = np.argsort(scores("l2sq", matrix(batch.column("embedding")), shared.value), axis=1, kind="stable")[:, :copies]
+                for cell in own.T:
+                    yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), batch.column("vec_id"), batch.column("embedding")], names=["cell_id", "vec_id", "embedding"])
 
     return corpus.filter("embedding is not null").select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInArrow(run, "cell_id int, vec_id long, embedding array<float>")
 
 
 def ivf_search(index: DataFrame, centroids: np.ndarray, queries: DataFrame, k: int, probes: int, metric: str = "l2sq") -> DataFrame:
-    """query_id, rank, neighbor_id, score among the rows of each query's nearest cells."""
+    """query_id, rank, neighbor_id, score among the rows of each query's nearest cells; a row of several cells counts once."""
     sign = 1.0 if metric == "l2sq" else -1.0
     spark, found = index.sparkSession, None
     for ids, vectors in query_blocks(queries.select(F.col("vec_id").cast("long"), "embedding"), "embedding"):
@@ -65,7 +69,8 @@ def ivf_search(index: DataFrame, centroids: np.ndarray, queries: DataFrame, k: i
                     s = sign * scores(metric, vectors[asked], matrix(batch.column("embedding").take(pa.array(mine))))
                     for i, row in zip(asked.tolist(), s, strict=True):
                         key, who = held.get(i, (np.zeros(0), np.zeros(0, np.int64)))
-                        key, who = np.concatenate((key, row)), np.concatenate((who, own))
+                        fresh = ~np.isin(own, who)
+                        key, who = np.concatenate((key, row[fresh])), np.concatenate((who, own[fresh]))
                         best = _best(key, who, k)
                         held[i] = key[best], who[best]
             if held:
@@ -76,7 +81,8 @@ def ivf_search(index: DataFrame, centroids: np.ndarray, queries: DataFrame, k: i
         found = part if found is None else found.unionByName(part)
     if found is None:
         return spark.createDataFrame([], "query_id long, rank long, neighbor_id long, score double")
-    return ranked(found, k, metric == "l2sq").select("query_id", "rank", "neighbor_id", "score")
+    once = found.groupBy("query_id", "neighbor_id").agg(F.min("score").alias("score"))
+    return ranked(once, k, metric == "l2sq").select("query_id", "rank", "neighbor_id", "score")
 
 
 def lsh_search(corpus: DataFrame, queries: DataFrame, k: int, tables: int = 16, bits: int = 6, seed: int = 42, flips: int = 4) -> DataFrame:

@@ -515,7 +515,7 @@ def ivf_search(spark, d):
     """Rows only: an approximate search."""
     e = fx.embeddings(spark, d)
     cells = ann.train_cells(e, 32)
-    return ann.ivf_search(ann.assigned(e, cells), cells, fx.asked(spark, d), 10, 12)
+    return ann.ivf_search(ann.assigned(e, cells, copies=2), cells, fx.asked(spark, d), 10, 12)
 
 
 @query(_topk(Q50, ALL, L2SQ, 10, "ASC", "TRUE"))

@@ -91,3 +91,8 @@ def recall_of_query(spark, folder, name, metric):
 def test_recall_of_registered_lsh_search(spark, sf):
     for folder in (sf, sf.replace("0.001", "0.01"), sf.replace("0.001", "0.1")):
         assert recall_of_query(spark, folder, "lsh_search", "cosine") >= 0.9
+
+
+def test_recall_of_registered_ivf_search(spark, sf):
+    for folder in (sf, sf.replace("0.001", "0.01"), sf.replace("0.001", "0.1")):
+        assert recall_of_query(spark, folder, "ivf_search", "l2sq") >= 0.9
