@@ -3,7 +3,7 @@
 Long strings are split by a byte-pair vocabulary. Words and names of a language cost few tokens for their length;
 random strings cost many. A run of key characters with under ``RATIO`` characters a token is reported as ``random``,
 unless it is a known digest (hexadecimal of a digest's length, a UUID) or an identifier (words, possibly joined or in
-camel case, numbers and versions at the end of words).
+camel case, numbers and versions at the end of words). Letters are a word only if they cost few tokens themselves.
 
 Defined cases: a null text is empty and has no spans; texts are scanned whole, whatever their length; repeated rows
 are scanned each; an empty table gives an empty result; further columns are ignored.
@@ -36,6 +36,7 @@ _HEX = re.compile(rb"[0-9a-f]{24,}")
 _RUN = re.compile(rb"[A-Za-z0-9+/_=-]{%d,}" % LEAST)
 _DIGEST = re.compile(rb"(?i:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128}|[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12})")
 _NAME = re.compile(rb"(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+(?![A-Za-z]))(?:[-_/+=]+(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+(?![A-Za-z]))|(?<=[a-z])[A-Z][a-z]+|(?<=[A-Za-z])[0-9]{1,4}(?![0-9A-Za-z]))*[-_/+=]*")
+_LETTERS = re.compile(rb"[A-Z]?[a-z]+|[A-Z]+")
 
 
 @lru_cache(maxsize=2)
@@ -48,8 +49,19 @@ def encoding(path: str):
     return tiktoken.Encoding("scan", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+@lru_cache(maxsize=1 << 16)
+def _is_word(letters: bytes, path: str, ratio: float) -> bool:
+    """Few tokens for its length, in the given case or in lower case, as few words in capitals are in a vocabulary."""
+    n = min(len(encoding(path).encode_ordinary(x)) for x in {letters.decode(), letters.decode().lower()})
+    return n == 1 or len(letters) >= ratio * n
+
+
+def is_name(run: bytes, path: str = VOCABULARY, ratio: float = RATIO) -> bool:
+    return bool(_NAME.fullmatch(run)) and all(_is_word(x, path, ratio) for x in _LETTERS.findall(run))
+
+
 def is_random(run: bytes, path: str = VOCABULARY, ratio: float = RATIO) -> bool:
-    if _DIGEST.fullmatch(run) or _NAME.fullmatch(run):
+    if _DIGEST.fullmatch(run) or is_name(run, path, ratio):
         return False
     return len(run) < ratio * len(encoding(path).encode_ordinary(run.decode()))
 

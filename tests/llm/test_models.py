@@ -139,6 +139,18 @@ def test_random_strings_are_told_from_words_digests_and_names():
     assert not any(map(secret_scan.is_random, plain))
 
 
+def drawn(rng: random.Random, letters: str, length: int, n: int = 200) -> list[bytes]:
+    return ["".join(rng.choice(letters) for _ in range(length)).encode() for _ in range(n)]
+
+
+def test_random_letters_of_one_case_are_no_names():
+    rng = random.Random(3)
+    for letters in ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"):
+        for length, least in ((16, 0.8), (24, 0.85), (32, 0.9)):
+            assert sum(map(secret_scan.is_random, drawn(rng, letters, length))) >= least * 200
+    assert not any(map(secret_scan.is_random, [b"MAX_CONNECTION_TIMEOUT_SECONDS", b"Donaudampfschifffahrtsgesellschaft"]))
+
+
 # --- quality ------------------------------------------------------------------------------------------------------
 
 
