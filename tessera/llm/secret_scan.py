@@ -3,7 +3,8 @@
 Long strings are split by a byte-pair vocabulary. Words and names of a language cost few tokens for their length;
 random strings cost many. A run of key characters with under ``RATIO`` characters a token is reported as ``random``,
 unless it is a known digest (hexadecimal of a digest's length, a UUID) or an identifier (words, possibly joined or in
-camel case, numbers and versions at the end of words). Letters are a word only if they cost few tokens themselves.
+camel case, numbers and versions at the end of words). Letters are a word only if they cost few tokens themselves. What
+other spans leave of a run is tested; if it is not random as a whole, so are its stretches of parts that can't be read.
 
 Defined cases: a null text is empty and has no spans; texts are scanned whole, whatever their length; repeated rows
 are scanned each; an empty table gives an empty result; further columns are ignored.
@@ -37,6 +38,8 @@ _RUN = re.compile(rb"[A-Za-z0-9+/_=-]{%d,}" % LEAST)
 _DIGEST = re.compile(rb"(?i:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128}|[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12})")
 _NAME = re.compile(rb"(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+(?![A-Za-z]))(?:[-_/+=]+(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+(?![A-Za-z]))|(?<=[a-z])[A-Z][a-z]+|(?<=[A-Za-z])[0-9]{1,4}(?![0-9A-Za-z]))*[-_/+=]*")
 _LETTERS = re.compile(rb"[A-Z]?[a-z]+|[A-Z]+")
+_PART = re.compile(rb"(?<![A-Za-z0-9])(?i:[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12})(?![A-Za-z0-9])|[A-Za-z0-9]+")
+_SHORT = 4
 
 
 @lru_cache(maxsize=2)
@@ -66,18 +69,53 @@ def is_random(run: bytes, path: str = VOCABULARY, ratio: float = RATIO) -> bool:
     return len(run) < ratio * len(encoding(path).encode_ordinary(run.decode()))
 
 
+def _stretches(run: bytes, path: str, ratio: float) -> Iterator[tuple[int, int]]:
+    """Stretches of at least ``LEAST`` characters from one part that can't be read to another, over short parts between."""
+    start = end = None
+    for m in _PART.finditer(run):
+        if not (_DIGEST.fullmatch(m[0]) or is_name(m[0], path, ratio)):
+            start, end = m.start() if start is None else start, m.end()
+        elif start is not None and len(m[0]) >= _SHORT:
+            if end - start >= LEAST:
+                yield start, end
+            start = None
+    if start is not None and end - start >= LEAST:
+        yield start, end
+
+
+def random_parts(run: bytes, path: str = VOCABULARY, ratio: float = RATIO) -> list[tuple[int, int]]:
+    """(start, end) of what is random in a run: all of it, or stretches beside readable parts."""
+    if _DIGEST.fullmatch(run) or is_name(run, path, ratio):
+        return []
+    if is_random(run, path, ratio):
+        return [(0, len(run))]
+    return [(s, e) for s, e in _stretches(run, path, ratio) if is_random(run[s:e], path, ratio)]
+
+
+def _outside(start: int, end: int, spans: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
+    """What sorted spans leave of start to end."""
+    for s, _, e in spans:
+        if s < end and start < e:
+            if start < s:
+                yield start, s
+            start = max(start, e)
+    if start < end:
+        yield start, end
+
+
 def find(text: bytes, path: str = VOCABULARY, ratio: float = RATIO) -> list[tuple[int, int, int]]:
-    """(start, kind, end) of every span, in bytes, sorted. A random run that meets another span is not told again."""
+    """(start, kind, end) of every span, in bytes, sorted. What lies in another span is not told again as random."""
     found = []
     if b":" in text or b"=" in text:
         found += [(m.start(), 0, m.end()) for m in _ASSIGN.finditer(text) if len(m[2]) >= 6]
     if b"AKIA" in text:
         found += [(m.start(), 1, m.end()) for m in _ACCESS.finditer(text) if m.end() - m.start() >= 20]
     found += [(m.start(), 2, m.end()) for m in _HEX.finditer(text)]
-    base = list(found)
+    base = sorted(found)
     for m in _RUN.finditer(text):
-        if not any(s < m.end() and m.start() < e for s, _, e in base) and is_random(m[0], path, ratio):
-            found.append((m.start(), 3, m.end()))
+        for s, e in _outside(m.start(), m.end(), base):
+            if e - s >= LEAST:
+                found += [(s + a, 3, s + b) for a, b in random_parts(text[s:e], path, ratio)]
     return sorted(found)
 
 

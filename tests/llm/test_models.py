@@ -151,6 +151,19 @@ def test_random_letters_of_one_case_are_no_names():
     assert not any(map(secret_scan.is_random, [b"MAX_CONNECTION_TIMEOUT_SECONDS", b"Donaudampfschifffahrtsgesellschaft"]))
 
 
+def test_random_strings_beside_readable_parts_and_spans_are_found():
+    rng = random.Random(4)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    for before, after in ((b"/usr/local/share/application/config/production/", b""), (b"com/api/v1/projects/settings/webhooks/", b""), (b"0123456789abcdef01234567-", b""), (b"", b"/settings/production/application/config")):
+        hit = 0
+        for x in drawn(rng, alphabet, 24):
+            lo = len(before)
+            hit += any(k == 3 and s < lo + 24 and lo < e for s, k, e in secret_scan.find(before + x + after))
+        assert hit >= 195
+    for plain in (b"users/123e4567-e89b-12d3-a456-426614174000/profile", b"src/main/java/com/company/project/HttpServerFactory"):
+        assert secret_scan.find(plain) == []
+
+
 # --- quality ------------------------------------------------------------------------------------------------------
 
 
