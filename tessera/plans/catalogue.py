@@ -642,11 +642,17 @@ def epoch_shuffle(spark, d):
     return corpus.epoch_order(read(spark, d, "documents").select("doc_id"), "doc_id", 3)
 
 
+#: Samples a batch: 8 devices of 64. Batches grow in number with the table, not in size.
+BATCH = 512
+
+
 @query()
 def inbatch_dedup(spark, d):
     """Rows only: the rule is greedy in order."""
     c = read(spark, d, "conversations")
-    return corpus.unique_in_batch(c.select((F.col("conv_id") % 20).alias("batch"), (F.col("conv_id") * 1000 + F.col("turn")).alias("place"), F.array("role", F.substring("text", 1, 2)).alias("texts")), "batch", "place")
+    # Ordered by all columns: both uses of the numbering then read one exchange, as a second draws other bounds.
+    turns = knn.numbered_rows(c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("place"), F.array("text").alias("texts")), "place", "texts")
+    return corpus.unique_in_batch(turns.select(F.floor(F.col("_row") / BATCH).cast("long").alias("batch"), "place", "texts"), "batch", "place")
 
 
 _LOGITS = "SELECT a.vec_id AS i, b.vec_id - 16 AS j, 20 * list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS logit FROM embeddings a, embeddings b WHERE a.vec_id < 16 AND b.vec_id BETWEEN 16 AND 31"

@@ -96,3 +96,22 @@ def test_recall_of_registered_lsh_search(spark, sf):
 def test_recall_of_registered_ivf_search(spark, sf):
     for folder in (sf, sf.replace("0.001", "0.01"), sf.replace("0.001", "0.1")):
         assert recall_of_query(spark, folder, "ivf_search", "l2sq") >= 0.9
+
+
+def test_inbatch_dedup_compares_whole_texts_in_bounded_batches(spark, tmp_path, monkeypatch):
+    texts = ["one two", "one three", "one two", "four", "one two", "four", "five", "one three"]
+    rows = [(i // 3, i % 3, "user", t) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    monkeypatch.setattr(catalogue, "BATCH", 4)
+    got = sorted((r["batch"], r["place"], r["texts"][0]) for r in QUERIES["inbatch_dedup"](spark, str(tmp_path)).collect())
+    wanted = []
+    for b in (0, 1):
+        seen = set()
+        for i in range(4 * b, 4 * b + 4):
+            if texts[i] not in seen:
+                wanted.append((b, i // 3 * 1000 + i % 3, texts[i]))
+            seen.add(texts[i])
+    assert got == wanted
+    monkeypatch.undo()
+    n = QUERIES["inbatch_dedup"](spark, "/root/testdata/sf0.1").groupBy("batch").count().collect()
+    assert sum(r["count"] for r in n) == 5012 and max(r["count"] for r in n) <= 512 and len(n) == 10
