@@ -101,15 +101,15 @@ def flattened(edges: DataFrame, degree: int = DEGREE) -> DataFrame:
 def beam_search(index: DataFrame, queries: DataFrame, k: int = 10, buffer: int = 200, expand: int = 2, max_iters: int = 20, starts: int = 128, seed: int = 42) -> DataFrame:
     """query_id, rank, neighbor_id, score by best-first search over index(node, embedding, adj).
 
-    The index goes to every task only if its size, checked first, is under ``MAX_GRAPH_BYTES``; a larger one is to be
-    searched by slide or level. Start nodes are a seeded draw for each query; a sorted buffer of the best nodes is merged
-    with each step's neighbours; the search ends when a step adds nothing.
+    The index goes to every task only if its size, checked first, is under ``MAX_GRAPH_BYTES``; a larger one stays where it
+    is, and the same search reads the nodes of each step by joins. Start nodes are a seeded draw for each query; a sorted
+    buffer of the best nodes is merged with each step's neighbours; the search ends when a step adds nothing.
     """
     spark = index.sparkSession
     index = cut(index.select("node", "embedding", "adj"))
     size = index.agg(F.sum(F.size("embedding") * 8 + F.size("adj") * 8 + 16)).first()[0] or 0
     if size > MAX_GRAPH_BYTES:
-        raise ValueError(f"the graph takes {size} bytes; search it by parts of at most {MAX_GRAPH_BYTES}")
+        return _searched_by_joins(index, queries, k, buffer, expand, max_iters, starts, seed)
     rows = index.orderBy("node").toArrow()
     ids = rows["node"].to_numpy()
     vectors, near = matrix(rows["embedding"]), matrix(rows["adj"]).astype(np.int64)
@@ -152,3 +152,67 @@ def beam_search(index: DataFrame, queries: DataFrame, k: int = 10, buffer: int =
             yield pd.DataFrame(out, columns=["query_id", "rank", "neighbor_id", "score"])
 
     return queries.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInPandas(run, "query_id long, rank long, neighbor_id long, score double")
+
+
+_STATE = "query_id long, embedding array<float>, best array<long>, score array<double>, opened array<long>, seen array<long>, over boolean"
+
+
+def _searched_by_joins(index: DataFrame, queries: DataFrame, k: int, buffer: int, expand: int, max_iters: int, starts: int, seed: int) -> DataFrame:
+    """The search of ``beam_search``, with a row of state for each query (bounded by starts and steps) and two joins a step."""
+    n = index.count()
+    placed = cut(numbered_rows(index.select("node"), "node"))
+
+    def drawn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            ids = [int(i) for i in pdf["query_id"]]
+            at = [np.random.default_rng([seed, i]).permutation(n)[:starts] for i in ids]
+            yield pd.DataFrame({"query_id": np.repeat(ids, [len(a) for a in at]), "_row": np.concatenate([*at, np.zeros(0, np.int64)])})
+
+    def step(first: bool):
+        def merge(state: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
+            if state.empty:
+                return state
+            s = state.iloc[0]
+            if s["over"]:
+                return state
+            q = np.asarray(s["embedding"], np.float64)
+            best, score, seen = (np.asarray(s[c], t) for c, t in (("best", np.int64), ("score", np.float64), ("seen", np.int64)))
+            opened = list(s["opened"]) if first else [*s["opened"], *_to_open(best, s["opened"], expand)]
+            near = near[~near["node"].isin(seen)].sort_values("node")
+            ids = near["node"].to_numpy(np.int64)
+            v = np.stack([np.asarray(x, np.float64) for x in near["embedding"]]) if len(ids) else np.zeros((0, len(q)))
+            new = v @ q / (np.linalg.norm(v, axis=1) * np.linalg.norm(q) + 1e-8)
+            add = new > (score[-1] if len(score) >= buffer else -np.inf)
+            over = not first and not add.any() and len(best) >= buffer
+            if not over:
+                best, score = np.concatenate((best, ids[add])), np.concatenate((score, new[add]))
+                order = np.lexsort((best, -score))[:buffer]
+                best, score = best[order], score[order]
+                over = not _to_open(best, opened, expand)
+            return pd.DataFrame({"query_id": [s["query_id"]], "embedding": [s["embedding"]], "best": [best], "score": [score], "opened": [opened], "seen": [np.concatenate((seen, ids))], "over": [over]})
+
+        return merge
+
+    def asked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = [(i, o) for i, best, opened in zip(pdf["query_id"], pdf["best"], pdf["opened"], strict=True) for o in _to_open(best, opened, expand)]
+            yield pd.DataFrame(out, columns=["query_id", "node"]).astype("int64")
+
+    none = lambda kind: F.array().cast(f"array<{kind}>")
+    state = queries.select(F.col("vec_id").cast("long").alias("query_id"), "embedding", none("long").alias("best"), none("double").alias("score"), none("long").alias("opened"), none("long").alias("seen"), F.lit(False).alias("over"))
+    fresh = state.select("query_id").mapInPandas(drawn, "query_id long, _row long").join(placed, "_row").select("query_id", "node")
+    for i in range(max_iters + 1):
+        near = fresh.join(index.select("node", "embedding"), "node")
+        state = cut(state.groupBy("query_id").cogroup(near.groupBy("query_id")).applyInPandas(step(i == 0), _STATE))
+        left = state.filter("not over")
+        if i == max_iters or left.isEmpty():
+            break
+        opening = left.select("query_id", "best", "opened").mapInPandas(asked, "query_id long, node long")
+        fresh = opening.join(index.select("node", "adj"), "node").select("query_id", F.explode("adj").alias("node")).filter("node >= 0").distinct()
+    hits = state.select("query_id", F.posexplode(F.slice(F.arrays_zip("best", "score"), 1, k)).alias("_p", "_h"))
+    return hits.select("query_id", (F.col("_p") + 1).cast("long").alias("rank"), F.col("_h.best").alias("neighbor_id"), F.col("_h.score").alias("score"))
+
+
+def _to_open(best, opened, expand: int) -> list[int]:
+    done = set(opened)
+    return [int(b) for b in best if int(b) not in done][:expand]
