@@ -51,45 +51,60 @@ def test_words_and_hashes_do_not_depend_on_slices():
 # --- language model -----------------------------------------------------------------------------------------------
 
 
-def kneser_ney(train: list[list[str]]):
-    pairs = Counter(x for w in train for x in zip(["<s>", *w[:-1]], w, strict=True))
+def kneser_ney(train: list[list[str]], order: int):
+    """p(words before, word) by the definition, and the words' counts. Counts below the highest order are numbers of different words before, or occurrences at the start of a text."""
     count = Counter(w for t in train for w in t)
-    left = Counter(w for _, w in pairs)
+    grams = {order: Counter(tuple(x) for t in train for x in zip(*([*["<s>"] * (order - 1), *t][i:] for i in range(order)), strict=False))}
+    for k in range(order - 1, 0, -1):
+        grams[k] = Counter()
+        for g, n in grams[k + 1].items():
+            grams[k][g[1:]] += n if k > 1 and g[:2] == ("<s>", "<s>") else 1
     of = lambda v: [sum(x == k for x in v) for k in (1, 2, 3, 4)]
-    high, low = lm_scoring.discounts(of(list(pairs.values()))), lm_scoring.discounts(of(list(left.values())))
+    cut = {k: lm_scoring.discounts(of(list(c.values()))) for k, c in grams.items()}
     total, rest = Counter(), Counter()
-    for (u, _), n in pairs.items():
-        total[u] += n
-        rest[u] += high[min(n, 3) - 1]
-    spare = sum(low[min(n, 3) - 1] for n in left.values()) / len(pairs)
+    for k, c in grams.items():
+        for g, n in c.items():
+            total[g[:-1]] += n
+            rest[g[:-1]] += cut[k][min(n, 3) - 1]
 
-    def p(u: str, w: str) -> float:
-        n = left[w]
-        base = (n - low[min(n, 3) - 1] if n else 0) / len(pairs) + spare / (len(count) + 1)
-        if not total[u]:
-            return base
-        k = pairs[u, w]
-        return (max(k - high[min(k, 3) - 1], 0) if k else 0) / total[u] + rest[u] / total[u] * base
+    def p(context: tuple, w: str) -> float:
+        k = len(context) + 1
+        lower = p(context[1:], w) if context else 1 / (len(count) + 1)
+        if not total[context]:
+            return lower
+        n = grams[k][(*context, w)]
+        return (max(n - cut[k][min(n, 3) - 1], 0) if n else 0) / total[context] + rest[context] / total[context] * lower
 
-    return p, count
+    def score(words: list[str]) -> float:
+        padded = [*["<s>"] * (order - 1), *words]
+        return sum(math.log10(p(tuple(padded[i : i + order - 1]), w)) for i, w in enumerate(words))
 
+    return p, count, score
 
-def test_scores_equal_brute_force(spark):
+
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_scores_equal_brute_force(spark, order, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "WIDE", 4)
     rng = random.Random(3)
     vocabulary = [f"w{i}" for i in range(120)] + ["Mixed", "É"]
     rows = [(i, " ".join(vocabulary[int(rng.random() ** 3 * len(vocabulary))] for _ in range(rng.randrange(0, 60)))) for i in range(200)]
     rows += list(enumerate(ODD, 300))
     df = spark.createDataFrame([(*r, 1.0, 2) for r in rows], "doc_id long, text string, score double, range int")
-    got = {r["doc_id"]: r for r in lm_scoring.score(df, F.col("doc_id") % 3 == 0).collect()}
+    got = {r["doc_id"]: r for r in lm_scoring.score(df, F.col("doc_id") % 3 == 0, order).collect()}
     tokens = {i: [*lowered(t), "</s>"] for i, t in rows}
-    p, count = kneser_ney([w for i, w in tokens.items() if i % 3])
+    p, count, score = kneser_ney([w for i, w in tokens.items() if i % 3], order)
     n, v = sum(count.values()), len(count)
-    assert sum(p("w0", w) for w in count) + p("w0", "never") == pytest.approx(1)
+    for context in (("w0", "w1", "w2")[: order - 1], ("<s>",) * (order - 1)):
+        assert sum(p(context, w) for w in count) + p(context, "never") == pytest.approx(1)
     for i, w in tokens.items():
         r = got[i]
         assert (r["n_tokens"], r["n_known"], r["train_tokens"], r["held_out"]) == (len(w), sum(count[x] > 0 for x in w), n, i % 3 == 0)
         assert r["base_score"] == pytest.approx(sum(math.log10((count[x] + 1) / (n + v + 1)) for x in w))
-        assert r["score"] == pytest.approx(sum(math.log10(p(a, b)) for a, b in zip(["<s>", *w[:-1]], w, strict=True)))
+        assert r["score"] == pytest.approx(score(w))
+
+
+def test_registered_language_model_is_a_trigram_model():
+    assert lm_scoring.ORDER == 3
 
 
 def test_language_model_without_rows(spark):
@@ -99,14 +114,41 @@ def test_language_model_without_rows(spark):
     assert untrained["train_tokens"] == 0 and untrained["score"] == 0.0 and untrained["n_known"] == 0
 
 
-def test_hot_words_are_dealt_and_merged(spark):
-    rows = [(i, " ".join(["hot", f"u{i % 400}"] * 30)) for i in range(400)]
+@pytest.mark.parametrize("order", [2, 3])
+def test_hot_words_are_dealt_and_merged(spark, order):
+    rows = [(i, " ".join(["hot", "warm", f"u{i % 400}"] * 30 + ["hot", "hot", f"v{i % 7}"])) for i in range(400)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    model = lm_scoring.fit(df, ranges=16)
-    assert len(model["hot"]) >= 2  # START and the hot word
-    p, _ = kneser_ney([[*lowered(t), "</s>"] for _, t in rows])
-    t = next(K.texts(pa.array(["hot u1 hot"])))
-    assert lm_scoring.score_texts(lm_scoring.Tables(model), t)["score"][0] == pytest.approx(sum(math.log10(p(a, b)) for a, b in [("<s>", "hot"), ("hot", "u1"), ("u1", "hot"), ("hot", "</s>")]))
+    model = lm_scoring.fit(df, 16, order)
+    assert len(model["hot"]) >= 3 and f"stats{order}" in model["tables"]  # START and the hot words
+    _, _, score = kneser_ney([[*lowered(t), "</s>"] for _, t in rows], order)
+    tables = lm_scoring.Tables(model, maps=3)
+    for text in ("hot warm u1 hot", "hot hot v3 warm hot never hot", ""):
+        got = lm_scoring.score_texts(tables, next(K.texts(pa.array([text]))))
+        assert got["score"][0] == pytest.approx(score([*text.split(), "</s>"]))
+    assert len(tables.open) <= 3
+
+
+def test_counts_over_a_byte_and_wide_contexts(tmp_path):
+    rng = np.random.default_rng(5)
+    context = K.mix(rng.integers(0, 50, 4000).astype(K.U))
+    last = np.arange(1, 4001, dtype=K.U)
+    n = rng.choice([1, 2, 3, 255, 256, 2**33], 4000)
+    lm_scoring.save_grams(str(tmp_path), 2, 0, context, last, n)
+    part = lm_scoring.Grams(lm_scoring._load(lm_scoring._name(str(tmp_path), "grams2", 0)))
+    lo, hi = part.contexts(context)
+    assert (part.find(lo, hi, context, last) == n).all() and (part.find(lo, hi, context, last + K.U(5000)) == 0).all()
+    for c in np.unique(context):
+        mine = n[context == c]
+        i = int(np.flatnonzero(context == c)[0])
+        assert part.sums_of(lo[i : i + 1], hi[i : i + 1])[:, 0].tolist() == [mine.sum(), (mine == 1).sum(), (mine == 2).sum(), (mine > 2).sum()]
+
+
+def test_rows_of_many_bits_are_counted():
+    rng = np.random.default_rng(1)
+    columns = [rng.integers(0, 3, 500).astype(K.U) * K.U(2**60), rng.integers(0, 3, 500).astype(K.U) * K.U(2**61), rng.integers(0, 3, 500).astype(K.U)]
+    got, n = lm_scoring.counted(columns, np.ones(500, np.int64))
+    wanted = Counter(zip(*(c.tolist() for c in columns), strict=True))
+    assert list(zip(*(c.tolist() for c in got), strict=True)) == sorted(wanted) and n.tolist() == [wanted[k] for k in sorted(wanted)]
 
 
 # --- secrets ------------------------------------------------------------------------------------------------------
