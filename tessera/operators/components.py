@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.session import remove, store
+
+#: Rows of one key that a join may have in one task; keys with more are split.
+HUB = 1_000_000
+
 
 class UnionFind:
     """Disjoint sets of 0..n-1; a set's root is its smallest member."""
@@ -21,34 +23,75 @@ class UnionFind:
             i = self.parent[i]
         return i
 
-    def union(self, i: int, j: int) -> None:
+    def union(self, i: int, j: int) -> bool:
+        """Join two sets; whether they were apart."""
         i, j = self.find(i), self.find(j)
         self.parent[max(i, j)] = min(i, j)
+        return i != j
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df behind a reliable checkpoint in the session's folder (a temporary one where none is set, as in tests)."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + os.path.join(tempfile.gettempdir(), "checkpoints", "tessera"))
-    return df.checkpoint()
+    """df behind a table in the shared folder."""
+    return store(df, "cut")
+
+
+def lookup(rows: DataFrame, key: str, table: DataFrame, largest: int | None, how: str = "inner") -> DataFrame:
+    """rows joined to a table with one row a key. A key has at most ``largest`` rows (None: not known).
+
+    Keys that may have over HUB rows are split: the table's row is first joined to the distinct (key, salt) of the rows,
+    at most one for each salt, and these to the rows.
+    """
+    if largest is not None and largest <= HUB:
+        return rows.join(table, key, how)
+    salts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2)
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int"))
+    spread = salted.select(key, "_salt").distinct().join(table, key)
+    return salted.join(spread, [key, "_salt"], how).drop("_salt")
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
-    """node, component (its smallest node) for every node of an undirected edge list.
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", told: list | None = None) -> DataFrame:
+    """node, component (its smallest node) for every node of an undirected edge list. Edges with a null end are left out.
 
-    Each round every node hooks to its smallest neighbour, hooks are followed twice, and edges are redrawn between the
-    survivors; the rounds are logarithmic in the longest path.
+    Each round gives nodes a new random order. Every node hooks to the first of those at most two steps away, hooks are
+    followed twice, and edges are drawn anew between the survivors. A node survives only if nothing near it comes before
+    it, so at most half of them do in expectation, on chains in any order too, and a star is gone after one round: the
+    rounds are logarithmic in the nodes, and their tables shrink. Hubs are split in joins and pre-aggregated elsewhere.
+    Only the number of edges and the largest degree leave the tables each round. told: gets these, a pair a round.
     """
-    rest = cut(edges.select(F.least(src, dst).alias("a"), F.greatest(src, dst).alias("b")).distinct())
-    labels = cut(rest.select(F.col("a").alias("node")).union(rest.select("b")).distinct().withColumn("component", F.col("node")))
-    rest = rest.filter("a <> b")
-    while not rest.isEmpty():
-        both = rest.union(rest.select("b", "a"))
-        hook = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("to"))
-        hook = cut(hook.join(hook.select(F.col("a").alias("to"), F.col("to").alias("beyond")), "to").select("a", F.col("beyond").alias("to")))
-        labels = cut(labels.join(hook.withColumnRenamed("a", "component"), "component", "left").select("node", F.coalesce("to", "component").alias("component")))
-        left = hook.select("a", F.col("to").alias("x"))
-        right = hook.select(F.col("a").alias("b"), F.col("to").alias("y"))
-        rest = cut(rest.join(left, "a").join(right, "b").filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-    return labels
+    first = store(edges.select(F.least(src, dst).alias("a"), F.greatest(src, dst).alias("b")).filter(F.col(src).isNotNull() & F.col(dst).isNotNull()).distinct(), "edges")
+    rest, hooks = first.filter("a <> b"), []
+    while True:
+        both = rest.unionByName(rest.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        n, degree = both.groupBy("a").count().agg(F.sum("count"), F.max("count")).first()
+        if not n:
+            break
+        if told is not None:
+            told.append((n // 2, degree))
+        order = lambda x: F.struct(F.xxhash64(x, F.lit(len(hooks))).alias("h"), F.col(x).alias("v"))  # noqa: B023, E731
+        near = both.groupBy("a").agg(F.min(order("b")).alias("near")).select("a", F.least(order("a"), "near").alias("near"))
+        beyond = lookup(both.select(F.col("a").alias("v"), F.col("b").alias("a")), "a", near, degree).groupBy("v").agg(F.min("near").alias("beyond"))
+        hook = near.join(beyond.withColumnRenamed("v", "a"), "a").select("a", F.least("near", "beyond")["v"].alias("to"))
+        hook = store(hook, "hooks")
+        again = hook.select(F.col("a").alias("to"), F.col("to").alias("on"))
+        hooks.append(store(lookup(hook, "to", again, None if degree > HUB else n).select("a", F.col("on").alias("to")), "hooks"))
+        left = lookup(rest, "a", hooks[-1], degree).select("b", F.col("to").alias("x"))
+        ends = lookup(left, "b", hooks[-1].select(F.col("a").alias("b"), "to"), degree).filter("x <> to")
+        drawn = store(ends.select(F.least("x", "to").alias("a"), F.greatest("x", "to").alias("b")).distinct(), "edges")
+        remove(hook, *([rest] if len(hooks) > 1 else []))
+        rest = drawn
+    nodes = first.select(F.col("a").alias("node")).union(first.select("b")).distinct()
+    roots = None
+    for hook in reversed(hooks):  # each table is a constant share of the one before it
+        hook = hook.select(F.col("a").alias("node"), F.col("to").alias("root"))
+        if roots is not None:
+            beyond = roots.select(F.col("node").alias("root"), F.col("root").alias("on"))
+            hook = lookup(hook, "root", beyond, None, "left").select("node", F.coalesce("on", "root").alias("root"))
+        roots = hook
+    if roots is None:
+        return nodes.withColumn("component", F.col("node"))
+    roots = store(roots, "roots")
+    least = roots.groupBy("root").agg(F.min("node").alias("component"))
+    named = store(lookup(roots, "root", least, None).select("node", "component"), "components")
+    out = nodes.join(named, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    remove(roots, *hooks, *([rest] if hooks else []))
+    return out

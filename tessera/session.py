@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+import uuid
 import weakref
 from pathlib import Path
 
@@ -47,3 +48,38 @@ def ship(spark: SparkSession) -> None:
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def folder(spark: SparkSession) -> str:
+    """The folder of this application that driver and executors share: in spark.checkpoint.dir.
+
+    On one machine, as in tests, a temporary folder is set where the session names none; a cluster must name one.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints", "tessera")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return f"{root.rstrip('/')}/tessera-{spark.sparkContext.applicationId}"
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    return f"{folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def store(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+    """Write df to the shared folder and read it back: lineage ends there, and a lost executor costs no rerun before it."""
+    path = new_path(df.sparkSession, name)
+    df.write.option("compression", codec).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back.stored_at = path
+    return back
+
+
+def remove(*stored: DataFrame) -> None:
+    """Delete tables of store() that nothing reads any more."""
+    for df in stored:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
