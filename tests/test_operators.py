@@ -122,6 +122,19 @@ def test_components_are_an_equivalence(spark, pairs):
     assert got == {n: sets.find(n) for p in pairs for n in p}
 
 
+def test_components_of_chains_and_hubs_take_few_rounds(spark, monkeypatch):
+    monkeypatch.setattr(components, "FINISH", 0)
+    chain = spark.range(9_999).selectExpr("id AS src", "id + 1 AS dst")
+    star = spark.range(20_001, 23_000).selectExpr("20500L AS src", "id AS dst")
+    told: list = []
+    got = components.connected_components(chain.union(star), told=told).groupBy("component").count().collect()
+    assert {r["component"]: r["count"] for r in got} == {0: 10_000, 20_001: 2_999}
+    assert len(told) <= 20
+    monkeypatch.setattr(components, "HUB", 10)  # keys with more rows are split
+    got = components.connected_components(star).agg(F.min("component"), F.max("component"), F.count("*")).first()
+    assert tuple(got) == (20_001, 20_001, 2_999)
+
+
 def test_supporting_edges(spark):
     rows = [(1, 1, 2, 4, 1), (2, 1, 3, 4, 1), (3, 1, 1, 2, 0)]
     nodes = spark.createDataFrame(rows, "node long, wsi_id long, gx int, gy int, level int")
