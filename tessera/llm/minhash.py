@@ -8,9 +8,12 @@ place fills. Places agree with probability equal to the sets' similarity, with t
 1. Documents with equal sets are one class; only the class's smallest doc_id goes on.
 2. Sketches are cut in ``BANDS`` bands of ``ROWS`` places; classes that agree in a band share a bucket. At similarity 0.75
    a pair shares none with probability 5e-6.
-3. In each bucket, pairs whose sketches agree in ``AGREE`` places or more (missed at 0.75 with probability under 1e-7) and
-   whose set sizes allow 0.75 are joined; connected components of these are families.
-4. In each family all pairs are compared on their full sets, in numpy; components of the exact links are the result.
+3. Every member of a bucket is compared with the bucket's first: where sketches agree in ``AGREE`` places or more (missed
+   at 0.75 with probability under 1e-7) and set sizes allow 0.75, the full sets decide. This is linear, and settles most.
+4. Buckets of three or more whose members are still apart have all pairs of sketches compared between what is apart, the
+   most alike first; the spanning forests found join the members to families, and full sets decide on their links.
+5. Families that are still apart after that have all pairs of full sets compared between what is apart, in numpy.
+   Components of all links that full sets confirmed are the result.
 
 Buckets and families over ``BLOCK`` members are cut in blocks, and pairs of blocks are dealt to tasks, so no task holds a
 whole large group, nothing is capped, and tasks return spanning forests of what they find, never all pairs. Links and
@@ -33,6 +36,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import textkernel as K
 from tessera.llm.shared import by_group, store
+from tessera.operators.components import UnionFind, connected_components, lookup
 
 WIDTH = 5
 PERCENT = 75
@@ -119,27 +123,6 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 # --- groups in blocks --------------------------------------------------------------------------------------------
 
 
-class Forest:
-    """Union-find over the members of one task's group."""
-
-    def __init__(self, n: int):
-        self.parent = list(range(n))
-
-    def root(self, i: int) -> int:
-        p = self.parent
-        while p[i] != i:
-            p[i] = p[p[i]]
-            i = p[i]
-        return i
-
-    def join(self, i: int, j: int) -> bool:
-        i, j = self.root(i), self.root(j)
-        if i == j:
-            return False
-        self.parent[max(i, j)] = min(i, j)
-        return True
-
-
 def in_blocks(rows: DataFrame, key: str, n: str, block: int = BLOCK) -> DataFrame:
     """rows dealt to pairs of blocks of their group: (key, _i, _j). A group of up to ``block`` members is one pair, (0, 0)."""
     k = F.ceil(F.col(n) / block).cast("int")
@@ -174,7 +157,7 @@ def _edges(found: list[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def _forests(key: str, linked):
-    """Spanning forests of the links that linked(table, forest) yields as pairs of rows."""
+    """Spanning forests of the links that linked(table) yields as pairs of rows, between members that have not one label."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[tuple[int, int]] = []
@@ -182,8 +165,13 @@ def _forests(key: str, linked):
             if table.num_rows < 2:
                 continue
             ids = table["id"].to_numpy()
-            forest = Forest(len(ids))
-            found += [(int(ids[i]), int(ids[j])) for i, j in linked(table, forest) if ids[i] != ids[j]]
+            forest = UnionFind(len(ids))
+            _, first, part = np.unique(table["part"].to_numpy(), return_index=True, return_inverse=True)
+            if len(first) < 2:
+                continue
+            for i, p in enumerate(part.tolist()):
+                forest.union(i, int(first[p]))
+            found += [(int(ids[i]), int(ids[j])) for i, j in linked(table, part) if forest.union(i, j) and ids[i] != ids[j]]
             if len(found) > 20_000:
                 yield _edges(found)
                 found = []
@@ -197,18 +185,30 @@ def _size_fits(n: np.ndarray, m: np.ndarray) -> np.ndarray:
     return 100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m)
 
 
-def _agreeing(table: pa.Table, forest: Forest) -> Iterator[tuple[int, int]]:
+def _agreeing(table: pa.Table, part: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Pairs of different parts whose sketches agree, the most alike first."""
     short = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint32).reshape(-1, BINS)
     n = table["n_shingles"].to_numpy()
+    pairs, scores = [], []
     for i in range(len(short) - 1):
-        hit = (short[i + 1 :] == short[i]).sum(1) >= AGREE
-        for j in np.flatnonzero(hit & _size_fits(n[i + 1 :], n[i])) + i + 1:
-            if forest.join(i, int(j)):
-                yield i, int(j)
+        same = (short[i + 1 :] == short[i]).sum(1)
+        hit = np.flatnonzero((same >= AGREE) & _size_fits(n[i + 1 :], n[i]) & (part[i + 1 :] != part[i]))
+        pairs.append(np.stack([np.full(len(hit), i), hit + i + 1], 1))
+        scores.append(same[hit])
+    pairs = np.concatenate(pairs)
+    yield from map(tuple, pairs[np.argsort(-np.concatenate(scores), kind="stable")].tolist())
+
+
+def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs (a, b) whose sketches agree."""
+    for batch in batches:
+        x, y = (np.frombuffer(b"".join(batch.column(f"sketch_{k}").to_pylist()), np.uint32).reshape(-1, BINS) for k in "ab")
+        hit = ((x == y).sum(1) >= AGREE) & _size_fits(batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy())
+        yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(hit)) for k in "ab"], names=["a", "b"])
 
 
-def _similar(table: pa.Table, forest: Forest) -> Iterator[tuple[int, int]]:
-    """Pairs whose full sets reach the similarity."""
+def _similar(table: pa.Table, part: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Pairs of different parts whose full sets reach the similarity."""
     sets = [np.frombuffer(x, _U) for x in table["shingles"].to_pylist()]
     n = np.array([len(s) for s in sets], np.int64)
     if len(sets) <= 3:
@@ -228,70 +228,97 @@ def _similar(table: pa.Table, forest: Forest) -> Iterator[tuple[int, int]]:
         product = np.zeros((len(sets), len(sets)), np.float32)
         cuts = np.searchsorted(code, np.arange(0, total + step, step))
         for k in range(len(cuts) - 1):
-            part = np.zeros((len(sets), min(step, total - k * step)), np.float32)
-            part[owner[cuts[k] : cuts[k + 1]], code[cuts[k] : cuts[k + 1]] - k * step] = 1
-            product += part @ part.T
+            some = np.zeros((len(sets), min(step, total - k * step)), np.float32)
+            some[owner[cuts[k] : cuts[k + 1]], code[cuts[k] : cuts[k + 1]] - k * step] = 1
+            product += some @ some.T
         shared = product.astype(np.int64)
     for i in range(len(sets) - 1):
         union = n[i] + n[i + 1 :] - shared[i, i + 1 :]
-        for j in np.flatnonzero((100 * shared[i, i + 1 :] >= PERCENT * union) & (union > 0)) + i + 1:
-            if forest.join(i, int(j)):
-                yield i, int(j)
+        for j in np.flatnonzero((100 * shared[i, i + 1 :] >= PERCENT * union) & (union > 0) & (part[i + 1 :] != part[i])) + i + 1:
+            yield i, int(j)
+
+
+def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs (a, id) whose full sets reach the similarity, from rows grouped by (a, _i) with the rows of a itself."""
+    for table in _by_pair_of_blocks(batches, "a"):
+        a, ids = table["a"][0].as_py(), table["id"].to_numpy()
+        sets = [np.frombuffer(x, _U) for x in table["shingles"].to_pylist()]
+        own = [s for s, i in zip(sets, ids, strict=True) if i == a]
+        found = set()
+        for s, i in zip(sets, ids.tolist(), strict=True):
+            for x in own if i != a else []:
+                if len(x) and len(s) and _size_fits(np.int64(len(x)), np.int64(len(s))):
+                    n = np.count_nonzero(x[np.minimum(np.searchsorted(x, s), len(x) - 1)] == s)
+                    if 100 * n >= PERCENT * (len(x) + len(s) - n):
+                        found.add((a, i))
+        if found:
+            yield _edges(sorted(found))
 
 
 def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for t in K.texts(batch.column("text")):
             rows = batch.slice(t.first, len(t))
-            yield pa.RecordBatch.from_arrays([rows.column("id"), rows.column("label"), rows.column("n"), pa.array([s.tobytes() for s in sets_of(t)], pa.binary())], names=["id", "label", "n", "shingles"])
-
-
-# --- components --------------------------------------------------------------------------------------------------
+            others = [n for n in batch.schema.names if n != "text"]
+            yield pa.RecordBatch.from_arrays([*(rows.column(n) for n in others), pa.array([s.tobytes() for s in sets_of(t)], pa.binary())], names=[*others, "shingles"])
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """id, label of every node of the edges (a, b): label is the smallest id of its component.
-
-    Each round, every label takes the smallest label next to it, two such steps are joined, and the edges are drawn anew
-    between labels, without loops and repeats. Rounds are logarithmic in number; only "are there edges left" leaves the tables.
-    """
-    rest = store(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
-    labels = None
-    while rest.limit(1).count():
-        both = rest.unionByName(rest.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = store(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("p")), "parents")
-        up = least.select(F.col("a").alias("p"), F.col("p").alias("q"))
-        parent = least.join(up, "p").select("a", F.col("q").alias("p"))
-        x, y = parent.select("a", F.col("p").alias("pa")), parent.select(F.col("a").alias("b"), F.col("p").alias("pb"))
-        moved = rest.join(x, "a").join(y, "b").filter("pa <> pb")
-        nxt = store(moved.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), "edges")
-        if labels is None:
-            labels = parent.select(F.col("a").alias("id"), F.col("p").alias("label"))
-        else:
-            to = parent.select(F.col("a").alias("label"), "p")
-            labels = labels.join(to, "label", "left").select("id", F.coalesce("p", "label").alias("label"))
-        labels = store(labels, "labels")
-        rest = nxt
-    if labels is None:
-        return rest.select(F.col("a").alias("id"), F.col("b").alias("label"))
-    return labels
+    """id, label of every node of the edges (a, b): label is the smallest id of its component."""
+    return connected_components(edges, "a", "b").select(F.col("node").alias("id"), F.col("component").alias("label"))
 
 
 # --- operator ----------------------------------------------------------------------------------------------------
 
 
+def confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The distinct pairs (a, b) whose full sets reach the similarity. A set is sent once for each pair, and that of a node
+    with many partners once for each ``BLOCK`` of them as well."""
+    sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("k"))
+    dealt = lookup(pairs, "a", sizes, None).select("a", F.pmod(F.xxhash64("b"), F.col("k")).cast("int").alias("_i"), F.col("b").alias("id"))
+    own = sizes.select("a", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("_i"), F.col("a").alias("id"))
+    asked = dealt.unionByName(own).withColumn("_j", F.lit(0))
+    nodes = asked.select("id").distinct()
+    sets = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(nodes, "id").select("id", "text").mapInArrow(_full_sets, "id long, shingles binary")
+    rows = asked.join(sets, "id").select("a", "_i", "_j", "id", "shingles").repartition("a", "_i").sortWithinPartitions("a", "_i", "_j", "id")
+    return rows.mapInArrow(_confirmed, "a long, b long")
+
+
+def _labelled(ids: DataFrame, label: DataFrame) -> DataFrame:
+    """ids with part: the label of each, itself where it has none."""
+    return ids.join(label.withColumnRenamed("label", "part"), "id", "left").withColumn("part", F.coalesce("part", "id"))
+
+
 def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Spanning links (a, b) between classes of similarity 0.75 or more. classes: id, n_shingles, sketch."""
+    """Links (a, b) that join all classes of similarity 0.75 or more. classes: id, n_shingles, sketch."""
     bands = classes.select("id", "sketch").mapInArrow(_bands, "key long, id long")
-    shared = bands.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    buckets = bands.join(shared, "key").join(classes, "id")
-    families = components(in_blocks(buckets, "key", "n").select("key", "_i", "_j", "id", "n_shingles", "sketch").mapInArrow(_forests("key", _agreeing), "a long, b long"))
-    sizes = families.groupBy("label").agg(F.count("*").alias("n"))
-    members = store(families.join(sizes, "label"), "families")
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(members, "id").select("id", "label", "n", "text")
-    full = texts.mapInArrow(_full_sets, "id long, label long, n long, shingles binary")
-    dealt = in_blocks(full, "label", "n", BLOCK // 4).select("label", "_i", "_j", "id", "shingles")
-    return dealt.mapInArrow(_forests("label", _similar), "a long, b long")
+    shared = store(bands.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("first")).filter("n > 1"), "buckets")
+    buckets = store(lookup(bands, "key", shared, None), "bucket-rows")
+    # What is alike to the first of its bucket.
+    side = lambda k: classes.select(F.col("id").alias(k), F.col("n_shingles").alias(f"n_{k}"), F.col("sketch").alias(f"sketch_{k}"))
+    stars = buckets.filter("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
+    stars = lookup(stars.join(side("b"), "b"), "a", side("a"), None).mapInArrow(_alike, "a long, b long")
+    found = store(confirmed(docs, store(stars, "alike")), "links")
+    # What else its bucket may hold.
+    parts = _labelled(buckets, components(found))
+    apart = parts.filter("n > 2").groupBy("key").agg(F.min("part").alias("x"), F.max("part").alias("y")).filter("x <> y").select("key")
+    left = lookup(parts, "key", apart, None).join(classes, "id")
+    forest = in_blocks(left, "key", "n").select("key", "_i", "_j", "id", "part", "n_shingles", "sketch").mapInArrow(_forests("key", _agreeing), "a long, b long")
+    forest = store(forest.distinct(), "alike")
+    if forest.isEmpty():
+        return found
+    more = store(found.unionByName(confirmed(docs, forest)), "links")
+    # Families that these links leave apart.
+    family = components(found.unionByName(forest))
+    parts = _labelled(family, components(more))
+    sizes = parts.groupBy("label").agg(F.count("*").alias("n"), F.min("part").alias("x"), F.max("part").alias("y")).filter("x <> y").select("label", "n")
+    members = store(lookup(parts, "label", sizes, None), "families")
+    if members.isEmpty():
+        return more
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(members, "id").select("id", "label", "n", "part", "text")
+    full = texts.mapInArrow(_full_sets, "id long, label long, n long, part long, shingles binary")
+    dealt = in_blocks(full, "label", "n", BLOCK // 4).select("label", "_i", "_j", "id", "part", "shingles")
+    return more.unionByName(dealt.mapInArrow(_forests("label", _similar), "a long, b long"))
 
 
 def groups(docs: DataFrame) -> DataFrame:

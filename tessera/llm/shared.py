@@ -4,32 +4,13 @@ from __future__ import annotations
 
 import os
 import re
-import tempfile
 import uuid
 
 import pyarrow.fs as pafs
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-def folder(spark: SparkSession) -> str:
-    """The shared folder of this application. Where the session names none, as in tests, a temporary one is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints", "tessera")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/tessera-{spark.sparkContext.applicationId}"
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def store(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends there, and a lost executor costs no rerun before it."""
-    path = new_path(df.sparkSession, name)
-    df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from tessera.session import folder, new_path, remove, store  # noqa: F401
 
 
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:

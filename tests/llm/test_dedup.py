@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import exact_dedup, minhash
 from tessera.llm import textkernel as K
@@ -116,8 +117,8 @@ def test_families_over_a_block_lose_no_link(spark):
 
     rows = near_copies(random.Random(8), 1, 40)
     sets = [s for t in K.texts(pa.array([t for _, t in rows])) for s in minhash.sets_of(t)]
-    df = spark.createDataFrame([(7, 40, i, bytearray(s.tobytes())) for (i, _), s in zip(rows, sets, strict=True)], "label long, n long, id long, shingles binary")
-    edges = in_blocks(df, "label", "n", 6).select("label", "_i", "_j", "id", "shingles").mapInArrow(_forests("label", _similar), "a long, b long")
+    df = spark.createDataFrame([(7, 40, i, bytearray(s.tobytes())) for (i, _), s in zip(rows, sets, strict=True)], "label long, n long, id long, shingles binary").withColumn("part", F.col("id"))
+    edges = in_blocks(df, "label", "n", 6).select("label", "_i", "_j", "id", "part", "shingles").mapInArrow(_forests("label", _similar), "a long, b long")
     label = {r["id"]: r["label"] for r in minhash.components(edges).collect()}
     assert {i: label.get(i, i) for i, _ in rows} == linked(rows)
 
@@ -132,6 +133,24 @@ def test_sketches_fill_and_estimate():
     assert abs((s[0] == s[1]).mean() - true) < 0.15
 
 
+def test_chains_of_near_copies_are_one_group_and_blocks_do_not_matter(spark, monkeypatch):
+    """Each text differs from the next by a few words, so that far ones are not alike, and buckets hold what stars miss."""
+    rng = random.Random(11)
+    words, rows = [f"c{i}" for i in range(60)], []
+    for i in range(60):
+        rows.append((i, " ".join(words)))
+        words[rng.randrange(60)] = f"y{i}"
+    rows += near_copies(rng, 3, 20)[:60]
+    rows = [(i, t) for i, (_, t) in enumerate(rows)]
+    rng.shuffle(rows)
+    want = linked(rows)
+    for block, agree in ((512, 70), (8, 70)):
+        monkeypatch.setattr(minhash, "BLOCK", block)
+        got = {r["doc_id"]: r["component_id"] for r in minhash.groups(table(spark, rows)).collect()}
+        assert got == want
+    assert len(set(want.values())) < 60
+
+
 @pytest.mark.parametrize("n", [2, 3, 17, 200])
 def test_components_of_paths_and_stars(spark, n):
     path = [(i, i + 1) for i in range(n - 1)]
