@@ -27,7 +27,7 @@ from tessera.llm import textkernel as K
 KINDS = ("assign", "access", "hex", "random")
 RATIO = 2.0
 LEAST = 16
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+TOKENIZER = "byte_bpe_50k.tiktoken"
 
 # The patterns and the least lengths of their values.
 _ASSIGN = re.compile(rb"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -42,6 +42,15 @@ _PART = re.compile(rb"(?<![A-Za-z0-9])(?i:[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f
 _SHORT = 4
 
 
+def _default_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(TOKENIZER)
+
+
+VOCABULARY = _default_path()
+
+
 @lru_cache(maxsize=2)
 def encoding(path: str):
     import tiktoken
@@ -92,15 +101,33 @@ def random_parts(run: bytes, path: str = VOCABULARY, ratio: float = RATIO) -> li
     return [(s, e) for s, e in _stretches(run, path, ratio) if is_random(run[s:e], path, ratio)]
 
 
-def _outside(start: int, end: int, spans: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
-    """What sorted spans leave of start to end."""
+def _joint(spans: list[tuple[int, int, int]]) -> list[list[int]]:
+    """What sorted spans cover: disjoint [start, end], in order."""
+    out: list[list[int]] = []
     for s, _, e in spans:
-        if s < end and start < e:
-            if start < s:
-                yield start, s
-            start = max(start, e)
-    if start < end:
-        yield start, end
+        if out and s <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], e)
+        else:
+            out.append([s, e])
+    return out
+
+
+def _left(text: bytes, covered: list[list[int]]) -> Iterator[tuple[int, int]]:
+    """What covered stretches leave of the text's runs: one sweep over both."""
+    at = 0
+    for m in _RUN.finditer(text):
+        start, end = m.span()
+        while at < len(covered) and covered[at][1] <= start:
+            at += 1
+        k = at
+        while k < len(covered) and covered[k][0] < end:
+            if start < covered[k][0]:
+                yield start, covered[k][0]
+            start = max(start, covered[k][1])
+            k += 1
+        if start < end:
+            yield start, end
+        at = max(at, k - 1)
 
 
 def find(text: bytes, path: str = VOCABULARY, ratio: float = RATIO) -> list[tuple[int, int, int]]:
@@ -111,11 +138,9 @@ def find(text: bytes, path: str = VOCABULARY, ratio: float = RATIO) -> list[tupl
     if b"AKIA" in text:
         found += [(m.start(), 1, m.end()) for m in _ACCESS.finditer(text) if m.end() - m.start() >= 20]
     found += [(m.start(), 2, m.end()) for m in _HEX.finditer(text)]
-    base = sorted(found)
-    for m in _RUN.finditer(text):
-        for s, e in _outside(m.start(), m.end(), base):
-            if e - s >= LEAST:
-                found += [(s + a, 3, s + b) for a, b in random_parts(text[s:e], path, ratio)]
+    for s, e in _left(text, _joint(sorted(found))):
+        if e - s >= LEAST:
+            found += [(s + a, 3, s + b) for a, b in random_parts(text[s:e], path, ratio)]
     return sorted(found)
 
 

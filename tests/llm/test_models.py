@@ -172,6 +172,19 @@ def test_spans_equal_patterns_in_code_points(spark):
     assert secret_scan.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_many_secrets_in_one_text_take_linear_time():
+    import time
+
+    rng = random.Random(4)
+    token = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(n))
+    lines = [f"token={token(20)} {token(24)}" for _ in range(200)]
+    secret_scan.find(" ".join(lines).encode())  # the vocabulary is read
+    for n, text in ((16_000, " ".join(lines[i % 200] for i in range(16_000))), (16_000, "/".join(f"token={lines[i % 200][6:26]}" for i in range(16_000)))):
+        began = time.time()
+        assert sum(k == 0 for _, k, _ in secret_scan.find(text.encode())) in (n, 1)
+        assert time.time() - began < 3
+
+
 def test_random_strings_are_told_from_words_digests_and_names():
     rng = random.Random(2)
     alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
