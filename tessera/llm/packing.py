@@ -3,11 +3,13 @@
 Texts become token ids once; each document is cut into whole windows and a tail, and each piece knows its checksum.
 Only the histogram of piece lengths (at most ``window`` numbers) decides the plan: shallow combinations of up to three
 lengths that fill a window are enumerated, non-negative least squares finds how often to repeat each, the counts are
-rounded down, and the residual histogram is packed greedily, longest first. A greedy window that would be left with a
+rounded (down, then up in the order of what that lost, while pieces last), and the residual histogram is packed
+greedily, longest first. A greedy window that would be left with a
 gap of over ``GAP`` tokens takes the head of a further piece, whose rest goes back to the histogram; only documents
 cut so need their ids again, which are kept with the tails. The plan is a list of (pattern, repeats) whose length does
 not depend on the number of documents. Pieces are numbered inside their length in two steps (by salt, then by sums
-over salts), so a length that a third of all documents share is never in one task.
+over salts), with as many salts as the session has shuffle partitions, so a length that a third of all documents share
+is never in one task.
 
 Defined cases: a null text is empty and has only the end token; a document without text is one piece of length 1;
 repeated rows and rows that share a doc_id are documents of their own; an empty table gives an empty result; further
@@ -34,7 +36,6 @@ WINDOW = 1024
 GAP = 12
 END = 0
 TOKENIZER = "byte_bpe_50k.tiktoken"
-_SALTS = 64
 _CACHE = 400_000
 
 
@@ -96,18 +97,22 @@ class Tokens:
         self.place: dict[int, int] = {}  # chunk's hash -> index among the cached chunks
         self.ids = np.zeros(1 << 16, np.uint16)
         self.ends = np.zeros(1 << 16, np.int64)
-        self.used = 0
-
-    def _add(self, hashes: list[int], ids: np.ndarray, ends: np.ndarray) -> None:
-        end, k = self.used + len(ids), len(self.place)
-        if end > len(self.ids):
-            self.ids = np.concatenate((self.ids, np.zeros(max(len(self.ids), len(ids)), np.uint16)))
-        if k + len(hashes) >= len(self.ends):
-            self.ends = np.concatenate((self.ends, np.zeros(max(len(self.ends), len(hashes)), np.int64)))
+        self.texts = np.zeros(1 << 16, np.uint8)  # the chunks themselves, so that a hash is never taken at its word
+        self.text_ends = np.zeros(1 << 16, np.int64)
+        self.used = self.n = 0
+
+    def _add(self, ids: np.ndarray, ends: np.ndarray, raw: np.ndarray, sizes: np.ndarray) -> range:
+        """Keep chunks; their indices."""
+        grown = lambda a, n: a if n <= len(a) else np.concatenate((a, np.zeros(max(len(a), n - len(a)), a.dtype)))
+        k, n, end, reach = self.n, len(ends), self.used + len(ids), int(self.text_ends[self.n]) + len(raw)
+        self.ids, self.ends = grown(self.ids, end), grown(self.ends, k + n + 1)
+        self.texts, self.text_ends = grown(self.texts, reach), grown(self.text_ends, k + n + 1)
         self.ids[self.used : end] = ids
-        self.ends[k + 1 : k + 1 + len(hashes)] = self.used + ends
-        self.place.update(zip(hashes, range(k, k + len(hashes)), strict=True))
-        self.used = end
+        self.ends[k + 1 : k + 1 + n] = self.used + ends
+        self.texts[reach - len(raw) : reach] = raw
+        self.text_ends[k + 1 : k + 1 + n] = reach - len(raw) + np.cumsum(sizes)
+        self.used, self.n = end, k + n
+        return range(k, k + n)
 
     def _learn(self, hashes: np.ndarray, t: K.Texts, starts: np.ndarray, ends: np.ndarray) -> None:
         """Tokenize new chunks: all those that begin with white space and end without it in one call, as no token spans two of them."""
@@ -119,30 +124,51 @@ class Tokens:
         if len(s):
             size = e - s
             at = np.concatenate(([0], np.cumsum(size)))
-            joined = b[np.repeat(s - at[:-1], size) + np.arange(at[-1])].tobytes().decode()
-            ids = np.array(self.encoding.encode_ordinary(joined), np.uint16)
+            joined = b[np.repeat(s - at[:-1], size) + np.arange(at[-1])]
+            ids = np.array(self.encoding.encode_ordinary(joined.tobytes().decode()), np.uint16)
             reach = np.cumsum(self.size[ids])
             last = np.searchsorted(reach, at[1:])
             if not np.array_equal(reach[last], at[1:]):
                 raise ValueError("a token spans two chunks")
-            self._add(hashes[safe].tolist(), ids, last + 1)
+            self.place.update(zip(hashes[safe].tolist(), self._add(ids, last + 1, joined, size), strict=True))
         for h, x, y in zip(hashes[~safe].tolist(), starts[~safe].tolist(), ends[~safe].tolist(), strict=True):
-            ids = np.array(self.encoding.encode_ordinary(b[x:y].tobytes().decode()), np.uint16)
-            self._add([h], ids, np.array([len(ids)]))
+            self.place[h] = self._one(b[x:y])
+
+    def _one(self, raw: np.ndarray) -> int:
+        ids = np.array(self.encoding.encode_ordinary(raw.tobytes().decode()), np.uint16)
+        return self._add(ids, np.array([len(ids)]), raw, np.array([len(raw)]))[0]
+
+    def _compared(self, at: np.ndarray, t: K.Texts, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """at, with chunks of their own for those whose bytes are not the kept ones."""
+        size = self.text_ends[at + 1] - self.text_ends[at]
+        wrong = size != ends - starts
+        if not wrong.any():
+            same = self.texts[np.repeat(self.text_ends[at] - starts, size) + np.arange(len(t.buf))] == t.buf  # chunks cover the buffer
+            if same.all():
+                return at
+            wrong = ~np.logical_and.reduceat(same, starts)
+        else:
+            wrong |= np.array([not np.array_equal(self.texts[self.text_ends[k] : self.text_ends[k + 1]], t.buf[x:y]) for k, x, y in zip(at.tolist(), starts.tolist(), ends.tolist(), strict=True)])
+        at = at.copy()
+        for i in np.flatnonzero(wrong).tolist():
+            at[i] = self._one(t.buf[starts[i] : ends[i]])
+        return at
 
     def __call__(self, t: K.Texts) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts with END after each, bounds by text)."""
         starts, bounds = chunks(t)
         ends = np.append(starts[1:], len(t.buf))[: len(starts)]
         unique, first, inverse = np.unique(K.Rolling(t.buf)(starts, ends), return_index=True, return_inverse=True)
-        if len(self.place) > _CACHE:
+        if self.n > _CACHE:
             self.place.clear()
-            self.used = 0
+            self.used = self.n = 0
         keys = unique.tolist()
         new = [i for i, k in enumerate(keys) if k not in self.place]
         if new:
             self._learn(unique[new], t, starts[first[new]], ends[first[new]])
         at = np.fromiter(map(self.place.__getitem__, keys), np.int64, len(keys))[inverse]
+        if len(at):
+            at = self._compared(at, t, starts, ends)
         lengths = (self.ends[at + 1] - self.ends[at]) if len(at) else np.zeros(0, np.int64)
         token_at = np.concatenate(([0], np.cumsum(lengths)))
         total = token_at[bounds] + np.arange(len(bounds))  # an END after each text
@@ -232,6 +258,32 @@ def solve(combos: np.ndarray, histogram: np.ndarray, steps: int = 300) -> np.nda
     return x * top
 
 
+def rounded(combos: np.ndarray, histogram: np.ndarray) -> tuple[list[list[int]], np.ndarray]:
+    """(lengths of each combination, whole repeats): the solution rounded down, then up in the order of what that lost.
+
+    Rounding never uses more pieces than there are.
+    """
+    wanted = solve(combos, histogram) + 1e-6
+    repeats = np.floor(wanted).astype(np.int64)
+    spare, rows = histogram.copy(), [[int(l) for l in c if l] for c in combos]  # noqa: E741
+    room = lambda c: min(int(spare[l]) // c.count(l) for l in c)  # noqa: E731, E741
+
+    def use(i: int, n: int) -> None:
+        repeats[i] = n
+        for l in rows[i]:  # noqa: E741
+            spare[l] -= n
+
+    for i in np.argsort(-repeats, kind="stable").tolist():
+        use(i, min(int(repeats[i]), room(rows[i])))
+    lost = wanted - np.floor(wanted)
+    for i in np.argsort(-lost, kind="stable").tolist():
+        if lost[i] > 1e-3 and room(rows[i]):
+            n = int(repeats[i])
+            use(i, 1)
+            repeats[i] = n + 1
+    return rows, repeats
+
+
 def plan(histogram: np.ndarray, gap: int = GAP) -> tuple[np.ndarray, np.ndarray]:
     """How every piece is placed.
 
@@ -258,13 +310,10 @@ def plan(histogram: np.ndarray, gap: int = GAP) -> tuple[np.ndarray, np.ndarray]
         return at
 
     combos = combinations(np.flatnonzero(left), window)
-    repeats = np.floor(solve(combos, left) + 1e-6).astype(np.int64)
-    for i in np.argsort(-repeats, kind="stable"):
-        lengths = [int(l) for l in combos[i] if l]  # noqa: E741
-        # Rounding must not use more pieces than there are.
-        n = min([int(repeats[i]), *(int(left[l]) // lengths.count(l) for l in lengths)])
-        if n > 0:
-            put(lengths, n)
+    rows, repeats = rounded(combos, left)
+    for i in np.argsort(-repeats, kind="stable").tolist():
+        if repeats[i]:
+            put(rows[i], int(repeats[i]))
     while left.any():
         room, taken = window, []
         spare = left.copy()
@@ -375,7 +424,8 @@ def pack(docs: DataFrame, window: int = WINDOW, path: str | None = None, gap: in
     spark = docs.sparkSession
     cut = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_cutter(path or _default_path(), window), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary")
     pieces = store(cut.withColumn("piece", F.monotonically_increasing_id()), "pieces")  # numbers stay once written
-    slim = pieces.drop("ids").withColumn("_salt", F.pmod(F.xxhash64("piece"), F.lit(_SALTS)).cast("int"))
+    salts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    slim = pieces.drop("ids").withColumn("_salt", F.pmod(F.xxhash64("piece"), F.lit(salts)).cast("int"))
     counts = store(slim.groupBy("length", "_salt").agg(F.count("*").alias("n")), "lengths")
     histogram = np.zeros(window + 1, np.int64)
     for length, n in counts.groupBy("length").agg(F.sum("n")).collect():  # at most window rows
@@ -387,8 +437,8 @@ def pack(docs: DataFrame, window: int = WINDOW, path: str | None = None, gap: in
     starts = counts.select("length", "_salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_start"))
     inside = Window.partitionBy("length", "_salt").orderBy("piece")
     numbered = slim.withColumn("_row", F.row_number().over(inside) - 1)
-    # window * salts rows of three numbers, whatever the input.
-    numbered = numbered.join(F.broadcast(starts), ["length", "_salt"]).withColumn("number", F.col("_start") + F.col("_row"))
+    # window * salts rows of three numbers; they are broadcast only where Spark's size check allows it.
+    numbered = numbered.join(starts, ["length", "_salt"]).withColumn("number", F.col("_start") + F.col("_row"))
     numbered = store(numbered.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "piece", "number"), "numbered")
     whole = numbered.mapInArrow(_place_whole(placer), PACKED)
     if not (placer.value.rows[:, 5] > 0).any():
