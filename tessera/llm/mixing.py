@@ -3,8 +3,9 @@
 Sources get targets in words; document rates w in [0, 2] stay as close to 1 in relative entropy as the targets allow.
 The dual is one multiplier per source, and the rates are exponentially tilted: w = min(2, exp(lambda * size / mean
 size)). Newton iterations solve it. Rates depend on (source, size) alone, so rows are counted by those once and the
-iterations run over the counts, as grouped sums; the state, a row per source, is a table that joins them, and nothing
-is collected but one number a round (how many sources are unsolved). All sums are of integers (fixed point), so
+iterations run over the counts, as grouped sums at the Newton point and a few others of the bracket; the state, a row
+per source, is a table that joins them, and nothing is collected but one number a round (how many sources are
+unsolved). A source that stays unsolved is an error. All sums are of integers (fixed point), so
 reruns agree to the last bit whatever the order of rows.
 
 Rates become whole copies by systematic rounding along (source, size): copies = floor(C + w + 1/2) - floor(C + 1/2),
@@ -19,6 +20,7 @@ empty table gives an empty result; further columns are passed on by mix().
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,15 +30,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.llm import textkernel as K
-from tessera.llm.shared import fresh, store
+from tessera.llm.shared import fresh, remove, store
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 CAP = 2
 _ONE = 1 << 20  # fixed point of rates
 _FINE = float(1 << 10)  # fixed point of sums
-_SALTS = 64
 _ROUNDS = 40
+_POINTS = 6  # of the bracket, besides the Newton point, that a round looks at
 FLIPS = 3
 
 
@@ -50,10 +52,10 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(n) for n in names] + [pa.array(sizes)], names=[*names, "size"])
 
 
-def sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size: the number of words of each text."""
-    slim = docs.select("doc_id", "source", "text")
-    fields = ", ".join(f"{n} {slim.schema[n].dataType.simpleString()}" for n in ("doc_id", "source"))
+def sizes(docs: DataFrame, *keep: str) -> DataFrame:
+    """doc_id, source, the columns of keep, size: the number of words of each text."""
+    slim = docs.select("doc_id", "source", *keep, "text")
+    fields = ", ".join(f"{n} {slim.schema[n].dataType.simpleString()}" for n in ("doc_id", "source", *keep))
     return slim.mapInArrow(_count_words, f"{fields}, size long")
 
 
@@ -83,43 +85,55 @@ def _rate(multiplier, x):
     return F.least(F.lit(float(CAP)), F.exp(F.least(F.lit(30.0), F.greatest(F.lit(-30.0), multiplier * x))))
 
 
-def balance(counts: DataFrame, wanted: DataFrame, cap: int = CAP) -> DataFrame:
-    """source, lam: the solved multipliers.
+def balance(counts: DataFrame, wanted: DataFrame, cap: int = CAP, rounds: int = _ROUNDS) -> DataFrame:
+    """source, lam, mean: the solved multipliers.
 
-    counts: source, size, n. Each round is one grouped sum over the counts; Newton steps are kept inside a bracket that
-    the sign of the residual narrows, so the iteration cannot run away where rates are stopped at the cap.
+    counts: source, size, n. Each round is one grouped sum over the counts, at the Newton point and ``_POINTS`` more of a
+    bracket that the signs of the residuals narrow, so the iteration cannot run away where rates are stopped at the cap.
+    The first bracket reaches from where even the smallest document brings no more than the target to where all are
+    stopped at the cap.
     """
-    mean = counts.filter("size > 0").groupBy("source").agg((F.sum(F.col("size") * F.col("n")) / F.sum("n")).alias("mean"))
-    state = wanted.filter("source_size > 0").alias("w").join(mean.alias("m"), F.col("w.source").eqNullSafe(F.col("m.source"))).select("w.source", "target", "source_size", "mean", F.lit(0.0).alias("lam"), F.lit(-30.0).alias("low"), F.lit(30.0).alias("high"), (F.col("target") >= F.col("source_size") * float(cap)).alias("done"))
-    state = state.withColumn("lam", F.when(F.col("done"), F.lit(float("inf"))).otherwise(F.col("lam")))
-    state = store(state, "mix-state")
-    for _ in range(_ROUNDS):
-        open_ = state.filter("not done").alias("s")
-        joined = counts.filter("size > 0").alias("c").join(open_, F.col("c.source").eqNullSafe(F.col("s.source")))
+    words = counts.filter("size > 0")
+    mean = words.groupBy("source").agg((F.sum(F.col("size") * F.col("n")) / F.sum("n")).alias("mean"), F.min("size").alias("least"))
+    state = wanted.filter("source_size > 0").alias("w").join(mean.alias("m"), F.col("w.source").eqNullSafe(F.col("m.source")))
+    reach = F.col("mean") / F.col("least")
+    low = -reach * (F.greatest(F.log(F.col("source_size") / F.col("target")), F.lit(0.0)) + 1)
+    done = F.col("target") >= F.col("source_size") * float(cap)
+    lam = F.when(done, F.lit(float("inf"))).otherwise(F.lit(0.0))
+    state = store(state.select("w.source", "target", "mean", lam.alias("lam"), low.alias("low"), (reach * (math.log(cap) + 1)).alias("high"), done.alias("done")), "mix-state")
+    fixed = lambda v: F.sum(F.round(v * F.lit(_FINE)).cast("decimal(38,0)"))
+    for _ in range(rounds):
+        if state.filter("not done").isEmpty():
+            break
+        points = F.array(F.col("lam"), *[F.col("low") + (F.col("high") - F.col("low")) * F.lit((i + 1) / (_POINTS + 1)) for i in range(_POINTS)])
+        asked = state.filter("not done").select(F.col("source").alias("s"), "mean", F.explode(points).alias("at"))
+        joined = words.join(asked, F.col("source").eqNullSafe(F.col("s")))
         x = F.col("size") / F.col("mean")
-        rate = _rate(F.col("lam"), x)
-        fixed = lambda v: F.sum(F.round(v * F.lit(_FINE)).cast("decimal(38,0)"))
-        sums = joined.groupBy(F.col("s.source").alias("source")).agg(
-            fixed(rate * F.col("size") * F.col("n")).alias("taken"), fixed(F.when(rate < cap, rate * x * F.col("size") * F.col("n")).otherwise(F.lit(0.0))).alias("slope")
-        )
-        a, b = state.alias("a"), sums.alias("b")
-        over = (F.col("b.taken").cast("double") / _FINE) - F.col("a.target")
-        slope = F.col("b.slope").cast("double") / _FINE
-        low = F.when(over < 0, F.col("a.lam")).otherwise(F.col("a.low"))
-        high = F.when(over < 0, F.col("a.high")).otherwise(F.col("a.lam"))
-        newton = F.col("a.lam") - over / slope
-        step = F.when((slope > 0) & (newton > low) & (newton < high), newton).otherwise((low + high) / 2)
-        solved = F.abs(over) <= F.greatest(F.lit(0.5), F.col("a.target") * 1e-7)
+        rate = _rate(F.col("at"), x)
+        mass = F.col("size") * F.col("n")
+        sums = joined.groupBy("s", "at").agg(fixed(rate * mass).alias("taken"), fixed(F.when(rate < cap, rate * x * mass).otherwise(F.lit(0.0))).alias("slope"))
+        own = state.select(F.col("source").alias("t"), "target", "low", "high")
+        over = F.col("taken").cast("double") / _FINE - F.col("target")
+        seen = sums.join(own, F.col("s").eqNullSafe(F.col("t"))).select("s", "at", over.alias("over"), (F.col("slope").cast("double") / _FINE).alias("slope"), "low", "high")
+        best = F.min(F.struct(F.abs("over").alias("miss"), "at", "over", "slope")).alias("best")
+        told = seen.groupBy("s").agg(best, F.max(F.when(F.col("over") < 0, F.col("at"))).alias("under"), F.min(F.when(F.col("over") >= 0, F.col("at"))).alias("above"))
+        a, b = state.alias("a"), told.alias("b")
+        down, up = F.greatest(F.col("a.low"), "b.under"), F.least(F.col("a.high"), "b.above")
+        newton = F.col("best.at") - F.col("best.over") / F.col("best.slope")
+        step = F.when((F.col("best.slope") > 0) & (newton > down) & (newton < up), newton).otherwise((down + up) / 2)
+        solved = F.col("best.miss") <= F.greatest(F.lit(0.5), F.col("a.target") * 1e-7)
         live = ~F.col("a.done")
-        nxt = a.join(b, F.col("a.source").eqNullSafe(F.col("b.source")), "left").select(
-            "a.source", "a.target", "a.source_size", "a.mean",
-            F.when(live & ~solved, step).otherwise(F.col("a.lam")).alias("lam"),
-            F.when(live, low).otherwise(F.col("a.low")).alias("low"), F.when(live, high).otherwise(F.col("a.high")).alias("high"),
-            (F.col("a.done") | F.coalesce(solved, F.lit(True))).alias("done"),
+        nxt = a.join(b, F.col("a.source").eqNullSafe(F.col("b.s")), "left").select(
+            "a.source", "a.target", "a.mean",
+            F.when(live, F.when(solved, F.col("best.at")).otherwise(step)).otherwise(F.col("a.lam")).alias("lam"),
+            F.when(live, down).otherwise(F.col("a.low")).alias("low"), F.when(live, up).otherwise(F.col("a.high")).alias("high"),
+            (F.col("a.done") | F.coalesce(solved, F.lit(False))).alias("done"),
         )
-        state = store(nxt, "mix-state")
-        if not state.filter("not done").limit(1).count():
-            break
+        before, state = state, store(nxt, "mix-state")
+        remove(before)
+    left = state.filter("not done").select("source").take(5)
+    if left:
+        raise ValueError(f"unsolved sources: {[r['source'] for r in left]}")
     return state.select("source", "lam", "mean")
 
 
@@ -157,23 +171,29 @@ def _flipped(rounded: DataFrame) -> DataFrame:
     return r.join(best.alias("b"), same, "left").select(*keep, (F.col("copies") + F.coalesce("by", F.lit(0))).alias("copies"))
 
 
-def copies(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies for every row of docs."""
-    salt = F.pmod(F.xxhash64("doc_id"), F.lit(_SALTS)).cast("int")
-    sized = store(sizes(docs).withColumn("_salt", salt), "mix-sizes")
+def copies(docs: DataFrame, *keep: str) -> DataFrame:
+    """doc_id, source, the columns of keep, size, source_size, target, copies for every row of docs."""
+    # Salts are stretches of the order by hash, so that their number changes no result.
+    salts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = F.xxhash64("doc_id", F.lit(1))
+    salt = F.least(F.floor((own / F.lit(2.0**64) + 0.5) * salts), F.lit(salts - 1)).cast("int")
+    sized = store(sizes(docs, *keep).withColumn("_salt", salt), "mix-sizes")
     wanted = store(targets(sized), "mix-targets")
     classes = rates(sized, wanted).alias("k")
-    inside = Window.partitionBy("source", "size", "_salt").orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id")
+    inside = Window.partitionBy("source", "size", "_salt").orderBy(own, "doc_id", *keep)
     d = sized.withColumn("_j", F.row_number().over(inside)).alias("d")
     same = F.col("d.source").eqNullSafe(F.col("k.source")) & (F.col("d.size") == F.col("k.size")) & (F.col("d._salt") == F.col("k._salt"))
     end = F.col("c0") + F.col("w") * F.col("d._j") + F.lit(_ONE // 2)
     number = (F.floor(end / _ONE) - F.floor((end - F.col("w")) / _ONE)).cast("int")
-    out = d.join(classes, same).select("d.doc_id", "d.source", "d.size", "d._salt", "d._j", number.alias("copies")).alias("o")
+    mine = [f"d.{n}" for n in ("doc_id", "source", *keep, "size", "_salt", "_j")]
+    out = d.join(classes, same).select(*mine, number.alias("copies")).alias("d")
     # A row per source: joined by broadcast only where Spark's own size check allows it.
-    out = out.join(wanted.alias("t"), F.col("o.source").eqNullSafe(F.col("t.source"))).select("o.doc_id", "o.source", "o.size", "o._salt", "o._j", "t.source_size", "t.target", "o.copies")
+    out = out.join(wanted.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source"))).select(*mine, "t.source_size", "t.target", "d.copies")
     out = store(out, "mix-copies")
     for _ in range(FLIPS):
-        out = store(_flipped(out), "mix-copies")
+        before, out = out, store(_flipped(out), "mix-copies")
+        remove(before)
+    remove(sized, wanted)
     return out.drop("_salt", "_j")
 
 
@@ -184,8 +204,8 @@ def report(docs: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame) -> DataFrame:
     """docs with every row repeated as often as the mix takes it; rows taken zero times go."""
-    # Rows that share a doc_id are given the largest of their numbers of copies.
-    n, own_id, copy = fresh(docs, "_copies"), fresh(docs, "_id"), fresh(docs, "_copy")
-    taken = copies(docs).groupBy("doc_id").agg(F.max("copies").alias(n)).withColumnRenamed("doc_id", own_id)
-    out = docs.join(taken, docs["doc_id"].eqNullSafe(taken[own_id])).filter(F.col(n) > 0)
-    return out.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(n)))).drop(copy, n, own_id)
+    row, n, copy = fresh(docs, "_row"), fresh(docs, "_copies"), fresh(docs, "_copy")
+    # Rows are numbered and written once, so that each has its own number of copies, whatever its doc_id.
+    numbered = store(docs.withColumn(row, F.monotonically_increasing_id()), "mix-rows")
+    taken = copies(numbered, row).select(row, F.col("copies").alias(n)).filter(F.col(n) > 0)
+    return numbered.join(taken, row).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*docs.columns)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
 import random
 import zlib
 from collections import defaultdict
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -96,17 +98,48 @@ def test_mix_repeats_rows_and_passes_columns(spark):
     docs = table(spark, some_rows())
     out = mixing.mix(docs)
     assert out.columns == docs.columns
-    want = {r["doc_id"]: r["copies"] for r in mixing.report(docs).groupBy("doc_id").agg(F.max("copies").alias("copies")).collect()}
-    times = docs.groupBy("doc_id").count().collect()
-    got = {r["doc_id"]: r["count"] for r in out.groupBy("doc_id").count().collect()}
-    assert got == {r["doc_id"]: r["count"] * want[r["doc_id"]] for r in times if want[r["doc_id"]]}
+    want, got = defaultdict(int), defaultdict(int)
+    for r in mixing.report(docs).collect():
+        want[r["doc_id"], r["size"]] += r["copies"]
+    for r in out.collect():
+        got[r["doc_id"], len((r["text"] or "").split())] += 1
+    assert got == {k: n for k, n in want.items() if n}
     assert mixing.mix(table(spark, [])).count() == 0 == mixing.report(table(spark, [])).count()
 
 
-def encoded(text: str | None) -> np.ndarray:
+def test_mix_of_rows_that_share_an_id_meets_its_targets(spark):
+    rng = random.Random(9)
+    rows = [(7, "w " * rng.randrange(1, 80), f"s{rng.randrange(4)}") for _ in range(400)]
+    taken, sizes = defaultdict(int), defaultdict(int)
+    for _, t, s in rows:
+        sizes[s] += len(t.split())
+    for r in mixing.mix(table(spark, rows)).collect():
+        taken[r["source"]] += len(r["text"].split())
+    for s, target in water(sizes).items():
+        assert abs(taken[s] - target) <= max(5, 0.02 * target)
+
+
+def test_multipliers_of_very_uneven_sizes_are_solved(spark):
+    counts = spark.createDataFrame([("a", 1, 5000), ("a", 10**6, 1), ("b", 1, 10), ("b", 10**7, 1)], "source string, size long, n long")
+    targets = {"a": 1_009_000.0, "b": 2.0}
+    wanted = spark.createDataFrame([("a", 1_005_000, targets["a"]), ("b", 10_000_010, targets["b"])], "source string, source_size long, target double")
+    for r in mixing.balance(counts, wanted).collect():
+        rows = [x for x in counts.collect() if x["source"] == r["source"]]
+        got = sum(x["n"] * x["size"] * min(2, math.exp(min(30, max(-30, r["lam"] * x["size"] / r["mean"])))) for x in rows)
+        assert abs(got - targets[r["source"]]) < 1
+    with pytest.raises(ValueError, match="unsolved"):
+        mixing.balance(counts, wanted, rounds=1)
+
+
+@lru_cache(maxsize=1)
+def reference_tokenizer() -> Tokenizer:
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     t.encode_special_tokens = True
-    return np.array([*t.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
+    return t
+
+
+def encoded(text: str | None) -> np.ndarray:
+    return np.array([*reference_tokenizer().encode(text or "", add_special_tokens=False).ids, 0], "<u4")
 
 
 def check_packed(got, ids: dict, window: int = 1024) -> float:
@@ -145,6 +178,44 @@ def test_packing_of_one_common_length_cuts_pieces(spark):
     assert check_packed(got, {i: encoded(t) for i, t, _ in rows}) > 0.97
 
 
+def test_packing_of_repeated_rows_and_shared_ids(spark):
+    rows = [(1, "alpha beta", "s"), (1, "alpha beta", "s"), (1, "gamma " * 700, "s"), (None, "x", "s"), (None, None, "s")]
+    got = packing.pack(table(spark, rows)).collect()
+    want = sorted((str(i), len(encoded(t))) for i, t, _ in rows)
+    assert sorted((str(r["doc_id"]), r["doc_tokens"]) for r in got if r["start"] == 0) == want
+    assert sum(r["length"] for r in got) == sum(n for _, n in want)
+
+
+def test_least_squares_places_most_tails():
+    import pyarrow.parquet as pq
+
+    from tessera.llm import textkernel as K
+
+    tokens, histogram = packing.Tokens(public_tokenizers.path(packing.TOKENIZER)), np.zeros(1025, np.int64)
+    for t in K.texts(pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["text"])["text"]):
+        n = np.diff(tokens(t)[1])
+        histogram[1024] += (n // 1024).sum()
+        np.add.at(histogram, (n % 1024)[n % 1024 > 0], 1)
+    rows, repeats = packing.rounded(packing.combinations(np.flatnonzero(histogram), 1024), histogram)
+    used = np.zeros(1025, np.int64)
+    for lengths, n in zip(rows, repeats.tolist(), strict=True):
+        for x in lengths:
+            used[x] += n
+    assert (used <= histogram).all() and used[:1024].sum() > 0.9 * histogram[:1024].sum()
+
+
+def test_chunks_of_one_hash_are_told_apart(monkeypatch):
+    import pyarrow as pa
+
+    from tessera.llm import textkernel as K
+
+    monkeypatch.setattr(K.Rolling, "__call__", lambda self, starts, ends: (ends - starts).astype(K.U))
+    tokens, texts = packing.Tokens(public_tokenizers.path(packing.TOKENIZER)), ["one two six", "ten two was", "a\n\nb one", ""]
+    for _ in range(2):
+        ids, at = tokens(next(K.texts(pa.array(texts))))
+        assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [encoded(t).tolist() for t in texts]
+
+
 def test_plans_place_every_piece_once():
     rng = np.random.default_rng(3)
     for scale in (1, 50):
