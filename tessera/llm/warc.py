@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import logging
 import re
 import zlib
 from collections.abc import Iterator
@@ -25,7 +26,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import by_group, new_path, store, write_file
+from tessera.llm.shared import new_path, store, write_file
+from tessera.operators.components import lookup
+
+_log = logging.getLogger(__name__)
 
 FILE_BYTES = 32 << 20
 _DATE = "2024-01-01T00:00:00Z"
@@ -76,7 +80,11 @@ class Damage(ValueError):
 
 
 _VERSION = re.compile(rb"WARC/\d+\.\d+\r?\n")
+_HEAD_END = re.compile(rb"\r?\n\r?\n")
+_RECORD_END = re.compile(rb"\r?\n\r?\n")
 _MAGIC = b"\x1f\x8b\x08"
+#: Bytes that one gzip member may hold; a longer one is taken for damage, so that no archive can fill a worker's memory.
+MEMBER_BYTES = 1 << 30
 
 
 def _parse(data: bytes, at: int) -> tuple[Record, int]:
@@ -84,34 +92,42 @@ def _parse(data: bytes, at: int) -> tuple[Record, int]:
     m = _VERSION.match(data, at)
     if not m:
         raise Damage("no version line")
-    end = data.find(b"\r\n\r\n", m.end())
-    if end < 0:
+    closed = _HEAD_END.search(data, m.end() - 1)
+    if not closed:
         raise Damage("header without end")
-    headers = {}
-    for line in data[m.end() : end].split(b"\r\n"):
-        name, colon, value = line.partition(b":")
+    headers, name = {}, ""
+    for line in re.split(rb"\r?\n", data[m.end() : closed.start()]):
+        if line[:1] in (b" ", b"\t") and name:  # a folded line goes on with the value before it
+            headers[name] += " " + line.strip().decode("utf-8", "replace")
+            continue
+        head, colon, value = line.partition(b":")
         if not colon:
             raise Damage("header line without colon")
-        headers[name.strip().lower().decode("utf-8", "replace")] = value.strip().decode("utf-8", "replace")
+        name = head.strip().lower().decode("utf-8", "replace")
+        headers[name] = value.strip().decode("utf-8", "replace")
     if not headers.get("content-length", "").isdigit():
         raise Damage("no length")
-    start, length = end + 4, int(headers["content-length"])
+    start, length = closed.end(), int(headers["content-length"])
     block = data[start : start + length]
     if len(block) < length:
         raise Damage("block cut short")
-    if data[start + length : start + length + 4] != b"\r\n\r\n":
+    tail = _RECORD_END.match(data, start + length)
+    if not tail:
         raise Damage("no record end")
     told = headers.get("warc-block-digest")
     if told and told != "sha1:" + digest(block):
         raise Damage("block digest differs")
-    return Record(at, headers, block), start + length + 4
+    return Record(at, headers, block), tail.end()
 
 
 def _member(data: bytes, at: int) -> tuple[bytes, int]:
-    z, out, view, step = zlib.decompressobj(31), [], memoryview(data), 4096
+    z, out, view, step, size = zlib.decompressobj(31), [], memoryview(data), 4096, 0
     try:
         while not z.eof and at < len(data):  # by small steps, as zlib copies what it is given beyond a member's end
-            out.append(z.decompress(view[at : at + step]))
+            out.append(z.decompress(view[at : at + step], MEMBER_BYTES + 1 - size))
+            size += len(out[-1])
+            if size > MEMBER_BYTES:
+                raise Damage("gzip member over the bound")
             at, step = at + step, min(2 * step, 1 << 20)
     except zlib.error as e:
         raise Damage(f"gzip: {e}") from None
@@ -192,11 +208,16 @@ def payload_of(found: Record) -> tuple[int, str, bytes | None]:
     return len(body), own, body
 
 
-def roles(pages: DataFrame, least: int = 0, salts: int = 64) -> DataFrame:
-    """page_id, url, payload, refers_to: null for responses, else the page whose payload it repeats."""
+def roles(pages: DataFrame, least: int = 0) -> DataFrame:
+    """page_id, url, payload, refers_to: null for responses, else the page whose payload it repeats.
+
+    Payloads stay where they are: only digests that repeat are looked up, by pages split by salt where one is hot.
+    """
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
-    keyed = pages.select("page_id", "url", payload.alias("payload"), F.sha2(payload, 256).alias("_key"))
-    keyed = by_group(keyed, "_key", F.xxhash64("page_id"), salts, {"_first": (F.min("page_id"), F.min)})
+    keyed = pages.select("page_id", "url", payload.alias("payload"), F.unhex(F.sha2(payload, 256)).alias("_key"))
+    repeated = keyed.groupBy("_key").agg(F.count("*").alias("_n"), F.min("page_id").alias("_first")).filter("_n > 1 and _first is not null")
+    repeated = store(repeated, "repeated")
+    keyed = lookup(keyed, "_key", repeated.drop("_n"), repeated.agg(F.max("_n")).first()[0] or 0, "left")
     again = F.col("_first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_first")) & (F.octet_length("payload") >= least)
     return keyed.select("page_id", "url", "payload", F.when(again, F.col("_first")).alias("refers_to"))
 
@@ -277,10 +298,29 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", "content").mapInArrow(_reader, _READ)
 
 
+def quarantined(records: DataFrame, path: str) -> int:
+    """Write the gaps among what read_archives() found to a table beside the archives, and log how many there are."""
+    gaps = records.filter("record_type is null").select("path", "offset", "length", "reason")
+    gaps.write.mode("overwrite").parquet(f"{path}-quarantine")
+    n = records.sparkSession.read.parquet(f"{path}-quarantine").count()
+    if n:
+        _log.warning("%d gaps in archives below %s are told in %s-quarantine", n, path, path)
+    return n
+
+
 def archived(pages: DataFrame) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to of every page, as read back from archives."""
+    """page_id, payload_bytes, payload_digest, record_type, refers_to of every page, as read back from archives.
+
+    What was read is held against the manifest: gaps go to a quarantine table, and missing records are an error.
+    """
     spark = pages.sparkSession
     path = new_path(spark, "warc")
-    if not write_archives(pages, path).limit(1).count():
+    manifest = write_archives(pages, path)
+    wanted = manifest.agg(F.sum("records")).first()[0]
+    if not wanted:
         return spark.createDataFrame([], "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
-    return read_archives(spark, path).filter("record_type is not null").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    found = store(read_archives(spark, path).drop("payload"), "warc-records")
+    gaps, got = quarantined(found, path), found.filter("record_type is not null").count()
+    if gaps or got != wanted:
+        raise ValueError(f"{got} of {wanted} records were read back; {gaps} gaps are told in {path}-quarantine")
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

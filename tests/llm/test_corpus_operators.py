@@ -250,6 +250,35 @@ def test_archives_round_trip(spark):
     assert warc.archived(df.limit(0)).count() == 0
 
 
+def test_archives_of_repeated_rows(spark):
+    rows = [(1, "u", "x"), (1, "u", "x"), (2, "u", "x"), (3, "v", None), (3, "v", None)]
+    got = warc.archived(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert sorted((r["page_id"], r["record_type"], r["refers_to"]) for r in got) == [(1, "response", None), (1, "response", None), (2, "revisit", 1), (3, "response", None), (3, "response", None)]
+
+
+def test_damage_is_quarantined(spark, tmp_path):
+    path = str(tmp_path / "archives")
+    warc.write_archives(spark.createDataFrame([(i, "u", f"page {i} " * 50) for i in range(20)], "page_id long, url string, html string").coalesce(1), path).count()
+    (file,) = (tmp_path / "archives").glob("*.warc.gz")
+    data = bytearray(file.read_bytes())
+    data[len(data) // 2 : len(data) // 2 + 40] = bytes(40)
+    (tmp_path / "hit").mkdir()
+    (tmp_path / "hit" / "a.warc.gz").write_bytes(data)
+    found = warc.read_archives(spark, str(tmp_path / "hit")).cache()
+    assert warc.quarantined(found, str(tmp_path / "hit")) >= 1
+    gap = spark.read.parquet(str(tmp_path / "hit-quarantine")).first()
+    assert gap["length"] > 0 and gap["reason"] and found.filter("record_type is not null").count() >= 18
+
+
+def test_folded_and_bare_headers_and_bounded_members(monkeypatch):
+    raw = b"WARC/1.0\nWARC-Type: resource\nX-Long: one\n two\nContent-Length: 3\n\nabc\n\n"
+    (only,) = warc.salvage(raw + raw[:0])
+    assert only.headers["x-long"] == "one two" and only.block == b"abc"
+    monkeypatch.setattr(warc, "MEMBER_BYTES", 1000)
+    bomb = warc.member(b"0" * 100_000)
+    assert [x.reason for x in warc.salvage(bomb)] == ["gzip member over the bound"]
+
+
 @pytest.mark.parametrize("packed", [True, False])
 def test_salvage_loses_only_what_was_hit(packed):
     rng = random.Random(6)
