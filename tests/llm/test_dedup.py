@@ -51,6 +51,15 @@ def test_repeated_rows_leave_one_and_columns_pass(spark):
     assert sorted((str(r["doc_id"]), r["text"]) for r in got.collect()) == [("2", "a"), ("3", None), ("None", "n")]
 
 
+def test_sorted_runs_are_merged():
+    rng = np.random.default_rng(2)
+    for sizes in ([5], [0, 3, 7], [1, 2, 3, 4, 5, 6, 7, 8], [40, 1, 1]):
+        runs = [np.sort(rng.integers(0, 20, n)) for n in sizes]
+        order = exact_dedup._interleaved(runs)
+        whole = np.concatenate(runs)
+        assert (whole[order] == np.sort(whole)).all() and sorted(order) == list(range(len(whole)))
+
+
 def test_empty_tables(spark):
     docs = table(spark, [])
     assert exact_dedup.duplicates(docs).count() == exact_dedup.deduplicate(docs).count() == 0
