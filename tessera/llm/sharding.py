@@ -20,6 +20,8 @@ from tessera.llm.shared import new_path
 
 SLOTS = 4096
 SHARDS = 24
+#: Parts of a slot that are numbered apart.
+SALTS = 16
 
 
 def slotted(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
@@ -71,18 +73,22 @@ def load_map(spark: SparkSession, path: str, version: int) -> DataFrame:
     return spark.read.parquet(f"{path}/version={version}")
 
 
-def place(records: DataFrame, slot_map: DataFrame) -> DataFrame:
+def place(records: DataFrame, slot_map: DataFrame, salts: int = SALTS) -> DataFrame:
     """records with their shard and a gapless position in it.
 
-    Positions come in two steps, so no task sorts a whole shard: each slot's first position is a sum over the map
-    (bounded by SLOTS), and rows are numbered inside their slot.
+    Positions come in three steps, so no task sorts a whole shard or slot: a slot's first position is a sum over the map,
+    a salt's first position in its slot is a sum over counts by (slot, salt), and rows are numbered inside those.
     """
-    before = Window.partitionBy("shard").orderBy("virtual_slot").rowsBetween(Window.unboundedPreceding, -1)
-    starts = slot_map.select("virtual_slot", "shard", F.coalesce(F.sum("slot_rows").over(before), F.lit(0)).alias("_start"))
-    inside = Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size")
-    numbered = records.withColumn("_row", F.row_number().over(inside) - 1)
-    # SLOTS rows of three numbers: a bound that does not depend on the corpus.
-    return numbered.join(F.broadcast(starts), "virtual_slot").withColumn("slot", (F.col("_start") + F.col("_row")).cast("long")).drop("_start", "_row")
+    salted = records.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(salts)).cast("int"))
+    shards = Window.partitionBy("shard").orderBy("virtual_slot").rowsBetween(Window.unboundedPreceding, -1)
+    starts = slot_map.select("virtual_slot", "shard", F.coalesce(F.sum("slot_rows").over(shards), F.lit(0)).alias("_start"))
+    earlier = Window.partitionBy("virtual_slot").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
+    counts = salted.groupBy("virtual_slot", "_salt").agg(F.count("*").alias("_n")).withColumn("_in", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
+    # SLOTS rows, and SLOTS * salts rows, of a few numbers: Spark's size check decides how they are joined.
+    starts = counts.join(starts, "virtual_slot").select("virtual_slot", "_salt", "shard", (F.col("_start") + F.col("_in")).alias("_start"))
+    inside = Window.partitionBy("virtual_slot", "_salt").orderBy("doc_id", "text_crc32", "size")
+    numbered = salted.withColumn("_row", F.row_number().over(inside) - 1)
+    return numbered.join(starts, ["virtual_slot", "_salt"]).withColumn("slot", (F.col("_start") + F.col("_row")).cast("long")).drop("_start", "_row", "_salt")
 
 
 def shard(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, path: str | None = None) -> DataFrame:

@@ -48,6 +48,23 @@ def test_shards_are_even_and_gapless(spark):
     assert sharding.shard(table(spark, []), 8).count() == 0
 
 
+def test_placement_follows_the_law_step_by_step(spark):
+    """Slots by hash, bytes by slot, and the heaviest slot to the lightest shard, computed again here."""
+    docs = table(spark, some_rows())
+    got = sharding.shard(docs, 5, 64).collect()
+    loads = defaultdict(int)
+    for r in got:
+        loads[r["virtual_slot"]] += r["size"]
+    shards = [0] * 5
+    want = {}
+    for slot, n in sorted(loads.items(), key=lambda x: (-x[1], x[0])):
+        want[slot] = shards.index(min(shards))
+        shards[want[slot]] += n
+    assert all(r["shard"] == want[r["virtual_slot"]] and r["grown_shard"] is None for r in got)
+    again = sharding.shard(docs.repartition(7), 5, 64).collect()
+    assert sorted(map(str, got)) == sorted(map(str, again))
+
+
 def test_a_grown_map_only_moves_slots_to_the_new_shard(spark):
     records = sharding.slotted(table(spark, some_rows()), 256)
     path = new_path(spark, "maps")
