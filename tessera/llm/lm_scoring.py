@@ -46,7 +46,7 @@ from tessera.llm.shared import local_path, new_path, open_fs, store, write_file
 U = K.U
 ORDER = 3
 END = U(K.mix_int(0xE2D))
-FLUSH = 4_000_000  # tokens counted before a mapper sends its runs
+FLUSH = 3_000_000  # tokens counted before a mapper sends its runs
 HOT_PER_RANGE = 4
 WIDE = 16
 MAPS = 2048
@@ -115,6 +115,25 @@ def counted(columns: list[np.ndarray], n: np.ndarray) -> tuple[list[np.ndarray],
     return [c[at] for c in columns], np.add.reduceat(n[order].astype(np.int64), first)
 
 
+def occurring(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+    """Sorted distinct rows of the columns, and how often each occurs: by one sort in place where a row fits one number."""
+    bits = [int(c.max(initial=0)).bit_length() for c in columns]
+    if sum(bits) > 64:
+        return counted([c.astype(U) for c in columns], np.ones(len(columns[0]), np.int64))
+    key = columns[0].astype(U)
+    for c, more in zip(columns[1:], bits[1:], strict=True):
+        key <<= U(more)
+        key |= c
+    key.sort()
+    first = _runs(key)
+    n = np.diff(np.append(first, len(key)))
+    key, out = key[first], []
+    for more in reversed(bits):
+        out.insert(0, key & U((1 << more) - 1))
+        key = key >> U(more)
+    return out, n
+
+
 # --- tokens ------------------------------------------------------------------------------------------------------
 
 
@@ -203,10 +222,13 @@ def _is_hot(ids: np.ndarray, hot: np.ndarray) -> np.ndarray:
     return hot[at] == ids
 
 
-def _sent(k: int, columns: list[np.ndarray], n: np.ndarray, hot: np.ndarray, ranges: int) -> Iterator[pa.RecordBatch]:
-    """Runs of k-grams: columns in the order middle words, first word, last word, so that they compress."""
-    turned = [*columns[1:-1], columns[0], columns[-1]] if k > 1 else columns
-    turned, n = counted(turned, n)
+def _turned(columns: list[np.ndarray]) -> list[np.ndarray]:
+    """Columns in the order middle words, first word, last word: in this order, runs compress best."""
+    return [*columns[1:-1], columns[0], columns[-1]] if len(columns) > 1 else columns
+
+
+def _sent(k: int, turned: list[np.ndarray], n: np.ndarray, hot: np.ndarray, ranges: int) -> Iterator[pa.RecordBatch]:
+    """Runs of sorted distinct k-grams."""
     if k == 1:
         r = range_of(_hash(turned, 1), ranges)
     else:
@@ -227,15 +249,16 @@ def _count_grams(model: dict):
             held.clear()
             ids = tables.find("words", unique)[1]
             order = np.argsort(ids, kind="stable")  # numbers in this slice, in the order of ids, after START's
-            place = np.empty(len(ids), U)
-            place[order] = np.arange(1, len(ids) + 1, dtype=U)
+            place = np.empty(len(ids), np.uint32)
+            place[order] = np.arange(1, len(ids) + 1, dtype=np.uint32)
             ids = np.concatenate((np.array([_START], U), ids[order]))
             columns = [place[inverse]]
             del inverse, unique
             for _ in range(k - 1):
-                columns.insert(0, before(columns[0], at, U(0)))
-            columns, n = counted(columns, np.ones(len(columns[0]), np.int64))
-            yield from _sent(k, [ids[c] for c in columns], n, hot, ranges)
+                columns.insert(0, before(columns[0], at, 0))
+            columns, n = occurring(_turned(columns))
+            columns = [ids[c] for c in columns]
+            yield from _sent(k, columns, n, hot, ranges)
 
     return run
 
@@ -327,7 +350,8 @@ def _merge(k: int, model: dict):
             save_grams(path, k, r, context, columns[-1], n)
             # An n-gram that begins a text is counted by its occurrences, as START alone stands before it.
             opens = (columns[0] == _START) & (columns[1] == _START) if k > 2 else np.zeros(len(n), bool)
-            yield from _sent(k - 1, columns[1:], np.where(opens, n, 1), hot, ranges)
+            turned, n = counted(_turned(columns[1:]), np.where(opens, n, 1))
+            yield from _sent(k - 1, turned, n, hot, ranges)
 
     return run
 
