@@ -287,7 +287,7 @@ def test_quality_on_held_out_rows(spark):
 
 def test_gradients():
     rng = np.random.default_rng(0)
-    x = rng.normal(size=(60, toxicity._INPUTS)).astype(np.float32)
+    x = rng.normal(0, 0.3, (60, toxicity._INPUTS)).astype(np.float32)  # as small as embeddings, so that gates are not at their ends
     first, length, y = np.array([0, 5, 20, 30]), np.array([32, 7, 0, 30]), np.array([1.0, 0, 1, 0])
     p = {k: v.astype(np.float64) for k, v in toxicity.initial().items()}
 
@@ -304,6 +304,48 @@ def test_gradients():
             up[k][i] += 1e-2
             down[k][i] -= 1e-2
             assert float(g[k][i]) == pytest.approx((loss(up) - loss(down)) / 2e-2, rel=0.1, abs=4e-3)  # states are in single precision
+    for i in ((0, 1), (6, 3), (25, 20), (40, 31), (59, 2)):
+        up, down = x.copy(), x.copy()
+        up[i] += 1e-2
+        down[i] -= 1e-2
+        slope = sum(k * (np.log1p(np.exp(z := toxicity.forward(p, v, first, length)[0].astype(float))) - y * z).sum() for k, v in ((1, up), (-1, down))) / 2e-2
+        assert float(g["x"][i]) == pytest.approx(slope, rel=0.1, abs=4e-3)
+
+
+def test_network_equals_its_definition():
+    """The recurrence word by word, and the attention over its states, against the batched passes; slices joined or not."""
+    texts = ["Some words, some more words é", "", "one", "x y " * 70]
+    whole = toxicity.words_of(next(K.texts(pa.array(texts))))
+    w = toxicity.joined([toxicity.words_of(t) for t in K.texts(pa.array(texts), 8)])
+    assert (w.hash[w.index] == whole.hash[whole.index]).all() and (w.at == whole.at).all()
+    rng = np.random.default_rng(4)
+    form, piece = (rng.normal(size=(1 << toxicity.BITS, toxicity.WIDTH)).astype(np.float32) for _ in range(2))
+    p, h = toxicity.initial(), toxicity.HIDDEN
+    sigmoid = lambda v: 1 / (1 + np.exp(-v))
+
+    def states(rows, d):
+        out, s = [], np.zeros(h)
+        for x in rows:
+            g = x @ p[f"W{d}"] + p[f"c{d}"]
+            z, r = np.split(sigmoid(g[: 2 * h] + s @ p[f"U{d}"]), 2)
+            s = s + z * (np.tanh(g[2 * h :] + (r * s) @ p[f"N{d}"]) - s)
+            out.append(s)
+        return out
+
+    wanted = []
+    for i in range(len(texts)):
+        rows = []
+        for k in w.index[w.at[i] : w.at[i + 1]]:
+            own = w.piece[w.piece_at[k] : w.piece_at[k + 1]]
+            rows.append(np.concatenate((form[w.form[k]], piece[own].mean(0))))
+        best = -np.inf
+        for a in range(0, max(1, len(rows) - toxicity.STRIDE), toxicity.STRIDE):
+            part = rows[a : a + toxicity.WINDOW]
+            both = [np.concatenate(x) for x in zip(states(part, "f"), states(part[::-1], "b")[::-1], strict=True)]
+            a = np.exp([x @ p["v"] for x in both])
+            best = max(best, float(np.sum([k * x for k, x in zip(a / a.sum(), both, strict=True)], 0) @ p["o"] + p["k"][0]) if part else float(p["k"][0]))
+        wanted.append(best)
+    assert toxicity.Model(form, piece, p, 1.0, 0.0).logits(w) == pytest.approx(wanted, abs=1e-4)
 
 
 def test_windows_cover_every_word():
