@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import html
+import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, IntegerType, StringType
 
 START, END = 49406, 49407
 
@@ -32,14 +34,77 @@ def _quoted(s: str) -> str:
     return r"\Q" + s + r"\E"
 
 
+def repaired(text: str) -> str:
+    """Mojibake undone: stretches whose characters, as bytes of Windows-1252 or Latin-1, are valid UTF-8 of several bytes."""
+
+    def undo(m: re.Match) -> str:
+        for codec in ("cp1252", "latin-1"):
+            try:
+                return m[0].encode(codec).decode()
+            except UnicodeError:
+                continue
+        return m[0]
+
+    for _ in range(2):  # text may have been read wrongly twice
+        fixed = _MOJIBAKE.sub(undo, text)
+        if fixed == text:
+            break
+        text = fixed
+    return text
+
+
+# First bytes of a character of two, three or four bytes, and the bytes that follow, as Windows-1252 or Latin-1 shows them.
+_FOLLOW = "[\x80-\xbf€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]"
+_MOJIBAKE = re.compile(f"(?:[\xc2-\xdf]{_FOLLOW}|[\xe0-\xef]{_FOLLOW}{{2}}|[\xf0-\xf4]{_FOLLOW}{{3}})+")
+
+
 @F.pandas_udf(StringType())
-def unescape_twice(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def repair_and_unescape(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in batches:
-        yield s.map(lambda t: t if t is None else html.unescape(html.unescape(t)))
+        yield s.map(lambda t: t if t is None else html.unescape(html.unescape(repaired(t))))
 
 
 def basic_clean(text: Column) -> Column:
-    return F.trim(unescape_twice(text))
+    """Mojibake repaired, HTML entities undone twice, blanks cut off the ends."""
+    return F.trim(repair_and_unescape(text))
+
+
+@lru_cache(maxsize=2)
+def _byte_pairs(path: str):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(path)
+    t.encode_special_tokens = True  # their strings in a text are ordinary text
+    return t
+
+
+def byte_pair_ids(text: Column, path: str) -> Column:
+    """Ids of cleaned lower-case text under the byte-pair vocabulary at path."""
+
+    @F.pandas_udf(ArrayType(IntegerType()))
+    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        t = _byte_pairs(path)
+        for s in batches:
+            yield pd.Series([e.ids for e in t.encode_batch(s.fillna("").tolist(), add_special_tokens=False)])
+
+    return encode(lower_clean(text))
+
+
+def byte_pair_text(ids: Column, path: str) -> Column:
+    """The text of ids; those that stand for no text are left out."""
+
+    @F.pandas_udf(StringType())
+    def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        t = _byte_pairs(path)
+        for s in batches:
+            yield pd.Series([t.decode([int(i) for i in x if START > i], skip_special_tokens=True) for x in s])
+
+    return decode(ids)
+
+
+def dropped(tokens: Column, key: Column, share: float) -> Column:
+    """Tokens that stay when a share is dropped at random, in their order: at least one, if there is any."""
+    return random_mask(tokens, key, F.greatest(F.lit(1), F.floor(F.size(tokens) * F.lit(1 - share)).cast("int")))
 
 
 def lower_clean(text: Column) -> Column:

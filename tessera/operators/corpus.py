@@ -72,28 +72,37 @@ def _log_sum_exp(c: Column, *by: str) -> Column:
     return F.log(F.sum(F.exp(c - top)).over(w)) + top
 
 
-def clip_loss(logits: DataFrame) -> DataFrame:
-    """loss: symmetric cross entropy over logits(i, j, logit) of one batch, where i matches j = i."""
+def clip_loss(logits: DataFrame, *by: str) -> DataFrame:
+    """by, loss: symmetric cross entropy over the logits(by, i, j, logit) of each batch, where i matches j = i."""
     z = F.col("logit")
-    each = logits.withColumn("_r", _log_sum_exp(z, "i") - z).withColumn("_c", _log_sum_exp(z, "j") - z).filter("i = j")
-    return each.agg(((F.avg("_r") + F.avg("_c")) / 2).alias("loss"))
+    each = logits.withColumn("_r", _log_sum_exp(z, *by, "i") - z).withColumn("_c", _log_sum_exp(z, *by, "j") - z).filter("i = j")
+    return each.groupBy(*by).agg(((F.avg("_r") + F.avg("_c")) / 2).alias("loss"))
 
 
-def siglip_loss(logits: DataFrame) -> DataFrame:
-    """loss: sigmoid loss of all pairs, matches positive, divided by the batch."""
+def siglip_loss(logits: DataFrame, *by: str) -> DataFrame:
+    """by, loss: sigmoid loss of all pairs of a batch, matches positive, divided by its images."""
     y = F.when(F.col("i") == F.col("j"), 1.0).otherwise(-1.0)
-    return logits.agg((F.sum(F.log1p(F.exp(-y * F.col("logit")))) / F.countDistinct("i")).alias("loss"))
+    return logits.groupBy(*by).agg((F.sum(F.log1p(F.exp(-y * F.col("logit")))) / F.countDistinct("i")).alias("loss"))
 
 
-def distill_loss(logits: DataFrame) -> DataFrame:
-    """loss: cross entropy of the student's rows under the teacher's softmax. logits: i, j, logit, teacher."""
-    p = F.exp(F.col("teacher") - _log_sum_exp(F.col("teacher"), "i"))
-    each = logits.withColumn("_l", -p * (F.col("logit") - _log_sum_exp(F.col("logit"), "i")))
-    return each.agg((F.sum("_l") / F.countDistinct("i")).alias("loss"))
+def distill_loss(logits: DataFrame, *by: str) -> DataFrame:
+    """by, loss: cross entropy of the student's rows under the teacher's softmax. logits: by, i, j, logit, teacher."""
+    p = F.exp(F.col("teacher") - _log_sum_exp(F.col("teacher"), *by, "i"))
+    each = logits.withColumn("_l", -p * (F.col("logit") - _log_sum_exp(F.col("logit"), *by, "i")))
+    return each.groupBy(*by).agg((F.sum("_l") / F.countDistinct("i")).alias("loss"))
 
 
-def pair_logits(images: DataFrame, texts: DataFrame, scale: float = 20.0, bias: float = 0.0) -> DataFrame:
-    """i, j, logit of one batch: scaled dot products of images(i, a) with texts(j, b). A batch's size bounds both sides."""
+def weighted_loss(contrastive: DataFrame, captions: DataFrame, by: str, weights: tuple[float, float] = (1.0, 2.0)) -> DataFrame:
+    """by, loss: the contrastive loss of a batch and the mean cross entropy of its caption tokens(by, logit of the token, log_sum), weighted.
+
+    Padding tokens (those with a null token) count nothing.
+    """
+    told = captions.filter(F.col("token").isNotNull()).groupBy(by).agg(F.avg(F.col("log_sum") - F.col("logit")).alias("_c"))
+    return contrastive.join(told, by, "left").select(by, (F.lit(weights[0]) * F.col("loss") + F.lit(weights[1]) * F.coalesce("_c", F.lit(0.0))).alias("loss"))
+
+
+def pair_logits(images: DataFrame, texts: DataFrame, batch: str, scale: float = 20.0, bias: float = 0.0) -> DataFrame:
+    """batch, i, j, logit: scaled dot products of images(batch, i, a) with the texts(batch, j, b) of their batch."""
     from tessera.functions.vector import dot
 
-    return images.join(F.broadcast(texts)).select("i", "j", (dot(F.col("a"), F.col("b")) * scale + bias).alias("logit"))
+    return images.join(texts, batch).select(batch, "i", "j", (dot(F.col("a"), F.col("b")) * scale + bias).alias("logit"))

@@ -60,7 +60,7 @@ def _topk(q: str, n: str, expr: str, k: int, order: str, where: str = "q.vec_id
       row_number() OVER (PARTITION BY q.vec_id ORDER BY {expr} {order}, n.vec_id) AS rank FROM ({q}) q, ({n}) n WHERE {where}) WHERE rank <= {k}"""
 
 
-Q50 = "SELECT * FROM embeddings WHERE vec_id < 50"
+ASKED = "SELECT * FROM embeddings WHERE vec_id % 20 = 0"
 ALL = "SELECT * FROM embeddings"
 
 
@@ -71,24 +71,24 @@ def _six(df: DataFrame) -> DataFrame:
 # --- vectors and exact search ------------------------------------------------------------------------------------
 
 
-@query(_topk(Q50, ALL, COS, 5, "DESC"))
+@query(_topk(ASKED, ALL, COS, 5, "DESC"))
 def knn_cosine_top5(spark, d):
-    return _six(knn.knn(fx.embeddings(spark, d), fx.queries(spark, d), 5, "cosine", exclude_self=True))
+    return _six(knn.knn(fx.embeddings(spark, d), fx.asked(spark, d), 5, "cosine", exclude_self=True))
 
 
-@query(_topk(Q50, ALL, L2SQ, 5, "ASC"))
+@query(_topk(ASKED, ALL, L2SQ, 5, "ASC"))
 def knn_l2sq_top5(spark, d):
-    return _six(knn.knn(fx.embeddings(spark, d), fx.queries(spark, d), 5, "l2sq", exclude_self=True))
+    return _six(knn.knn(fx.embeddings(spark, d), fx.asked(spark, d), 5, "l2sq", exclude_self=True))
 
 
-@query(_topk(Q50, ALL, COS, 10, "DESC", f"q.vec_id <> n.vec_id AND {COS} >= 0.4"))
+@query(_topk(ASKED, ALL, COS, 10, "DESC", f"q.vec_id <> n.vec_id AND {COS} >= 0.4"))
 def knn_threshold(spark, d):
-    return _six(knn.knn(fx.embeddings(spark, d), fx.queries(spark, d), 10, "cosine", exclude_self=True, threshold=0.4))
+    return _six(knn.knn(fx.embeddings(spark, d), fx.asked(spark, d), 10, "cosine", exclude_self=True, threshold=0.4))
 
 
-@query(_topk(Q50, ALL, COS, 5, "DESC", "q.vec_id <> n.vec_id AND n.label = 3"))
+@query(_topk(ASKED, ALL, COS, 5, "DESC", "q.vec_id <> n.vec_id AND n.label = 3"))
 def knn_filtered_label(spark, d):
-    return _six(knn.knn(fx.embeddings(spark, d), fx.queries(spark, d), 5, "cosine", exclude_self=True, where=F.col("label") == 3))
+    return _six(knn.knn(fx.embeddings(spark, d), fx.asked(spark, d), 5, "cosine", exclude_self=True, where=F.col("label") == 3))
 
 
 @query(_topk(ALL, ALL, COS, 5, "DESC"))
@@ -99,10 +99,10 @@ def knn_self_all(spark, d):
 SCALED = "SELECT vec_id, label, list_transform(embedding, lambda x: (x * (1 + vec_id % 3))::FLOAT) AS embedding FROM embeddings"
 
 
-@query(_topk("SELECT * FROM (" + SCALED + ") WHERE vec_id < 50", SCALED, L2SQ, 5, "ASC"))
+@query(_topk("SELECT * FROM (" + SCALED + ") WHERE vec_id % 20 = 0", SCALED, L2SQ, 5, "ASC"))
 def knn_scaled_l2sq(spark, d):
     e = fx.scaled(spark, d)
-    return _six(knn.knn(e, e.filter("vec_id < 50"), 5, "l2sq", exclude_self=True))
+    return _six(knn.knn(e, e.filter("vec_id % 20 = 0"), 5, "l2sq", exclude_self=True))
 
 
 @query("SELECT vec_id, round(sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x*x))), 6) AS norm FROM (" + SCALED + ")")
@@ -116,13 +116,13 @@ def l2_normalize(spark, d):
     return unit.select("vec_id", (F.col("dim") + 1).cast("long").alias("dim"), F.round("value", 6).alias("value"))
 
 
-@query(f"""WITH z AS (SELECT vec_id, CASE WHEN vec_id % 5 = 0 THEN list_transform(embedding, lambda x: 0::FLOAT) ELSE embedding END AS embedding FROM ({SCALED}) WHERE vec_id < 30),
- p AS (SELECT a.vec_id AS i, b.vec_id AS j, list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS d, sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) AS na, sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])) AS nb FROM z a JOIN z b ON b.vec_id = (a.vec_id + 1) % 30)
+@query(f"""WITH z AS (SELECT vec_id, CASE WHEN vec_id % 5 = 0 THEN list_transform(embedding, lambda x: 0::FLOAT) ELSE embedding END AS embedding FROM ({SCALED})),
+ p AS (SELECT a.vec_id AS i, b.vec_id AS j, list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS d, sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) AS na, sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])) AS nb FROM z a JOIN z b ON b.vec_id = a.vec_id + 1)
  SELECT i, j, round(CASE WHEN na < 1e-8 OR nb < 1e-8 THEN 0 ELSE d/(na*nb) END, 6) AS guarded, round(d/(na*nb+1e-8), 6) AS epsilon, round(CASE WHEN na < 1e-8 THEN 1 ELSE 1 - d/(na*greatest(nb, 1e-8)) END, 6) AS distance FROM p""")
 def cosine_guards(spark, d):
-    z = fx.scaled(spark, d).filter("vec_id < 30").select("vec_id", F.when(F.col("vec_id") % 5 == 0, F.transform("embedding", lambda x: F.lit(0).cast("float"))).otherwise(F.col("embedding")).alias("v"))
+    z = fx.scaled(spark, d).select("vec_id", F.when(F.col("vec_id") % 5 == 0, F.transform("embedding", lambda x: F.lit(0).cast("float"))).otherwise(F.col("embedding")).alias("v"))
     a, b = z.select(F.col("vec_id").alias("i"), F.col("v").alias("a")), z.select(F.col("vec_id").alias("j"), F.col("v").alias("b"))
-    pair = a.join(b, F.col("j") == (F.col("i") + 1) % 30)
+    pair = a.join(b, F.col("j") == F.col("i") + 1)
     x, y = F.col("a"), F.col("b")
     return pair.select("i", "j", F.round(vector.cosine(x, y), 6).alias("guarded"), F.round(vector.cosine(x, y, "epsilon"), 6).alias("epsilon"), F.round(vector.cosine_distance(x, y), 6).alias("distance"))
 
@@ -149,19 +149,19 @@ def pooled_vectors(spark, d):
 # --- shards ------------------------------------------------------------------------------------------------------
 
 
-@query(f"""WITH s AS (SELECT q.vec_id AS query_id, n.vec_id % 4 AS shard_id, CAST(floor(n.vec_id / 4) AS BIGINT) AS local_idx, n.vec_id AS neighbor_id, {L2SQ} AS score FROM ({Q50}) q, embeddings n),
+@query(f"""WITH s AS (SELECT q.vec_id AS query_id, n.vec_id % 4 AS shard_id, CAST(floor(n.vec_id / 4) AS BIGINT) AS local_idx, n.vec_id AS neighbor_id, {L2SQ} AS score FROM ({ASKED}) q, embeddings n),
  l AS (SELECT *, row_number() OVER (PARTITION BY query_id, shard_id ORDER BY score, local_idx) AS lr FROM s)
  SELECT query_id, shard_id, local_idx, neighbor_id, rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, local_idx, shard_id) AS rank FROM l WHERE lr <= 6) WHERE rank <= 6""")
 def sharded_merge_topk(spark, d):
-    return _six(knn.sharded(fx.embeddings(spark, d), fx.queries(spark, d), 6))
+    return _six(knn.sharded(fx.embeddings(spark, d), fx.asked(spark, d), 6))
 
 
 @query(f"""SELECT query_id, rank, info, split_part(info, '_', 1) AS slide_id, score FROM (SELECT q.vec_id AS query_id, i.info, round({COS}, 6) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY {COS} DESC, n.vec_id) AS rank
- FROM (SELECT * FROM embeddings WHERE vec_id < 5) q, embeddings n JOIN ({I}) i ON i.vec_id = n.vec_id) WHERE rank <= 20""")
+ FROM ({ASKED}) q, embeddings n JOIN ({I}) i ON i.vec_id = n.vec_id) WHERE rank <= 20""")
 def batch_search_by_query(spark, d):
     from tessera.plans import api
 
-    return api.batch_search(fx.embeddings(spark, d), fx.infos(spark, d), fx.queries(spark, d, 5), 20).select("query_id", "rank", "info", "slide_id", F.round("score", 6).alias("score"))
+    return api.batch_search(fx.embeddings(spark, d), fx.infos(spark, d), fx.asked(spark, d), 20).select("query_id", "rank", "info", "slide_id", F.round("score", 6).alias("score"))
 
 
 @query(f"""WITH n AS (SELECT DISTINCT substr(info, 1, strpos(info, '.svs') + 3) || '_' || (vec_id % 53) AS wsi_name FROM ({I})), o AS (SELECT wsi_name, row_number() OVER (ORDER BY wsi_name) - 1 AS r, count(*) OVER () AS t FROM n)
@@ -259,13 +259,13 @@ def site_lookup(spark, d):
     return tiles.lookup_site(c, "code", {"north": ["1", "2", "3"], "south": ["3", "4", "5"]}).select("c_custkey", "site")
 
 
-@query("""WITH h AS (SELECT page_id, ascii(substr(html, i, 1)) AS value, count(*) AS n FROM pages, (SELECT unnest(range(1, 201)) AS i) WHERE length(html) >= i GROUP BY ALL),
+@query("""WITH h AS (SELECT page_id, ascii(c) AS value, count(*) AS n FROM (SELECT page_id, unnest(string_split(html, '')) AS c FROM pages) GROUP BY ALL),
  c AS (SELECT *, sum(n) OVER u AS w0, sum(n*value) OVER u AS s0, sum(n) OVER (PARTITION BY page_id) AS w, sum(n*value) OVER (PARTITION BY page_id) AS s FROM h WINDOW u AS (PARTITION BY page_id ORDER BY value)),
  v AS (SELECT *, CASE WHEN w > w0 THEN w0*(w-w0)*pow(s0/w0-(s-s0)/(w-w0), 2) ELSE 0 END AS var FROM c),
  t AS (SELECT page_id, value AS threshold FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY var DESC, value) AS r FROM v) WHERE r = 1)
  SELECT h.page_id AS image_id, CAST(threshold AS BIGINT) AS threshold, round(sum(CASE WHEN value > threshold THEN n ELSE 0 END)/sum(n), 6) AS share, sum(CASE WHEN value > threshold THEN n ELSE 0 END)/sum(n) > 0.1 AS is_tissue FROM h JOIN t ON t.page_id = h.page_id GROUP BY h.page_id, threshold""")
 def otsu_tissue(spark, d):
-    cells = read(spark, d, "pages").select(F.col("page_id").alias("image_id"), F.explode(F.expr("transform(sequence(1, least(200, length(html))), i -> ascii(substr(html, i, 1)))")).alias("value"))
+    cells = read(spark, d, "pages").select(F.col("page_id").alias("image_id"), F.explode(F.split("html", "")).alias("c")).filter("c <> ''").withColumn("value", F.ascii("c"))
     t = tiles.tissue_share(cells.groupBy("image_id", "value").agg(F.count("*").alias("n")))
     return t.select("image_id", F.col("threshold").cast("long").alias("threshold"), F.round("share", 6).alias("share"), "is_tissue")
 
@@ -311,11 +311,11 @@ def per_class_accuracy(spark, d):
     return metrics.class_report(q).withColumn("accuracy", F.round("accuracy", 6))
 
 
-@query(f"""WITH h AS (SELECT q.vec_id AS query_id, n.vec_id AS neighbor_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY {COS} DESC, n.vec_id) AS rank FROM ({Q50}) q, embeddings n WHERE q.vec_id <> n.vec_id),
- e AS (SELECT * FROM h WHERE rank <= 5), a AS (SELECT q.vec_id AS query_id, n.vec_id AS neighbor_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY {COS} DESC, n.vec_id) AS rank FROM ({Q50}) q, embeddings n WHERE q.vec_id <> n.vec_id AND n.vec_id % 3 <> 0)
+@query(f"""WITH h AS (SELECT q.vec_id AS query_id, n.vec_id AS neighbor_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY {COS} DESC, n.vec_id) AS rank FROM ({ASKED}) q, embeddings n WHERE q.vec_id <> n.vec_id),
+ e AS (SELECT * FROM h WHERE rank <= 5), a AS (SELECT q.vec_id AS query_id, n.vec_id AS neighbor_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY {COS} DESC, n.vec_id) AS rank FROM ({ASKED}) q, embeddings n WHERE q.vec_id <> n.vec_id AND n.vec_id % 3 <> 0)
  SELECT e.query_id, round(count(a.neighbor_id) / count(*), 6) AS recall FROM e LEFT JOIN (SELECT * FROM a WHERE rank <= 5) a ON a.query_id = e.query_id AND a.neighbor_id = e.neighbor_id GROUP BY e.query_id""")
 def recall_at_k(spark, d):
-    e, q = fx.embeddings(spark, d), fx.queries(spark, d)
+    e, q = fx.embeddings(spark, d), fx.asked(spark, d)
     exact = knn.knn(e, q, 5, exclude_self=True)
     part = knn.knn(e, q, 5, exclude_self=True, where=F.col("vec_id") % 3 != 0)
     return metrics.recall(exact, part, 5).withColumn("recall", F.round("recall", 6))
@@ -327,10 +327,10 @@ def cumsum_threshold(spark, d):
     return metrics.cumulative_thresholds(read(spark, d, "part"), "p_partkey", "p_size", (100, 1000, 10000, 10000000))
 
 
-@query(f"SELECT query_id, " + ", ".join(f"round(avg(CASE WHEN rank <= {n} THEN score END), 5) AS mean_{n}" for n in (1, 3, 5, 10, 50)) + f" FROM ({H}) GROUP BY query_id")
+@query(f"SELECT query_id, " + ", ".join(f"round(avg(CASE WHEN rank <= {n} THEN score END), 7) AS mean_{n}" for n in (1, 3, 5, 10, 50)) + f" FROM ({H}) GROUP BY query_id")
 def mean_of_top_scores(spark, d):
     m = metrics.mean_of_top(fx.hits(spark, d))
-    return m.select("query_id", *[F.round(c, 5).alias(c) for c in m.columns if c != "query_id"])
+    return m.select("query_id", *[F.round(c, 7).alias(c) for c in m.columns if c != "query_id"])
 
 
 @query("SELECT event_type, round(avg(value), 5) AS mean, round(stddev_pop(value), 5) AS std, min(value) AS least, count(*) AS trials FROM events GROUP BY event_type")
@@ -369,16 +369,16 @@ def connected_regions(spark, d):
     return _regions(spark, d).select("query_id", "neighbor_id", "region_id")
 
 
-@query(f"{_REGIONS} SELECT query_id, region_id, x0, y0, x1, y1, n_patches, round(s / ((x1-x0+1)*(y1-y0+1)), 5) AS score FROM (SELECT query_id, region_id, min(gx) AS x0, min(gy) AS y0, max(gx) AS x1, max(gy) AS y1, count(*) AS n_patches, sum(score) AS s FROM r GROUP BY query_id, region_id)")
+@query(f"{_REGIONS} SELECT query_id, region_id, x0, y0, x1, y1, n_patches, round(s / ((x1-x0+1)*(y1-y0+1)), 12) AS score FROM (SELECT query_id, region_id, min(gx) AS x0, min(gy) AS y0, max(gx) AS x1, max(gy) AS y1, count(*) AS n_patches, sum(score) AS s FROM r GROUP BY query_id, region_id)")
 def region_bbox_score(spark, d):
-    return regions.region_boxes(_regions(spark, d), ["query_id"]).withColumn("score", F.round("score", 5))
+    return regions.region_boxes(_regions(spark, d), ["query_id"]).withColumn("score", F.round("score", 12))
 
 
-@query(f"""WITH h AS (SELECT q.vec_id AS query_id, n.level, row_number() OVER (PARTITION BY q.vec_id ORDER BY {COS} DESC, n.vec_id) AS rank FROM ({Q50}) q, ({P}) n WHERE q.vec_id <> n.vec_id), c AS (SELECT query_id, level, count(*) AS n, min(rank) AS f FROM h WHERE rank <= 9 GROUP BY ALL)
+@query(f"""WITH h AS (SELECT q.vec_id AS query_id, n.level, row_number() OVER (PARTITION BY q.vec_id ORDER BY {COS} DESC, n.vec_id) AS rank FROM ({ASKED}) q, ({P}) n WHERE q.vec_id <> n.vec_id), c AS (SELECT query_id, level, count(*) AS n, min(rank) AS f FROM h WHERE rank <= 9 GROUP BY ALL)
  SELECT query_id, level FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, f) AS r FROM c) WHERE r = 1""")
 def region_mode_level(spark, d):
     p = fx.patches(spark, d)
-    h = knn.knn(p, fx.queries(spark, d), 9, exclude_self=True).join(p.select(F.col("vec_id").alias("neighbor_id"), "level"), "neighbor_id")
+    h = knn.knn(p, fx.asked(spark, d), 9, exclude_self=True).join(p.select(F.col("vec_id").alias("neighbor_id"), "level"), "neighbor_id")
     return regions.first_seen_mode(h, ["query_id"], "level", "rank")
 
 
@@ -437,7 +437,7 @@ def rectangle_adjacency(spark, d):
  s AS (SELECT n.query_id, n.region_id, round(list_cosine_similarity(q.embedding::DOUBLE[], n.v), 6) AS score FROM n JOIN embeddings q ON q.vec_id = n.query_id) SELECT query_id, region_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, region_id) AS rank FROM s""")
 def region_rerank(spark, d):
     r = regions.connected(fx.hits(spark, d), ["query_id", "slide_no", "level"], "neighbor_id")
-    return regions.rerank(r, fx.queries(spark, d), ["query_id"], 64)
+    return regions.rerank(r, fx.asked(spark, d), ["query_id"], 64)
 
 
 # --- graph -------------------------------------------------------------------------------------------------------
@@ -518,11 +518,11 @@ def ivf_search(spark, d):
     return ann.ivf_search(ann.assigned(e, cells, copies=2), cells, fx.asked(spark, d), 10, 12)
 
 
-@query(_topk(Q50, ALL, L2SQ, 10, "ASC", "TRUE"))
+@query(_topk(ASKED, ALL, L2SQ, 10, "ASC", "TRUE"))
 def ivf_all_probes(spark, d):
     e = fx.embeddings(spark, d)
     cells = ann.train_cells(e, 32)
-    return _six(ann.ivf_search(ann.assigned(e, cells), cells, fx.queries(spark, d), 10, 32))
+    return _six(ann.ivf_search(ann.assigned(e, cells), cells, fx.asked(spark, d), 10, 32))
 
 
 @query()
@@ -568,20 +568,28 @@ def anti_join_new(spark, d):
     return collection.without_known(e, e.filter("vec_id % 4 = 1"), "vec_id")
 
 
-@query(_topk("SELECT * FROM embeddings WHERE vec_id < 20", "SELECT * FROM embeddings WHERE label <> 2", COS, 5, "DESC", "n.label > 5"))
+@query(_topk(ASKED, "SELECT * FROM embeddings WHERE label <> 2", COS, 5, "DESC", "n.label > 5"))
 def collection_search(spark, d):
     c = collection.Collection(spark, _scratch(spark, "collection"), "vectors")
     c.create(64, "cosine", "label int")
     e = fx.embeddings(spark, d).select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
     c.upsert(e)
     c.delete(F.col("label") == 2)
-    hits = c.search(e.filter("id < 20"), 5, where=F.col("label") > 5)
+    hits = c.search(e.filter("id % 20 = 0"), 5, where=F.col("label") > 5)
     return _six(hits.withColumnRenamed("id", "neighbor_id"))
 
 
 # --- text and corpora --------------------------------------------------------------------------------------------
 
 
+#: The entities that the table's pages use, undone twice.
+_ENTITIES = "html"
+for _ in range(2):
+    for _entity, _sign in (("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "\x02"), ("&amp", "\x02")):
+        _ENTITIES = f"replace({_ENTITIES}, '{_entity}', '{_sign}')"
+    _ENTITIES = f"replace({_ENTITIES}, '\x02', '&')"
+
+
 @query("SELECT doc_id, md5(regexp_replace(regexp_replace(text, '\\s+', ' ', 'g'), '^ | $', '', 'g')) AS digest FROM documents")
 def whitespace_clean(spark, d):
     return read(spark, d, "documents").select("doc_id", F.md5(text.whitespace_clean(F.col("text"))).alias("digest"))
@@ -592,10 +600,9 @@ def canonicalize_text(spark, d):
     return read(spark, d, "documents").select("doc_id", F.md5(text.canonicalize(F.col("text"))).alias("digest"))
 
 
-@query("SELECT page_id, CAST(length(trim(replace(replace(replace(replace('x &amp;amp; ' || page_id || ' &lt;b&gt; ', '&amp;', '&'), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'))) AS BIGINT) AS n FROM pages")
+@query(f"SELECT page_id, md5(trim({_ENTITIES})) AS digest FROM pages")
 def basic_clean(spark, d):
-    t = F.concat(F.lit("x &amp;amp; "), F.col("page_id").cast("string"), F.lit(" &lt;b&gt; "))
-    return read(spark, d, "pages").select("page_id", F.length(text.basic_clean(t)).cast("long").alias("n"))
+    return read(spark, d, "pages").select("page_id", F.md5(text.basic_clean(F.col("html"))).alias("digest"))
 
 
 _WORDS = r"""regexp_extract_all(lower(text), '(''s|''t|''re|''ve|''m|''ll|''d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+)', 1)"""
@@ -655,27 +662,30 @@ def inbatch_dedup(spark, d):
     return corpus.unique_in_batch(turns.select(F.floor(F.col("_row") / BATCH).cast("long").alias("batch"), "place", "texts"), "batch", "place")
 
 
-_LOGITS = "SELECT a.vec_id AS i, b.vec_id - 16 AS j, 20 * list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS logit FROM embeddings a, embeddings b WHERE a.vec_id < 16 AND b.vec_id BETWEEN 16 AND 31"
+#: The table in batches of 16 pairs: of 32 vectors, the first 16 stand for images and the others for their texts.
+_BATCHED = "SELECT CAST(floor(vec_id / 32) AS BIGINT) AS batch, vec_id % 32 AS at, embedding FROM embeddings"
+_LOGITS = f"SELECT batch, a.at AS i, b.at - 16 AS j, 20 * list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS logit FROM ({_BATCHED}) a JOIN ({_BATCHED}) b USING (batch) WHERE a.at < 16 AND b.at >= 16"
 
 
 def _logits(spark, d):
-    e = fx.embeddings(spark, d)
-    return corpus.pair_logits(e.filter("vec_id < 16").select(F.col("vec_id").alias("i"), F.col("embedding").alias("a")), e.filter("vec_id between 16 and 31").select((F.col("vec_id") - 16).alias("j"), F.col("embedding").alias("b")))
+    e = fx.embeddings(spark, d).select(F.floor(F.col("vec_id") / 32).alias("batch"), (F.col("vec_id") % 32).alias("at"), "embedding")
+    images = e.filter("at < 16").select("batch", F.col("at").alias("i"), F.col("embedding").alias("a"))
+    return corpus.pair_logits(images, e.filter("at >= 16").select("batch", (F.col("at") - 16).alias("j"), F.col("embedding").alias("b")), "batch")
 
 
-@query(f"WITH l AS ({_LOGITS}), r AS (SELECT i, ln(sum(exp(logit))) AS s FROM l GROUP BY i), c AS (SELECT j, ln(sum(exp(logit))) AS s FROM l GROUP BY j) SELECT round((avg(r.s - logit) + avg(c.s - logit)) / 2, 6) AS loss FROM l JOIN r ON r.i = l.i JOIN c ON c.j = l.j WHERE l.i = l.j")
+@query(f"WITH l AS ({_LOGITS}), r AS (SELECT batch, i, ln(sum(exp(logit))) AS s FROM l GROUP BY ALL), c AS (SELECT batch, j, ln(sum(exp(logit))) AS s FROM l GROUP BY ALL) SELECT batch, round((avg(r.s - logit) + avg(c.s - logit)) / 2, 6) AS loss FROM l JOIN r USING (batch, i) JOIN c USING (batch, j) WHERE l.i = l.j GROUP BY batch")
 def clip_loss(spark, d):
-    return corpus.clip_loss(_logits(spark, d)).withColumn("loss", F.round("loss", 6))
+    return corpus.clip_loss(_logits(spark, d), "batch").withColumn("loss", F.round("loss", 6))
 
 
-@query(f"SELECT round(sum(ln(1 + exp(-(CASE WHEN i = j THEN 1 ELSE -1 END) * logit))) / 16, 6) AS loss FROM ({_LOGITS})")
+@query(f"SELECT batch, round(sum(ln(1 + exp(-(CASE WHEN i = j THEN 1 ELSE -1 END) * logit))) / count(DISTINCT i), 6) AS loss FROM ({_LOGITS}) GROUP BY batch")
 def siglip_loss(spark, d):
-    return corpus.siglip_loss(_logits(spark, d)).withColumn("loss", F.round("loss", 6))
+    return corpus.siglip_loss(_logits(spark, d), "batch").withColumn("loss", F.round("loss", 6))
 
 
-@query(f"WITH l AS (SELECT *, logit / 2 AS teacher FROM ({_LOGITS})), s AS (SELECT i, ln(sum(exp(logit))) AS a, ln(sum(exp(teacher))) AS b FROM l GROUP BY i) SELECT round(sum(-exp(teacher - b) * (logit - a)) / 16, 6) AS loss FROM l JOIN s ON s.i = l.i")
+@query(f"WITH l AS (SELECT *, logit / 2 AS teacher FROM ({_LOGITS})), s AS (SELECT batch, i, ln(sum(exp(logit))) AS a, ln(sum(exp(teacher))) AS b FROM l GROUP BY ALL) SELECT batch, round(sum(-exp(teacher - b) * (logit - a)) / count(DISTINCT i), 6) AS loss FROM l JOIN s USING (batch, i) GROUP BY batch")
 def distill_loss(spark, d):
-    return corpus.distill_loss(_logits(spark, d).withColumn("teacher", F.col("logit") / 2)).withColumn("loss", F.round("loss", 6))
+    return corpus.distill_loss(_logits(spark, d).withColumn("teacher", F.col("logit") / 2), "batch").withColumn("loss", F.round("loss", 6))
 
 
 # --- tables, ids, dates ------------------------------------------------------------------------------------------

@@ -35,10 +35,6 @@ def patches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(PATCHES.replace("FROM embeddings", "FROM {e}"), e=embeddings(spark, sf_dir))
 
 
-def queries(spark: SparkSession, sf_dir: str, n: int = 50) -> DataFrame:
-    return embeddings(spark, sf_dir).filter(F.col("vec_id") < n)
-
-
 def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every vector whose id is divisible by 20: a query set that grows with the table."""
     return embeddings(spark, sf_dir).filter(F.col("vec_id") % 20 == 0)
@@ -61,10 +57,10 @@ def slides(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.withColumn("levels", F.array(level(0, 1280, 1024), level(1, 2560, 2048)))
 
 
-def hits(spark: SparkSession, sf_dir: str, n: int = 10, k: int = 60) -> DataFrame:
-    """The k nearest fine patches of the first n vectors, with positions."""
+def hits(spark: SparkSession, sf_dir: str, k: int = 60) -> DataFrame:
+    """The k nearest fine patches of the vectors asked, with positions."""
     p = patches(spark, sf_dir).filter("level = 1")
-    found = knn(p, queries(spark, sf_dir, n), k, "cosine", exclude_self=True)
+    found = knn(p, asked(spark, sf_dir), k, "cosine", exclude_self=True)
     return found.join(p.select(F.col("vec_id").alias("neighbor_id"), "slide_no", "level", "gx", "gy", "label", "sub_id", "embedding"), "neighbor_id").withColumn("score", F.round("score", 6))
 
 
@@ -72,14 +68,14 @@ HITS = f"""
 SELECT * FROM (SELECT q.vec_id AS query_id, n.vec_id AS neighbor_id, n.slide_no, n.level, n.gx, n.gy, n.label, n.sub_id, n.embedding,
   round(list_cosine_similarity(q.embedding::DOUBLE[], n.embedding::DOUBLE[]), 6) AS score,
   row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(q.embedding::DOUBLE[], n.embedding::DOUBLE[]) DESC, n.vec_id) AS rank
-FROM (SELECT * FROM embeddings WHERE vec_id < 10) q, ({PATCHES}) n WHERE n.level = 1 AND q.vec_id <> n.vec_id) WHERE rank <= 60
+FROM (SELECT * FROM embeddings WHERE vec_id % 20 = 0) q, ({PATCHES}) n WHERE n.level = 1 AND q.vec_id <> n.vec_id) WHERE rank <= 60
 """
 
 
-def ranked_patients(spark: SparkSession, sf_dir: str, n: int = 60, k: int = 60) -> DataFrame:
-    """Hits of the first n vectors among all patches, with both sides' patient and label."""
+def ranked_patients(spark: SparkSession, sf_dir: str, k: int = 60) -> DataFrame:
+    """Hits of the vectors asked among all patches, with both sides' patient and label."""
     p = patches(spark, sf_dir)
-    found = knn(p, queries(spark, sf_dir, n), k, "cosine", exclude_self=True)
+    found = knn(p, asked(spark, sf_dir), k, "cosine", exclude_self=True)
     a = p.select(F.col("vec_id").alias("query_id"), F.col("sub_id").alias("q_sub"), F.col("label").alias("q_label"))
     b = p.select(F.col("vec_id").alias("neighbor_id"), F.col("sub_id").alias("n_sub"), F.col("label").alias("n_label"))
     return found.join(a, "query_id").join(b, "neighbor_id").withColumn("relevant", F.col("q_label") == F.col("n_label"))
@@ -89,7 +85,7 @@ RANKED = f"""
 SELECT *, q_label = n_label AS relevant FROM (SELECT q.vec_id AS query_id, n.vec_id AS neighbor_id, q.sub_id AS q_sub, n.sub_id AS n_sub, q.label AS q_label, n.label AS n_label,
   list_cosine_similarity(q.embedding::DOUBLE[], n.embedding::DOUBLE[]) AS score,
   row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(q.embedding::DOUBLE[], n.embedding::DOUBLE[]) DESC, n.vec_id) AS rank
-FROM (SELECT * FROM ({PATCHES}) WHERE vec_id < 60) q, ({PATCHES}) n WHERE q.vec_id <> n.vec_id) WHERE rank <= 60
+FROM (SELECT * FROM ({PATCHES}) WHERE vec_id % 20 = 0) q, ({PATCHES}) n WHERE q.vec_id <> n.vec_id) WHERE rank <= 60
 """
 
 WALK = f"""
