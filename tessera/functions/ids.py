@@ -46,3 +46,18 @@ def json_value(text: Column, path: str) -> Column:
 
 def digest_matches(content: Column, prefix: Column) -> Column:
     return F.startswith(F.sha2(content, 256), prefix)
+
+
+def clean_tag(tag: Column) -> Column:
+    """A model's tag as registries compare it: lower case, hyphens as underscores."""
+    return F.replace(F.lower(tag), F.lit("-"), F.lit("_"))
+
+
+def is_remote(path: Column) -> Column:
+    return F.contains(path, F.lit("http"))
+
+
+def merged_config(base: Column, overlay: Column) -> Column:
+    """The base map with the overlay's values, but for unknown keys and nulls."""
+    known = F.map_filter(overlay, lambda k, v: F.array_contains(F.map_keys(base), k) & v.isNotNull())
+    return F.map_from_entries(F.transform(F.map_entries(base), lambda e: F.struct(e["key"].alias("key"), F.coalesce(F.element_at(known, e["key"]), e["value"]).alias("value"))))

@@ -90,14 +90,23 @@ def byte_pair_ids(text: Column, path: str) -> Column:
     return encode(lower_clean(text))
 
 
+def byte_signs() -> dict[int, str]:
+    """The sign that stands for each byte in a vocabulary: itself if it can be seen in Latin-1, else the next of those from 256."""
+    seen = [b for b in range(256) if 33 <= b <= 126 or b >= 161 and b != 173]
+    hidden = [b for b in range(256) if b not in set(seen)]
+    return {b: chr(b) for b in seen} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
 def byte_pair_text(ids: Column, path: str) -> Column:
-    """The text of ids; those that stand for no text are left out."""
+    """The text of ids, a blank after each word; ids that stand for no text are left out."""
+    byte_of = {sign: b for b, sign in byte_signs().items()}
 
     @F.pandas_udf(StringType())
     def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         t = _byte_pairs(path)
         for s in batches:
-            yield pd.Series([t.decode([int(i) for i in x if START > i], skip_special_tokens=True) for x in s])
+            words = ("".join(t.id_to_token(int(i)) for i in x if i < START).split("</w>") for x in s)
+            yield pd.Series([" ".join(bytes(byte_of[c] for c in w).decode(errors="replace") for w in x) for x in words])
 
     return decode(ids)
 

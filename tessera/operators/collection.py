@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.operators.knn import METRICS, knn
+from tessera.operators.knn import METRICS, knn, numbered_rows
 
 
 def latest(rows: DataFrame, key: str, *order: str) -> DataFrame:
@@ -80,11 +80,22 @@ class Collection:
         found = self._noted("settings")
         if found is None:
             raise ValueError(f"{self.path} is not a collection")
-        return found | {"version": (self._noted("pointer") or {"version": 0})["version"]}
+        return found | {"version": self._version()}
+
+    def _version(self) -> int:
+        """The newest whole version: a write ends with its mark, and a mark is never changed."""
+        fs, path = _store(self.spark, self.path)
+        told = [x.getPath() for x in fs.listStatus(path) if x.getPath().getName().startswith("version=")]
+        whole = [int(p.getName().split("=")[1]) for p in told if fs.exists(_child(self.spark, p, "_SUCCESS"))]
+        if not whole:
+            raise ValueError(f"{self.path} has no whole version")
+        return max(whole)
 
     def _write(self, rows: DataFrame, version: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{self.path}/version={version}")
-        self._note("pointer", {"version": version})
+        """Write a version, of which readers see nothing before its mark is there; that before the last goes."""
+        rows.write.mode("errorifexists").parquet(f"{self.path}/version={version}")
+        fs, path = _store(self.spark, f"{self.path}/version={version - 2}")
+        fs.delete(path, True)
 
     def rows(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/version={self.settings()['version']}")
@@ -100,6 +111,20 @@ class Collection:
         s = self.settings()
         self._write(self.rows().filter(~F.coalesce(where, F.lit(False))), s["version"] + 1)
 
+    def insert(self, rows: DataFrame) -> None:
+        """Append rows under ids of their own, above those there are; columns that the collection lacks are added to it."""
+        s = self.settings()
+        top = self.rows().agg(F.max("id")).first()[0]
+        numbered = numbered_rows(rows.withColumn("_k", F.xxhash64(*rows.columns)), "_k").withColumn("id", F.col("_row") + F.lit(0 if top is None else top + 1))
+        wrong = F.size("vector") != s["size"]
+        checked = numbered.drop("_k", "_row").withColumn("vector", F.when(wrong, F.raise_error(F.lit("a vector has the wrong size"))).otherwise(F.col("vector").cast("array<float>")))
+        self._write(self.rows().unionByName(checked, allowMissingColumns=True), s["version"] + 1)
+
+    def stats(self) -> dict:
+        """Settings, rows, columns and version."""
+        rows = self.rows()
+        return self.settings() | {"rows": rows.count(), "columns": rows.columns}
+
     def count(self, where: Column | None = None) -> int:
         return (self.rows() if where is None else self.rows().filter(where)).count()
 
@@ -121,3 +146,19 @@ class Collection:
 
     def copy_to(self, other: Collection, limit: int) -> None:
         other.upsert(scrolled(self.rows(), "id", limit))
+
+
+def _store(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def _child(spark: SparkSession, parent, name: str):
+    return spark._jvm.org.apache.hadoop.fs.Path(parent, name)
+
+
+def collections(spark: SparkSession, root: str) -> list[str]:
+    """The names of the collections below root."""
+    fs, path = _store(spark, root)
+    found = [x.getPath().getName() for x in fs.listStatus(path) if x.isDirectory()] if fs.exists(path) else []
+    return sorted(n for n in found if Collection(spark, root, n).exists())

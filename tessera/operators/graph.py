@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -216,3 +216,24 @@ def _searched_by_joins(index: DataFrame, queries: DataFrame, k: int, buffer: int
 def _to_open(best, opened, expand: int) -> list[int]:
     done = set(opened)
     return [int(b) for b in best if int(b) not in done][:expand]
+
+
+def add_level(nodes: DataFrame | None, level: DataFrame, number: int, tissue: Column | None = None) -> DataFrame:
+    """nodes and those of one more level(node, wsi_id, gx, gy, embedding), of tissue alone where a filter is given.
+
+    A vector of another length than the level's first is an error where it is read.
+    """
+    rows = level if tissue is None else level.filter(tissue)
+    first = rows.select(F.size("embedding").alias("n")).limit(1).first()
+    right = F.size("embedding") == F.lit(first["n"] if first else 0)
+    checked = F.when(right, F.col("embedding")).otherwise(F.raise_error(F.lit("vectors of a level differ in length")))
+    rows = rows.select("node", "wsi_id", F.lit(number).alias("level"), "gx", "gy", checked.alias("embedding"))
+    return rows if nodes is None else nodes.unionByName(rows)
+
+
+def region_search(index: DataFrame, tiles: DataFrame, k: int = 10, **how) -> DataFrame:
+    """region_id, tile, rank, neighbor_id, score: beam_search() of all tiles(region_id, tile, embedding) of query regions at once."""
+    key = F.struct("region_id", "tile")
+    asked = tiles.select(F.xxhash64(key).alias("vec_id"), "region_id", "tile", "embedding")
+    hits = beam_search(index, asked.select("vec_id", "embedding"), k, **how)
+    return hits.join(asked.select(F.col("vec_id").alias("query_id"), "region_id", "tile"), "query_id").select("region_id", "tile", "rank", "neighbor_id", "score")

@@ -167,3 +167,23 @@ def numbered_rows(df: DataFrame, *order: str) -> DataFrame:
     inside = Window.partitionBy("_part").orderBy(*order)
     # One row for each partition.
     return laid.withColumn("_in", F.row_number().over(inside) - 1).join(F.broadcast(starts), "_part").withColumn("_row", (F.col("_start") + F.col("_in")).cast("long")).drop("_part", "_in", "_start")
+
+
+def positional(hits: DataFrame, infos: DataFrame, keys: tuple[str, ...] = ("shard_id", "local_idx")) -> DataFrame:
+    """hits with what stands at their position in the infos of their shard; positions out of range go."""
+    return hits.join(infos, list(keys))
+
+
+def zipped(keys: str, **columns: DataFrame) -> DataFrame:
+    """Lists (key, position, value) side by side by position, cut to the shortest of each key."""
+    out = None
+    for name, rows in columns.items():
+        one = rows.select(keys, "position", F.col("value").alias(name))
+        out = one if out is None else out.join(one, [keys, "position"])
+    return out
+
+
+def pooled(hits: DataFrame, ascending: bool = False, name: str = "position") -> DataFrame:
+    """All hits of all queries in one order by score, then ids, numbered from 1 without a final cut."""
+    key = F.col("score") if ascending else -F.col("score")
+    return numbered_rows(hits.withColumn("_k", key), "_k", "query_id", "neighbor_id").withColumn(name, F.col("_row") + 1).drop("_k", "_row")

@@ -127,3 +127,41 @@ def pooled(tokens: DataFrame, by: str, vector: str, how: str = "mean", weight: s
     dims = cells.groupBy(by, "_i").agg(value.alias("_v"))
     # The list is as long as a vector.
     return dims.groupBy(by).agg(F.transform(F.sort_array(F.collect_list(F.struct("_i", "_v"))), lambda c: c["_v"]).alias("pooled"))
+
+
+def legacy_vote(votes: DataFrame, value: str, order: str = "rank") -> DataFrame:
+    """query_id, vote: the most frequent value; of equals, the one that comes first."""
+    n = votes.groupBy("query_id", value).agg(F.count("*").alias("_n"), F.min(order).alias("_first"))
+    return n.groupBy("query_id").agg(F.min_by(value, F.struct((-F.col("_n")).alias("n"), "_first")).alias("vote"))
+
+
+def mean_of_groups(rows: DataFrame, group: str, *values: str) -> DataFrame:
+    """One row: for each value, the mean over groups of the groups' means, so that groups weigh alike."""
+    return rows.groupBy(group).agg(*[F.avg(v).alias(v) for v in values]).agg(*[F.avg(v).alias(v) for v in values])
+
+
+def pooled_tokens(rows: DataFrame, key: str, position: str, vector: str, how: str, by: str | None = None) -> DataFrame:
+    """key, pooled: the vector of one token of each key: "first" (or "cls"), "last", or "argmax" (where ``by`` is largest, first of equals)."""
+    order = {"first": F.col(position), "cls": F.col(position), "last": -F.col(position)}
+    if how != "argmax" and how not in order:
+        raise ValueError(f"how is {how!r}")
+    return rows.groupBy(key).agg(F.min_by(vector, F.struct((-F.col(by)).alias("b"), position) if how == "argmax" else order[how]).alias("pooled"))
+
+
+def decoded(rows: DataFrame, codes: DataFrame, code: str, label: str) -> DataFrame:
+    """rows with the label of their code; codes has a row for each label."""
+    return rows.join(codes.select(code, label), code, "left")
+
+
+def filtered_logits(logits: DataFrame, by: tuple[str, ...], top_k: int | None = None, top_p: float | None = None) -> DataFrame:
+    """logits(by, j, logit) with p of those that stay: the k largest, and of these the fewest that reach probability top_p."""
+    order = Window.partitionBy(*by).orderBy(F.col("logit").desc(), "j")
+    out = logits if top_k is None else logits.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= top_k).drop("_r")
+    every = Window.partitionBy(*by)
+    softmax = lambda d: F.exp(F.col("logit") - F.max("logit").over(every)) / F.sum(F.exp(F.col("logit") - d)).over(every)
+    out = out.withColumn("_top", F.max("logit").over(every)).withColumn("p", softmax(F.col("_top"))).drop("_top")
+    if top_p is None:
+        return out
+    before = F.coalesce(F.sum("p").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    kept = out.withColumn("_before", before).filter(F.col("_before") < top_p).drop("_before")
+    return kept.withColumn("p", F.col("p") / F.sum("p").over(every))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions.vector import aspect_penalty, cosine
-from tessera.operators.components import UnionFind
+from tessera.operators.components import UnionFind, connected_components
 
 OFFSETS = [(dx, dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1) if dx or dy]
 
@@ -148,3 +148,46 @@ def rerank(regions: DataFrame, queries: DataFrame, keys: Sequence[str], size: in
     q = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("_q"))
     scored = region.join(q, "query_id").withColumn("score", F.round(cosine(F.col("_q"), F.col("_mean")), 6)).drop("_q", "_mean")
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "region_id")).cast("long"))
+
+
+def touching_groups(rects: DataFrame, keys: Sequence[str], node: str = "patch_id") -> DataFrame:
+    """rects with region_id: the smallest node of the group of rectangles that share edges; a rectangle alone is its own group.
+
+    Groups may be of any size: the links go to the component search as a table.
+    """
+    found = connected_components(touching(rects, keys, node)).select(F.col("node").alias(node), F.col("component").alias("region_id"))
+    return rects.join(found, node, "left").withColumn("region_id", F.coalesce("region_id", node))
+
+
+def region_urls(boxes: DataFrame, head: str, slide_id: str, name: str, patch: int = 256) -> DataFrame:
+    """boxes with label ({id}_{name}) and url (head/name/x/y/w/h/level) of their pixels."""
+    x, y = F.col("x0") * patch, F.col("y0") * patch
+    w, h = (F.col("x1") - F.col("x0") + 1) * patch, (F.col("y1") - F.col("y0") + 1) * patch
+    return boxes.withColumn("label", F.concat_ws("_", slide_id, name)).withColumn("url", F.concat_ws("/", F.lit(head), F.col(name), x, y, w, h, "level"))
+
+
+def tile_positions(tiles: DataFrame, index: str, columns: int) -> DataFrame:
+    """tiles with row and column in an image that is cut into ``columns`` tiles a row, by their index."""
+    return tiles.withColumn("row", F.floor(F.col(index) / columns)).withColumn("column", F.col(index) % columns)
+
+
+def trials(windows: DataFrame, sizes: Sequence[tuple[int, int]], queries: int = 10, rounds: int = 10, seed: int = 0) -> DataFrame:
+    """size, round, query and the window of each trial: for each size and round, the ``queries`` windows of smallest seeded hash.
+
+    windows: w, h, and what names a window. The hash takes all columns, so draws do not depend on the order of rows.
+    """
+    of_size = None
+    for w, h in sizes:
+        one = windows.filter((F.col("w") == w) & (F.col("h") == h)).withColumn("size", F.lit(f"{w}x{h}"))
+        of_size = one if of_size is None else of_size.unionByName(one)
+    drawn = of_size.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
+    order = Window.partitionBy("size", "round").orderBy("_h", *windows.columns)
+    text = F.concat_ws(":", *windows.columns, "round", F.lit(seed))
+    drawn = drawn.withColumn("_h", F.md5(text)).withColumn("query", F.row_number().over(order)).filter(F.col("query") <= queries)
+    return drawn.drop("_h")
+
+
+def trial_report(scored: DataFrame, value: str) -> DataFrame:
+    """size, mean, std (population) over rounds of the rounds' mean value, and rounds."""
+    by_round = scored.groupBy("size", "round").agg(F.avg(value).alias("m"))
+    return by_round.groupBy("size").agg(F.avg("m").alias("mean"), F.stddev_pop("m").alias("std"), F.count("*").alias("rounds"))

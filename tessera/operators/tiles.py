@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def _steps(last: Column, step: Column) -> Column:
@@ -85,8 +88,6 @@ def bright_share(pixels: Column, limit: int = 240) -> Column:
 
 def otsu(histogram: DataFrame) -> DataFrame:
     """The threshold of a grey histogram (image_id, value, n) that parts it with most variance between the classes."""
-    from pyspark.sql.window import Window
-
     up = Window.partitionBy("image_id").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     every = Window.partitionBy("image_id")
     h = histogram.withColumn("_w0", F.sum("n").over(up)).withColumn("_s0", F.sum(F.col("n") * F.col("value")).over(up))
@@ -101,3 +102,18 @@ def tissue_share(histogram: DataFrame) -> DataFrame:
     t = otsu(histogram)
     share = F.sum(F.when(F.col("value") > F.col("threshold"), F.col("n")).otherwise(F.lit(0))) / F.sum("n")
     return histogram.join(t, "image_id").groupBy("image_id", "threshold").agg(share.alias("share")).withColumn("is_tissue", F.col("share") > 0.1)
+
+
+def sampled_crops(levels: DataFrame, accepted: Callable[[DataFrame], DataFrame], keys: Sequence[str], kept: int = 3, tries: int = 100, last: int = 448, other: int = 1120, seed: int = 0) -> DataFrame:
+    """keys, try, x, y, side: the first ``kept`` of at most ``tries`` random crops of a level that ``accepted`` lets pass.
+
+    levels: keys, width, height, is_last. Crops lie inside the level; their side is ``last`` on the last level, else
+    ``other``. A level smaller than its crop has none.
+    """
+    side = F.when(F.col("is_last"), F.lit(last)).otherwise(F.lit(other))
+    draw = lambda name, room: F.conv(F.substring(F.md5(F.concat_ws(":", *keys, "try", F.lit(name), F.lit(seed))), 1, 8), 16, 10).cast("long") % (room + 1)
+    tried = levels.withColumn("side", side).filter((F.col("width") >= F.col("side")) & (F.col("height") >= F.col("side")))
+    tried = tried.withColumn("try", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))))
+    tried = tried.withColumn("x", draw("x", F.col("width") - F.col("side"))).withColumn("y", draw("y", F.col("height") - F.col("side")))
+    first = Window.partitionBy(*keys).orderBy("try")
+    return accepted(tried).withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= kept).select(*keys, "try", "x", "y", "side")

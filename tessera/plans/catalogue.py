@@ -753,3 +753,6 @@ def stream_ingest_dedup(spark, d):
 def quadtree_split(spark, d):
     """Rows only: the split is greedy."""
     return quadtree.quadtree(fx.patches(spark, d).filter("level = 1"), "slide_no", 64)
+
+
+from tessera.plans import more  # noqa: E402, F401  registers its queries with those above

@@ -7,6 +7,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow.fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -89,3 +91,70 @@ def write_index(spark: SparkSession, path: str, **tables: DataFrame) -> None:
 
 def read_index(spark: SparkSession, path: str, *names: str) -> dict[str, DataFrame]:
     return {n: spark.read.parquet(f"{path}/{n}") for n in names}
+
+
+def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.csv(path, schema=schema, header=True, escape='"', multiLine=True)
+
+
+def write_csv(df: DataFrame, path: str) -> None:
+    """CSV files with a header, without an index column."""
+    df.write.mode("overwrite").csv(path, header=True, escape='"')
+
+
+def write_json(df: DataFrame, path: str, by: str | None = None) -> None:
+    """JSON lines, in a folder for each value of ``by``."""
+    out = df.write.mode("overwrite")
+    (out.partitionBy(by) if by else out).json(path)
+
+
+def write_matrices(df: DataFrame, path: str, order: str, vector: str = "embedding") -> DataFrame:
+    """file, rows: the vectors as .npy files below path, a file for each partition in the given order inside it.
+
+    Files are named by partition and put in place by a rename, so a repeated task writes the same files again.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = [np.stack([np.asarray(v, np.float32) for v in pdf[vector]]) for pdf in batches if len(pdf)]
+        if parts:
+            name = f"{path}/part-{TaskContext.get().partitionId():06d}.npy"
+            out = io.BytesIO()
+            np.save(out, np.concatenate(parts))
+            fs, at = pafs.FileSystem.from_uri(name) if "://" in name else (pafs.LocalFileSystem(), name)
+            fs.create_dir(at.rsplit("/", 1)[0], recursive=True)
+            with fs.open_output_stream(f"{at}.part", compression=None) as f:
+                f.write(out.getvalue())
+            fs.move(f"{at}.part", at)
+            yield pd.DataFrame({"file": [name], "rows": [sum(map(len, parts))]})
+
+    return df.sortWithinPartitions(order).select(vector).mapInPandas(run, "file string, rows long")
+
+
+def sampled_index(nodes: DataFrame, edges: DataFrame, n: int = 1000, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges): n nodes of each level, those of smallest seeded hash, and the edges between them."""
+    w = Window.partitionBy("level").orderBy(F.md5(F.concat_ws(":", "node", F.lit(seed))), "node")
+    some = nodes.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= n).drop("_n")
+    inside = some.select("node")
+    kept = edges.join(inside.withColumnRenamed("node", "src"), "src", "left_semi").join(inside.withColumnRenamed("node", "dst"), "dst", "left_semi")
+    return some, kept
+
+
+def folders_with_prefix(files: DataFrame, prefix: str) -> DataFrame:
+    """The folders among the files' own whose name starts so, in lexicographic order."""
+    return files.select("folder").distinct().filter(F.startswith(F.element_at(F.split("folder", "/"), -1), F.lit(prefix))).orderBy("folder")
+
+
+def tile_histogram(files: DataFrame) -> DataFrame:
+    """folder, n: how many files each folder holds."""
+    return files.groupBy("folder").agg(F.count("*").alias("n"))
+
+
+def ensured_json_list(spark: SparkSession, path: str, element: str = "string") -> DataFrame:
+    """json_list() of one file, which is written as an empty list if it is missing."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(hadoop):
+        out = fs.create(hadoop)
+        out.write(bytearray(b"[]"))
+        out.close()
+    return json_list(spark, path, element)

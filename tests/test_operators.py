@@ -246,6 +246,52 @@ def test_collection(spark, tmp_path):
     assert c.count() == 7
 
 
+def test_versions_of_a_collection_are_whole(spark, tmp_path):
+    c = collection.Collection(spark, str(tmp_path), "c")
+    c.create(2, "l2sq", "subject string")
+    schema = "id long, vector array<float>, subject string"
+    for i in range(3):
+        c.upsert(spark.createDataFrame([(i, [1.0, 2.0], "s")], schema))
+    left = tmp_path / "c" / "version=9"  # a version whose writing ended early
+    left.mkdir()
+    (left / "part-0.parquet").write_bytes(b"PAR1")
+    assert c.settings()["version"] == 3 and c.count() == 3
+    left.joinpath("part-0.parquet").unlink()
+    left.rmdir()
+    c.insert(spark.createDataFrame([([3.0, 4.0], "t", 7), ([5.0, 6.0], None, None)], "vector array<float>, subject string, extra int"))
+    assert sorted((r["id"], r["extra"]) for r in c.rows().filter("id > 2").collect()) in ([(3, 7), (4, None)], [(3, None), (4, 7)])
+    assert c.stats()["rows"] == 5 and "extra" in c.stats()["columns"] and collection.collections(spark, str(tmp_path)) == ["c"]
+    assert len(list((tmp_path / "c").glob("version=*"))) == 2
+
+
+def test_mojibake_and_byte_pairs(spark):
+    from tessera.plans.more import BYTE_PAIRS, public_tokenizers
+
+    wrong = [w.encode().decode("latin-1") for w in ("café", "naïve – “so”", "日本")]
+    assert [text.repaired(t) for t in wrong] == ["café", "naïve – “so”", "日本"]
+    twice = "é".encode().decode("latin-1").encode().decode("latin-1")
+    assert text.repaired(twice) == "é" and text.repaired("Ünder café £5 Ä") == "Ünder café £5 Ä"
+    path = public_tokenizers.path(BYTE_PAIRS)
+    rows = ["A cat, sat!", "", None, "naïve 12", "<|endoftext|>", "w " * 200]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "i int, t string").select("i", text.byte_pair_ids(F.col("t"), path).alias("ids"))
+    got = df.select("i", "ids", text.fixed_length(F.col("ids")).alias("fixed"), text.byte_pair_text(F.col("ids"), path).alias("back")).orderBy("i").collect()
+    assert [r["back"].strip() for r in got[:4]] == ["a cat , sat !", "", "", "naïve 1 2"]
+    assert all(len(r["fixed"]) == 77 and r["fixed"][0] == text.START and text.END in r["fixed"] for r in got)
+    assert got[5]["fixed"][-1] == text.END and text.END not in got[4]["ids"]
+
+
+def test_tables_go_through_files(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 'a "q", b\nc', None), (2, "", 1.5)], "i int, t string, x double")
+    files.write_csv(rows, str(tmp_path / "csv"))
+    assert sorted((r["i"], r["t"] or "", r["x"]) for r in files.read_csv(spark, str(tmp_path / "csv"), "i int, t string, x double").collect()) == [(1, 'a "q", b\nc', None), (2, "", 1.5)]
+    assert files.ensured_json_list(spark, str(tmp_path / "list.json")).count() == 0 and (tmp_path / "list.json").read_text() == "[]"
+    nodes = spark.range(100).selectExpr("id AS node", "id % 2 AS level")
+    edges = spark.range(99).selectExpr("id AS src", "id + 1 AS dst")
+    some, kept = files.sampled_index(nodes, edges, 10)
+    inside = {r["node"] for r in some.collect()}
+    assert len(inside) == 20 and {(r["src"], r["dst"]) for r in kept.collect()} == {(i, i + 1) for i in inside if i + 1 in inside}
+
+
 def test_greedy_batches_and_samples(spark):
     rows = [(1, 1, ["a", "b"]), (1, 2, ["b", "c"]), (1, 3, ["c"]), (2, 1, ["b"])]
     got = corpus.unique_in_batch(spark.createDataFrame(rows, "batch int, place int, texts array<string>"), "batch", "place").collect()
