@@ -1,8 +1,8 @@
 """Quality rules: fixed rules, and logistic regression over hashed word and character n-grams.
 
 Features are shares: each hashed word, word pair, 3-byte and 4-byte n-gram counts by its part of the text's n-grams of
-that kind. The weights are fitted to labelled rows (at most ``SAMPLE``, those of smallest hash, a documented bound on
-the classifier's training rows alone), a tenth part each is held out in turn to calibrate the scores to probabilities
+that kind. The weights are fitted to labelled rows (at most ``SAMPLE``, those of smallest hash among texts of at most
+``TEXT_BYTES`` bytes, a documented bound in rows and bytes on what the classifier learns from alone), a tenth part each is held out in turn to calibrate the scores to probabilities
 (Platt), and Arrow batches of whole texts are scored against the fixed ``THRESHOLD``.
 
 Defined cases: a null text has no words and fails the rules; without labelled rows of both kinds no text is rejected
@@ -26,7 +26,9 @@ SAMPLE = 2500
 THRESHOLD = 0.3  # of the probability that a text is bad
 BITS = 17
 LEAST_TEXTS = 4
+TEXT_BYTES = 1 << 17
 _FAMILIES = 4
+_TRAIN_SLICE = 1 << 18
 _SCALE = 30.0
 
 _SYMBOL = np.zeros(256, bool)
@@ -147,23 +149,34 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.logits(t) + self.shift, -50, 50)))
 
 
+def _sparse(t: K.Texts) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, feature, value) of each family's features, each once a row."""
+    for f, (code, at) in enumerate(_features(t)):
+        key, n = np.unique(K.owners(at) * (1 << BITS) + code, return_counts=True)
+        doc = key >> BITS
+        yield (doc + t.first).astype(np.int32), ((key & ((1 << BITS) - 1)) + (f << BITS)).astype(np.int32), (_SCALE * n / np.diff(at)[doc]).astype(np.float32)
+
+
 def _rows(array: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, feature, value) of texts, each feature once a row; features of under LEAST_TEXTS texts are left out, as they could only be learnt by heart."""
-    parts = [(np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.float32))]
-    for t in K.texts(array):
-        for f, (code, at) in enumerate(_features(t)):
-            key, n = np.unique(K.owners(at) * (1 << BITS) + code, return_counts=True)
-            doc = key >> BITS
-            share = (_SCALE * n / np.diff(at)[doc]).astype(np.float32)
-            parts.append(((doc + t.first).astype(np.int32), ((key & ((1 << BITS) - 1)) + (f << BITS)).astype(np.int32), share))
+    """(row, feature, value) of texts; features of under LEAST_TEXTS texts are left out, as they could only be learnt by heart.
+
+    Features are counted in one pass and made again in a second, so that those left out are never held together.
+    """
     seen = np.zeros(_FAMILIES << BITS, np.int32)
-    for _, codes, _ in parts:
-        seen += np.bincount(codes, minlength=len(seen)).astype(np.int32)
+    for t in K.texts(array, _TRAIN_SLICE):
+        for _, codes, _ in _sparse(t):
+            np.add.at(seen, codes, 1)
     common = seen >= min(LEAST_TEXTS, len(array))
-    for i, (rows, codes, values) in enumerate(parts):
-        keep = common[codes]
-        parts[i] = (rows[keep], codes[keep], values[keep])
-    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+    n, at = int(seen[common].sum()), 0
+    out = np.empty(n, np.int32), np.empty(n, np.int32), np.empty(n, np.float32)
+    for t in K.texts(array, _TRAIN_SLICE):
+        for part in _sparse(t):
+            keep = common[part[1]]
+            end = at + int(keep.sum())
+            for whole, some in zip(out, part, strict=True):
+                whole[at:end] = some[keep]
+            at = end
+    return out
 
 
 def _fit(rows, codes, values, y, weight, steps: int = 60, l2: float = 1e-5) -> tuple[np.ndarray, float]:
@@ -227,7 +240,8 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, limit: int, which=N
     if which is not None:
         rows = rows.filter(which)
     few = rows.orderBy(F.xxhash64("doc_id"), "doc_id", label).limit(limit)
-    return docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).select("text", F.col(label).cast("int").alias(label)).toArrow()
+    short = docs.select("doc_id", "text").filter(F.coalesce(F.octet_length("text"), F.lit(0)) <= TEXT_BYTES)
+    return short.join(F.broadcast(few), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).select("text", F.col(label).cast("int").alias(label)).toArrow()
 
 
 def fitted(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> Model | None:
