@@ -102,18 +102,31 @@ def _stretches(start: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.repeat(start - at, count) + np.arange(int(count.sum()))
 
 
-def joined(parts: list[Words]) -> Words:
-    """Words of consecutive slices as one."""
-    hashes = np.concatenate([w.hash for w in parts])
-    hash_, first, place = np.unique(hashes, return_index=True, return_inverse=True)
-    shift = np.concatenate(([0], np.cumsum([len(w.piece) for w in parts])))
-    begins = np.concatenate([w.piece_at[:-1] + k for w, k in zip(parts, shift, strict=False)])
-    count = np.concatenate([np.diff(w.piece_at) for w in parts])[first]
-    piece = np.concatenate([w.piece for w in parts])[_stretches(begins[first], count)]
-    own = np.concatenate(([0], np.cumsum([len(w.hash) for w in parts])))
-    index = np.concatenate([place[k : k + len(w.hash)][w.index] for w, k in zip(parts, own, strict=False)])
-    sizes = np.concatenate([np.diff(w.at) for w in parts])
-    return Words(hash_, piece, np.concatenate(([0], np.cumsum(count))), index.astype(np.int32), np.concatenate(([0], np.cumsum(sizes))))
+def joined(slices: Iterator[Words]) -> Words:
+    """Words of consecutive slices as one; pieces are kept of words not met before."""
+    known, hashes, pieces, counts, index, sizes = np.zeros(0, K.U), [], [], [], [], []
+    for w in slices:
+        at = np.minimum(np.searchsorted(known, w.hash), max(len(known) - 1, 0))
+        new = np.flatnonzero(known[at] != w.hash) if len(known) else np.arange(len(w.hash))
+        count = np.diff(w.piece_at)
+        hashes.append(w.hash[new])
+        pieces.append(w.piece[_stretches(w.piece_at[new], count[new])])
+        counts.append(count[new])
+        index.append(w.hash[w.index])
+        sizes.append(np.diff(w.at))
+        known = np.sort(np.concatenate((known, w.hash[new])))
+    told = np.concatenate(hashes)  # in the order of the pieces
+    order = np.argsort(told, kind="stable")
+    index = np.concatenate([np.searchsorted(known, h).astype(np.int32) for h in index])
+    count = np.concatenate(counts)
+    piece_at = np.concatenate(([0], np.cumsum(count)))
+    whole, piece = np.concatenate(pieces), np.empty(piece_at[-1], np.int32)
+    del pieces
+    ends = np.concatenate(([0], np.cumsum(count[order])))
+    for i in range(0, len(order), 50_000):
+        mine = order[i : i + 50_000]
+        piece[ends[i] : ends[i + len(mine)]] = whole[_stretches(piece_at[mine], count[mine])]
+    return Words(known, piece, ends, index, np.concatenate(([0], np.cumsum(np.concatenate(sizes)))))
 
 
 def inputs(w: Words, some: np.ndarray, form: np.ndarray, piece: np.ndarray) -> np.ndarray:
@@ -261,8 +274,8 @@ def backward(p: dict[str, np.ndarray], saved, dlogit: np.ndarray) -> dict[str, n
 def _logits(p: dict[str, np.ndarray], w: Words, form: np.ndarray, piece: np.ndarray, first: np.ndarray, length: np.ndarray) -> np.ndarray:
     """Logits of windows in the order of the words. Gates are made once for each distinct word of a stretch."""
     out = np.empty(len(first), _F)
-    for i in range(0, len(first), 8 * _BATCH):
-        f, n = first[i : i + 8 * _BATCH], length[i : i + 8 * _BATCH]
+    for i in range(0, len(first), 4 * _BATCH):
+        f, n = first[i : i + 4 * _BATCH], length[i : i + 4 * _BATCH]
         lo, hi = int(f.min(initial=0)), int((f + n).max(initial=0))
         some, own = np.unique(w.index[lo:hi], return_inverse=True)
         gates = gates_of(p, inputs(w, some, form, piece))
@@ -351,7 +364,7 @@ def train(texts: pa.Array, toxic: np.ndarray, epochs: int = _EPOCHS, seed: int =
     form, piece = (rng.normal(0, _INIT, (1 << BITS, WIDTH)).astype(_F) for _ in range(2))
     if len(every) == 0 or not 0 < every.sum() < len(every):
         return Model(form, piece, None, 1.0, 0.5 * float(every.sum() / (len(every) + 1)) if len(every) else 0.0)
-    w = joined([words_of(t) for t in K.texts(texts, _SLICE)])
+    w = joined(words_of(t) for t in K.texts(texts, _SLICE))
     # Every fifth row of either label is kept for calibration, if there are enough.
     order = np.empty(len(every), np.int64)
     for k in (0, 1):
