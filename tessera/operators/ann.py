@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.knn import _best, matrix, query_blocks, ranked, scores
+from tessera.operators.knn import _best, matrix, ranked, scores, searched
 
 SAMPLE = 20_000
 
@@ -49,38 +49,34 @@ def assigned(corpus: DataFrame, centroids: np.ndarray, copies: int = 1) -> DataF
 def ivf_search(index: DataFrame, centroids: np.ndarray, queries: DataFrame, k: int, probes: int, metric: str = "l2sq") -> DataFrame:
     """query_id, rank, neighbor_id, score among the rows of each query's nearest cells; a row of several cells counts once."""
     sign = 1.0 if metric == "l2sq" else -1.0
-    spark, found = index.sparkSession, None
-    for ids, vectors in query_blocks(queries.select(F.col("vec_id").cast("long"), "embedding"), "embedding"):
-        probed = np.argsort(scores("l2sq", vectors, centroids), axis=1, kind="stable")[:, :probes]
-        by_cell = {int(c): np.flatnonzero((probed == c).any(1)) for c in np.unique(probed)}
-        shared = spark.sparkContext.broadcast((ids, vectors, by_cell))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ids, vectors, by_cell = shared.value
-            held = {}
-            for batch in batches:
-                cells = batch.column("cell_id").to_numpy()
-                for c in np.unique(cells):
-                    mine = np.flatnonzero(cells == c)
-                    asked = by_cell.get(int(c))
-                    if asked is None:
-                        continue
-                    own = batch.column("vec_id").to_numpy()[mine]
-                    s = sign * scores(metric, vectors[asked], matrix(batch.column("embedding").take(pa.array(mine))))
-                    for i, row in zip(asked.tolist(), s, strict=True):
-                        key, who = held.get(i, (np.zeros(0), np.zeros(0, np.int64)))
-                        fresh = ~np.isin(own, who)
-                        key, who = np.concatenate((key, row[fresh])), np.concatenate((who, own[fresh]))
-                        best = _best(key, who, k)
-                        held[i] = key[best], who[best]
-            if held:
-                n = [len(key) for key, _ in held.values()]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[list(held)], n)), pa.array(np.concatenate([w for _, w in held.values()])), pa.array(sign * np.concatenate([x for x, _ in held.values()]))], names=["query_id", "neighbor_id", "score"])
-
-        part = index.filter(F.col("cell_id").isin([int(c) for c in by_cell])).mapInArrow(run, "query_id long, neighbor_id long, score double")
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        return spark.createDataFrame([], "query_id long, rank long, neighbor_id long, score double")
+
+    def probed(vectors: np.ndarray) -> np.ndarray:
+        return np.argsort(scores("l2sq", vectors, centroids), axis=1, kind="stable")[:, :probes]
+
+    def run(ids: np.ndarray, vectors: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asks = probed(vectors)
+        by_cell = {int(c): np.flatnonzero((asks == c).any(1)) for c in np.unique(asks)}
+        held = {}
+        for batch in batches:
+            cells = batch.column("cell_id").to_numpy()
+            for c in np.unique(cells):
+                mine = np.flatnonzero(cells == c)
+                asked = by_cell.get(int(c))
+                if asked is None:
+                    continue
+                own = batch.column("vec_id").to_numpy()[mine]
+                s = sign * scores(metric, vectors[asked], matrix(batch.column("embedding").take(pa.array(mine))))
+                for i, row in zip(asked.tolist(), s, strict=True):
+                    key, who = held.get(i, (np.zeros(0), np.zeros(0, np.int64)))
+                    fresh = ~np.isin(own, who)
+                    key, who = np.concatenate((key, row[fresh])), np.concatenate((who, own[fresh]))
+                    best = _best(key, who, k)
+                    held[i] = key[best], who[best]
+        if held:
+            n = [len(key) for key, _ in held.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[list(held)], n)), pa.array(np.concatenate([w for _, w in held.values()])), pa.array(sign * np.concatenate([x for x, _ in held.values()]))], names=["query_id", "neighbor_id", "score"])
+
+    found = searched(index, queries.select(F.col("vec_id").cast("long"), "embedding"), run, lambda vectors: F.col("cell_id").isin(np.unique(probed(vectors)).tolist()))
     once = found.groupBy("query_id", "neighbor_id").agg(F.min("score").alias("score"))
     return ranked(once, k, metric == "l2sq").select("query_id", "rank", "neighbor_id", "score")
 
@@ -91,7 +87,6 @@ def lsh_search(corpus: DataFrame, queries: DataFrame, k: int, tables: int = 16,
     In each table a query asks for its own pattern, and for those with one of its ``flips`` least certain signs (nearest to
     their plane) turned: a near row lies most often just across such a plane. Queries are a stated set: their patterns go to the tasks, which scan the corpus once and score candidates in numpy.
     """
-    spark, found = corpus.sparkSession, None
     rows = corpus.filter("embedding is not null").select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
 
     def heights(x: np.ndarray) -> np.ndarray:
@@ -105,32 +100,26 @@ def lsh_search(corpus: DataFrame, queries: DataFrame, k: int, tables: int = 16,
         own = patterns(h)[:, :, None]
         return np.concatenate((own, own ^ (1 << np.argsort(np.abs(h), axis=2, kind="stable")[:, :, :flips])), 2)
 
-    for ids, vectors in query_blocks(queries.select(F.col("vec_id").cast("long"), "embedding"), "embedding"):
-        shared = spark.sparkContext.broadcast((ids, vectors, probes(vectors)))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ids, vectors, asked = shared.value
-            held = [(np.zeros(0), np.zeros(0, np.int64)) for _ in ids]
-            table, wanted = np.arange(tables)[:, None], np.zeros((tables, 1 << bits), bool)
-            for batch in batches:
-                for lo in range(0, batch.num_rows, 2048):
-                    own, x = batch.column(0).slice(lo, 2048).to_numpy(), matrix(batch.column(1).slice(lo, 2048))
-                    mine = np.ascontiguousarray(patterns(heights(x)).T)
-                    for i in range(len(ids)):
-                        wanted[table, asked[i]] = True
-                        near = np.flatnonzero(wanted[table, mine].any(0))
-                        wanted[table, asked[i]] = False
-                        if len(near):
-                            s = scores("cosine", vectors[i : i + 1], x[near])[0]
-                            key, who = np.concatenate((held[i][0], -s)), np.concatenate((held[i][1], own[near]))
-                            best = _best(key, who, k)
-                            held[i] = key[best], who[best]
-            n = [len(key) for key, _ in held]
-            if sum(n):
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(np.concatenate([w for _, w in held])), pa.array(-np.concatenate([x for x, _ in held]))], names=["query_id", "neighbor_id", "score"])
-
-        part = rows.mapInArrow(run, "query_id long, neighbor_id long, score double")
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        return spark.createDataFrame([], "query_id long, rank long, neighbor_id long, score double")
+    def run(ids: np.ndarray, vectors: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = probes(vectors)
+        held = [(np.zeros(0), np.zeros(0, np.int64)) for _ in ids]
+        table, wanted = np.arange(tables)[:, None], np.zeros((tables, 1 << bits), bool)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 2048):
+                own, x = batch.column(0).slice(lo, 2048).to_numpy(), matrix(batch.column(1).slice(lo, 2048))
+                mine = np.ascontiguousarray(patterns(heights(x)).T)
+                for i in range(len(ids)):
+                    wanted[table, asked[i]] = True
+                    near = np.flatnonzero(wanted[table, mine].any(0))
+                    wanted[table, asked[i]] = False
+                    if len(near):
+                        s = scores("cosine", vectors[i : i + 1], x[near])[0]
+                        key, who = np.concatenate((held[i][0], -s)), np.concatenate((held[i][1], own[near]))
+                        best = _best(key, who, k)
+                        held[i] = key[best], who[best]
+        n = [len(key) for key, _ in held]
+        if sum(n):
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(np.concatenate([w for _, w in held])), pa.array(-np.concatenate([x for x, _ in held]))], names=["query_id", "neighbor_id", "score"])
+
+    found = searched(rows, queries.select(F.col("vec_id").cast("long"), "embedding"), run)
     return ranked(found, k, False).select("query_id", "rank", "neighbor_id", "score")

@@ -125,10 +125,9 @@ def beam_search(index: DataFrame, queries: DataFrame, k: int = 10, buffer: int =
             for query_id, q in zip(pdf["vec_id"], pdf["embedding"], strict=True):
                 q = np.asarray(q, np.float64)
                 near = lambda at: vectors[at] @ q / (norms[at] * np.linalg.norm(q) + 1e-8)  # noqa: B023, E731
-                frontier = np.random.default_rng([seed, int(query_id)]).permutation(len(ids))[:starts]
-                seen = np.zeros(len(ids), bool)
-                seen[frontier] = True
-                best, score = frontier, near(frontier)
+                frontier = _drawn(seed, int(query_id), len(ids), starts)
+                seen = best = frontier
+                score = near(frontier)
                 order = np.lexsort((ids[best], -score))[:buffer]
                 best, score, opened = best[order], score[order], set()
                 for _ in range(max_iters):
@@ -138,8 +137,8 @@ def beam_search(index: DataFrame, queries: DataFrame, k: int = 10, buffer: int =
                     opened.update(to_open)
                     fresh = np.unique(adj[to_open])
                     fresh = fresh[(fresh >= 0)]
-                    fresh = fresh[~seen[fresh]]
-                    seen[fresh] = True
+                    fresh = fresh[~np.isin(fresh, seen)]
+                    seen = np.concatenate((seen, fresh))
                     least = score[-1] if len(score) >= buffer else -np.inf
                     s = near(fresh)
                     add = s > least
@@ -154,6 +153,11 @@ def beam_search(index: DataFrame, queries: DataFrame, k: int = 10, buffer: int =
     return queries.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInPandas(run, "query_id long, rank long, neighbor_id long, score double")
 
 
+def _drawn(seed: int, query_id: int, n: int, starts: int) -> np.ndarray:
+    """Start positions of a query, drawn without a permutation of all n."""
+    return np.random.default_rng([seed, query_id]).choice(n, min(n, starts), replace=False, shuffle=False)
+
+
 _STATE = "query_id long, embedding array<float>, best array<long>, score array<double>, opened array<long>, seen array<long>, over boolean"
 
 
@@ -165,7 +169,7 @@ def _searched_by_joins(index: DataFrame, queries: DataFrame, k: int, buffer: int
     def drawn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             ids = [int(i) for i in pdf["query_id"]]
-            at = [np.random.default_rng([seed, i]).permutation(n)[:starts] for i in ids]
+            at = [_drawn(seed, i, n, starts) for i in ids]
             yield pd.DataFrame({"query_id": np.repeat(ids, [len(a) for a in at]), "_row": np.concatenate([*at, np.zeros(0, np.int64)])})
 
     def step(first: bool):

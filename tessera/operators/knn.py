@@ -1,24 +1,28 @@
 """Exact k-nearest-neighbour search.
 
-Queries are a stated, size-checked set: up to ``MAX_QUERY_BYTES`` of vectors go to every task in one block, and larger
-sets are searched block by block (the corpus is read once a block). Tasks stream the corpus in Arrow batches, score
-each batch against the block by one matrix product, and keep only the k best of each query, so a partition sends at
-most k rows a query to the merge, whatever its size. The order is total: score, then neighbour id.
+Queries of up to ``MAX_QUERY_BYTES`` go to every task as one block: tasks stream the corpus in Arrow batches, score each
+batch against the block by one matrix product, and keep only the k best of each query. Larger sets of queries are written
+to the shared folder and never pass through the driver: a task holds ``CHUNK_BYTES`` of its rows at a time and reads the
+queries past them block by block, so the corpus is read once. Either way a partition, or a chunk of it, sends at most k
+rows a query to the merge. The order is total: score, then neighbour id.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions.vector import TINY
+from tessera.session import open_fs, store
 
 MAX_QUERY_BYTES = 64 << 20
+CHUNK_BYTES = 256 << 20
 METRICS = ("cosine", "l2sq", "dot")
 
 
@@ -55,11 +59,10 @@ def _best(key: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return near[np.lexsort((ids[near], key[near]))[:k]]
 
 
-def _searcher(block, metric: str, k: int, threshold: float | None, exclude_self: bool):
+def _searcher(metric: str, k: int, threshold: float | None, exclude_self: bool):
     sign = 1.0 if metric == "l2sq" else -1.0
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        query_ids, queries = block.value
+    def run(query_ids: np.ndarray, queries: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [(np.zeros(0), np.zeros(0, np.int64)) for _ in query_ids]
         for batch in batches:
             if not batch.num_rows:
@@ -107,6 +110,56 @@ def query_blocks(queries: DataFrame, vector: str, limit: int = MAX_QUERY_BYTES)
         yield np.array(ids, np.int64), np.stack(rows)
 
 
+def _chunks(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[list[pa.RecordBatch]]:
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= limit:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def _stored_blocks(files: list[str], limit: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids, vectors) of at most ``limit`` bytes (or one row) at a time from files of the shared folder."""
+    for uri in files:
+        fs, path = open_fs(uri)
+        with fs.open_input_file(path) as source:
+            for batch in pq.ParquetFile(source).iter_batches(batch_size=4096):
+                ids, rows = batch.column(0).to_numpy(), matrix(batch.column(1))
+                size = max(1, limit // max(1, 8 * rows.shape[1]))
+                for lo in range(0, len(ids), size):
+                    yield ids[lo : lo + size], rows[lo : lo + size]
+
+
+def searched(rows: DataFrame, queries: DataFrame, run: Callable, prune: Callable[[np.ndarray], Column] | None = None) -> DataFrame:
+    """query_id, neighbor_id, score: run(ids, vectors, batches) for blocks of queries(id, vector) over all rows.
+
+    A set of one block is broadcast (``prune`` of its vectors then filters the rows); a larger one is read by the tasks
+    from the shared folder, and a query may then be told of by several chunks of a partition.
+    """
+    spark, kind = rows.sparkSession, "query_id long, neighbor_id long, score double"
+    blocks = query_blocks(queries, queries.columns[1])
+    first = next(blocks, None)
+    if first is None:
+        return spark.createDataFrame([], kind)
+    if next(blocks, None) is None:
+        shared = spark.sparkContext.broadcast(first)
+        mine = rows.filter(prune(first[1])) if prune else rows
+        return mine.mapInArrow(lambda batches: run(*shared.value, batches), kind)
+    files = sorted(store(queries, "queries").inputFiles())
+    limit, chunk = MAX_QUERY_BYTES, CHUNK_BYTES
+
+    def past(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in _chunks(batches, chunk):
+            for ids, vectors in _stored_blocks(files, limit):
+                yield from run(ids, vectors, iter(held))
+
+    return rows.mapInArrow(past, kind)
+
+
 def knn(corpus: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", *, id: str = "vec_id", vector: str = "embedding", threshold: float | None = None, exclude_self: bool = False, where: Column | None = None) -> DataFrame:  # noqa: A002
     """query_id, rank, neighbor_id, score of the k nearest corpus rows of each query.
 
@@ -115,15 +168,9 @@ def knn(corpus: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", *
     """
     if metric not in METRICS:
         raise ValueError(f"metric is {metric!r}")
-    spark = corpus.sparkSession
     rows = corpus.filter(where) if where is not None else corpus
-    rows = rows.filter(F.col(vector).isNotNull()).select(F.col(id).cast("long"), vector)
-    found = None
-    for block in query_blocks(queries.filter(F.col(vector).isNotNull()).select(F.col(id).cast("long"), vector), vector):
-        part = rows.mapInArrow(_searcher(spark.sparkContext.broadcast(block), metric, k, threshold, exclude_self), "query_id long, neighbor_id long, score double")
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        return spark.createDataFrame([], "query_id long, rank long, neighbor_id long, score double")
+    rows, asked = (df.filter(F.col(vector).isNotNull()).select(F.col(id).cast("long"), vector) for df in (rows, queries))
+    found = searched(rows, asked, _searcher(metric, k, threshold, exclude_self))
     return ranked(found, k, metric == "l2sq").select("query_id", "rank", "neighbor_id", "score")
 
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from tessera.functions import captions, ids, text, vector
 from tessera.operators import ann, collection, components, corpus, graph, knn, metrics, quadtree, regions, tiles
 from tessera.plans import api, fixtures
+from tessera.session import store
 from tessera.sources import files, tables
 from tessera.streaming import ingest
 
@@ -179,6 +180,24 @@ def test_query_blocks_and_shards_do_not_change_results(spark, vectors, monkeypat
     assert [tuple(r) for r in knn.sharded(e, q, 7).orderBy("query_id", "rank").select("query_id", "neighbor_id").collect()] == whole
 
 
+def test_query_sets_over_the_bound_are_read_by_tasks(spark, vectors, monkeypatch):
+    e, q = vectors
+    cells = ann.train_cells(e, 8)
+    index = ann.assigned(e, cells, 2)
+    searches = [lambda: knn.knn(e, q, 5, threshold=0.1, exclude_self=True), lambda: ann.ivf_search(index, cells, q, 5, 3), lambda: ann.lsh_search(e, q, 5, tables=4, bits=4)]
+    rows = lambda df: sorted((r["query_id"], r["rank"], r["neighbor_id"], round(r["score"], 9)) for r in df.collect())
+    whole = [rows(s()) for s in searches]
+    monkeypatch.setattr(knn.query_blocks, "__defaults__", (64 * 8 * 9,))
+    monkeypatch.setattr(knn, "MAX_QUERY_BYTES", 64 * 8 * 9)
+    monkeypatch.setattr(knn, "CHUNK_BYTES", 1)
+    monkeypatch.setattr(knn, "store", lambda df, name: store(df.repartition(3), name))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "70")
+    try:
+        assert [rows(s()) for s in searches] == whole
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_search_of_nothing(spark, vectors):
     e, q = vectors
     assert knn.knn(e, q.limit(0), 3).count() == 0 == knn.knn(e.limit(0), q, 3).count()
