@@ -6,20 +6,10 @@ import os
 import re
 import uuid
 
-import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.session import folder, new_path, remove, store  # noqa: F401
-
-
-def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
-    """Filesystem and path of a URI in the shared folder, from any process."""
-    if "://" not in uri and not uri.startswith("file:"):
-        return pafs.LocalFileSystem(), uri
-    if uri.startswith("file:"):
-        return pafs.LocalFileSystem(), re.sub("^file:/*", "/", uri)
-    return pafs.FileSystem.from_uri(uri)
+from tessera.session import folder, new_path, open_fs, remove, store  # noqa: F401
 
 
 def local_path(uri: str) -> str | None:
