@@ -1,10 +1,14 @@
 """Exact k-nearest-neighbour search.
 
-Queries of up to ``MAX_QUERY_BYTES`` go to every task as one block: tasks stream the corpus in Arrow batches, score each
-batch against the block by one matrix product, and keep only the k best of each query. Larger sets of queries are written
-to the shared folder and never pass through the driver: a task holds ``CHUNK_BYTES`` of its rows at a time and reads the
-queries past them block by block, so the corpus is read once. Either way a partition, or a chunk of it, sends at most k
-rows a query to the merge. The order is total: score, then neighbour id.
+Queries of up to ``BLOCK_BYTES`` go to every task as one block: tasks stream the corpus in Arrow batches, score each batch
+against the block by matrix products of bounded size, and keep only the k best of each query; a partition sends at most k
+rows a query to the merge. For larger sets of queries the rows are written to the shared folder, and the tasks are dealt
+the queries: a task holds ``OWN_BYTES`` of them at a time, with their k best, and reads all rows past them, so each query
+is told of once and neither side goes through the driver. What may be among the k best is scored again by sums in order
+of place, as SQL sums them, so the order is total wherever a row stands: score, then neighbour id.
+
+Other searches (``searched``) broadcast up to ``MAX_QUERY_BYTES``; above, their tasks hold ``CHUNK_BYTES`` of rows at a time
+and read the queries past them from the shared folder.
 """
 
 from __future__ import annotations
@@ -23,6 +27,11 @@ from tessera.session import open_fs, store
 
 MAX_QUERY_BYTES = 64 << 20
 CHUNK_BYTES = 256 << 20
+BLOCK_BYTES = 4 << 20
+OWN_BYTES = 16 << 20
+#: Rows that are scored at once, scores of a tile of queries and rows, and pairs that are scored again at once.
+ROWS, TILE, PAIRS = 4096, 1 << 20, 1 << 15
+_NONE = np.iinfo(np.int64).max
 METRICS = ("cosine", "l2sq", "dot")
 
 
@@ -59,32 +68,101 @@ def _best(key: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return near[np.lexsort((ids[near], key[near]))[:k]]
 
 
+def _summed(a: np.ndarray, b: np.ndarray | None = None, minus: bool = False) -> np.ndarray:
+    """Sums over the places (first axis) of a * b, or of (a - b) ** 2, one after the other."""
+    out = np.zeros(a.shape[1])
+    for i in range(len(a)):
+        x = a[i] - b[i] if minus else a[i]
+        out += x * (x if minus or b is None else b[i])
+    return out
+
+
+class _Side:
+    """Vectors of one side: by place, their sums of squares, and as they enter the matrix product."""
+
+    def __init__(self, metric: str, vectors: np.ndarray):
+        self.by_place = np.ascontiguousarray(vectors.T)
+        self.squares = _summed(self.by_place)
+        self.norms = np.sqrt(self.squares)
+        whole = self.norms >= TINY
+        self.near = np.where(whole[:, None], vectors / np.where(whole, self.norms, 1)[:, None], 0.0) if metric == "cosine" else vectors
+        self.whole = whole
+
+    def __len__(self) -> int:
+        return len(self.near)
+
+
+def _keys(metric: str, q: _Side, r: _Side, qi: np.ndarray, ri: np.ndarray) -> np.ndarray:
+    """Exact keys (the smaller the nearer) of pairs of queries and rows."""
+    out = np.empty(len(qi))
+    for lo in range(0, len(qi), PAIRS):
+        i, j = qi[lo : lo + PAIRS], ri[lo : lo + PAIRS]
+        a, b = np.take(q.by_place, i, 1), np.take(r.by_place, j, 1)
+        if metric == "l2sq":
+            out[lo : lo + PAIRS] = _summed(a, b, True)
+            continue
+        s = _summed(a, b)
+        if metric == "cosine":
+            whole = q.whole[i] & r.whole[j]
+            s = np.where(whole, np.clip(s / np.sqrt(np.where(whole, q.squares[i] * r.squares[j], 1)), -1, 1), 0.0)
+        out[lo : lo + PAIRS] = -s
+    return out
+
+
 def _searcher(metric: str, k: int, threshold: float | None, exclude_self: bool):
     sign = 1.0 if metric == "l2sq" else -1.0
+    most = np.inf if threshold is None else sign * threshold
+
+    def tile(q: _Side, r: _Side, lo: int, ids: np.ndarray, own_ids: np.ndarray, key: np.ndarray, own: np.ndarray) -> None:
+        """Merge a block of rows into key and own, the k best so far of the queries from lo on, in place."""
+        at = slice(lo, lo + len(key))
+        s = q.near[at] @ r.near.T
+        slack = np.full(len(key), 1e-11)
+        if metric == "l2sq":
+            s = q.squares[at, None] + r.squares[None, :] - 2 * s
+            slack *= q.squares[at] + r.squares.max() + TINY
+        else:
+            np.negative(s, out=s)
+            if metric == "dot":
+                slack *= q.norms[at] * r.norms.max() + TINY
+        limit = np.minimum(np.where(own[:, -1] == _NONE, np.inf, key[:, -1]), most)
+        may = ~(s > (limit + slack)[:, None])  # not-a-number may
+        if len(ids) > k and np.count_nonzero(may) > 4 * k * len(key):
+            if exclude_self:
+                s[own_ids[:, None] == ids[None, :]] = np.inf
+            edge = np.partition(s, k - 1, axis=1)[:, k - 1]
+            may &= ~(s > (edge + slack)[:, None])
+        i, j = np.nonzero(may)
+        if exclude_self:
+            others = own_ids[i] != ids[j]
+            i, j = i[others], j[others]
+        new = _keys(metric, q, r, i + lo, j)
+        right = ~(new > most)
+        i, j, new = i[right], j[right], new[right]
+        if not len(i):
+            return
+        touched, place = np.unique(i, return_inverse=True)
+        n = len(touched)
+        place = np.concatenate((place, np.repeat(np.arange(n), k)))
+        both, who = np.concatenate((new, key[touched].ravel())), np.concatenate((ids[j], own[touched].ravel()))
+        order = np.lexsort((who, both, place))
+        nth = np.arange(len(order)) - np.searchsorted(place[order], np.arange(n))[place[order]]
+        best = order[nth < k]
+        key[touched], own[touched] = both[best].reshape(n, k), who[best].reshape(n, k)
 
     def run(query_ids: np.ndarray, queries: np.ndarray, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [(np.zeros(0), np.zeros(0, np.int64)) for _ in query_ids]
+        n, step = len(query_ids), max(1, TILE // ROWS)
+        q = _Side(metric, queries)
+        key, own = np.full((n, k), np.nan), np.full((n, k), _NONE)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            ids = batch.column(0).to_numpy()
-            for lo in range(0, len(ids), 4096):
-                part = ids[lo : lo + 4096]
-                s = scores(metric, queries, matrix(batch.column(1).slice(lo, 4096)))
-                for i, (key, own) in enumerate(held):
-                    row = s[i]
-                    ok = np.ones(len(part), bool) if threshold is None else (row >= threshold if sign < 0 else row <= threshold)
-                    if exclude_self:
-                        ok &= part != query_ids[i]
-                    if len(key) == k:
-                        ok &= sign * row <= key[-1]
-                    if ok.any():
-                        key, own = np.concatenate((key, sign * row[ok])), np.concatenate((own, part[ok]))
-                        best = _best(key, own, k)
-                        held[i] = key[best], own[best]
-        n = [len(key) for key, _ in held]
-        if sum(n):
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(query_ids, n)), pa.array(np.concatenate([o for _, o in held])), pa.array(sign * np.concatenate([key for key, _ in held]))], names=["query_id", "neighbor_id", "score"])
+            for lo in range(0, batch.num_rows, ROWS):
+                ids, r = batch.column(0).slice(lo, ROWS).to_numpy(), _Side(metric, matrix(batch.column(1).slice(lo, ROWS)))
+                for at in range(0, n, step):
+                    tile(q, r, at, ids, query_ids[at : at + step], key[at : at + step], own[at : at + step])
+        for at in range(0, n, ROWS):
+            told = own[at : at + ROWS] != _NONE
+            if told.any():
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(query_ids[at : at + ROWS], told.sum(1))), pa.array(own[at : at + ROWS][told]), pa.array(sign * key[at : at + ROWS][told])], names=["query_id", "neighbor_id", "score"])
 
     return run
 
@@ -122,16 +200,21 @@ def _chunks(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[list[pa.R
         yield held
 
 
-def _stored_blocks(files: list[str], limit: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(ids, vectors) of at most ``limit`` bytes (or one row) at a time from files of the shared folder."""
+def _stored(files: list[str]) -> Iterator[pa.RecordBatch]:
+    """Batches of (id, vector) from files of the shared folder."""
     for uri in files:
         fs, path = open_fs(uri)
         with fs.open_input_file(path) as source:
-            for batch in pq.ParquetFile(source).iter_batches(batch_size=4096):
-                ids, rows = batch.column(0).to_numpy(), matrix(batch.column(1))
-                size = max(1, limit // max(1, 8 * rows.shape[1]))
-                for lo in range(0, len(ids), size):
-                    yield ids[lo : lo + size], rows[lo : lo + size]
+            yield from pq.ParquetFile(source, buffer_size=1 << 20).iter_batches(batch_size=ROWS)
+
+
+def _stored_blocks(files: list[str], limit: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids, vectors) of at most ``limit`` bytes (or one row) at a time from files of the shared folder."""
+    for batch in _stored(files):
+        ids, rows = batch.column(0).to_numpy(), matrix(batch.column(1))
+        size = max(1, limit // max(1, 8 * rows.shape[1]))
+        for lo in range(0, len(ids), size):
+            yield ids[lo : lo + size], rows[lo : lo + size]
 
 
 def searched(rows: DataFrame, queries: DataFrame, run: Callable, prune: Callable[[np.ndarray], Column] | None = None) -> DataFrame:
@@ -160,6 +243,26 @@ def searched(rows: DataFrame, queries: DataFrame, run: Callable, prune: Callable
     return rows.mapInArrow(past, kind)
 
 
+def _told_once(rows: DataFrame, queries: DataFrame, run: Callable) -> DataFrame:
+    """As ``searched``, with each query told of by one task: a block is broadcast, more are dealt to tasks that read all rows."""
+    spark, kind = rows.sparkSession, "query_id long, neighbor_id long, score double"
+    blocks = query_blocks(queries, queries.columns[1], min(BLOCK_BYTES, MAX_QUERY_BYTES))
+    first = next(blocks, None)
+    if first is None:
+        return spark.createDataFrame([], kind)
+    if next(blocks, None) is None:
+        shared = spark.sparkContext.broadcast(first)
+        return rows.mapInArrow(lambda batches: run(*shared.value, batches), kind)
+    files, limit = sorted(store(rows, "rows").inputFiles()), OWN_BYTES
+
+    def past(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in _chunks(batches, limit):
+            asked = pa.Table.from_batches(held)
+            yield from run(asked.column(0).to_numpy(), matrix(asked.column(1)), _stored(files))
+
+    return queries.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(past, kind)
+
+
 def knn(corpus: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", *, id: str = "vec_id", vector: str = "embedding", threshold: float | None = None, exclude_self: bool = False, where: Column | None = None) -> DataFrame:  # noqa: A002
     """query_id, rank, neighbor_id, score of the k nearest corpus rows of each query.
 
@@ -170,7 +273,7 @@ def knn(corpus: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", *
         raise ValueError(f"metric is {metric!r}")
     rows = corpus.filter(where) if where is not None else corpus
     rows, asked = (df.filter(F.col(vector).isNotNull()).select(F.col(id).cast("long"), vector) for df in (rows, queries))
-    found = searched(rows, asked, _searcher(metric, k, threshold, exclude_self))
+    found = _told_once(rows, asked, _searcher(metric, k, threshold, exclude_self))
     return ranked(found, k, metric == "l2sq").select("query_id", "rank", "neighbor_id", "score")
 
 

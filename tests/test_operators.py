@@ -283,6 +283,41 @@ def test_versions_of_a_collection_are_whole(spark, tmp_path):
     assert len(list((tmp_path / "c").glob("version=*"))) == 2
 
 
+def test_exact_search_holds_scores_tile_by_tile():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    q, rows = rng.normal(size=(6000, 4)), rng.normal(size=(4096, 4))
+    rows[2048:] = rows[:2048]  # copies, the later ones of smaller id
+    ids = np.arange(4096)[::-1].copy()
+    vectors = pa.ListArray.from_arrays(pa.array(np.arange(0, 4 * 4096 + 1, 4), pa.int32()), pa.array(rows.ravel()))
+    batch = pa.RecordBatch.from_arrays([pa.array(ids), vectors], names=["id", "vector"])
+    for metric, key in (("cosine", -(q @ rows.T) / np.linalg.norm(q, axis=1)[:, None] / np.linalg.norm(rows, axis=1)), ("l2sq", ((q[:, None, :] - rows[None, :, :]) ** 2).sum(2)), ("dot", -(q @ rows.T))):
+        tracemalloc.start()
+        got = pa.Table.from_batches(knn._searcher(metric, 4, None, False)(np.arange(6000), q, iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 96 << 20  # scores of all queries and rows at once are 196 MB
+        found = got["neighbor_id"].to_numpy().reshape(-1, 4)
+        for i in range(0, 6000, 500):
+            assert list(found[i]) == [int(ids[j]) for j in np.lexsort((ids, np.round(key[i], 12)))[:4]]
+
+
+@pytest.mark.parametrize("name", ["knn_self_all", "semantic_edges", "pruned_graph", "graph_stats", "flat_adjacency", "beam_search"])
+def test_searches_of_all_rows_are_dealt_to_tasks_with_the_same_result(spark, sf, monkeypatch, name):
+    from tessera.plans.catalogue import queries
+
+    rows = lambda: sorted(tuple(round(x, 6) if isinstance(x, float) else x for x in r) for r in queries()[name](spark, sf).collect())
+    whole = rows()
+    monkeypatch.setattr(knn, "BLOCK_BYTES", 64 * 8 * 9)
+    monkeypatch.setattr(knn, "OWN_BYTES", 1)
+    stored = []
+    monkeypatch.setattr(knn, "store", lambda df, name: stored.append(name) or store(df.repartition(3), name))
+    assert rows() == whole and "rows" in stored
+
+
 def test_mojibake_and_byte_pairs(spark):
     from tessera.plans.more import BYTE_PAIRS, public_tokenizers
 
