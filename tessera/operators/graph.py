@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -13,10 +14,10 @@ from pyspark.sql.window import Window
 from tessera.functions.ids import order_key
 from tessera.functions.vector import cosine
 from tessera.operators.components import cut
-from tessera.operators.knn import knn, matrix, numbered_rows
+from tessera.operators.knn import knn, matrix, numbered_rows, stored_batches
 
 DEGREE = 64
-MAX_GRAPH_BYTES = 512 << 20
+MAX_GRAPH_BYTES = 256 << 20
 
 
 def supporting_edges(nodes: DataFrame, mode: str = "reference", keys: tuple[str, ...] = ("wsi_id",)) -> DataFrame:
@@ -101,30 +102,23 @@ def flattened(edges: DataFrame, degree: int = DEGREE) -> DataFrame:
 def beam_search(index: DataFrame, queries: DataFrame, k: int = 10, buffer: int = 200, expand: int = 2, max_iters: int = 20, starts: int = 128, seed: int = 42) -> DataFrame:
     """query_id, rank, neighbor_id, score by best-first search over index(node, embedding, adj).
 
-    The index goes to every task only if its size, checked first, is under ``MAX_GRAPH_BYTES``; a larger one stays where it
-    is, and the same search reads the nodes of each step by joins. Start nodes are a seeded draw for each query; a sorted
+    The tasks read the whole index from the shared folder only if its size, checked first, is under ``MAX_GRAPH_BYTES``; of a
+    larger one the same search reads the nodes of each step by joins. Start nodes are a seeded draw for each query; a sorted
     buffer of the best nodes is merged with each step's neighbours; the search ends when a step adds nothing.
     """
-    spark = index.sparkSession
     index = cut(index.select("node", "embedding", "adj"))
     size = index.agg(F.sum(F.size("embedding") * 8 + F.size("adj") * 8 + 16)).first()[0] or 0
     if size > MAX_GRAPH_BYTES:
         return _searched_by_joins(index, queries, k, buffer, expand, max_iters, starts, seed)
-    rows = index.orderBy("node").toArrow()
-    ids = rows["node"].to_numpy()
-    vectors, near = matrix(rows["embedding"]), matrix(rows["adj"]).astype(np.int64)
-    at = np.minimum(np.searchsorted(ids, near), len(ids) - 1)
-    adj = np.where(ids[at] == near, at, -1)
-    norms = np.linalg.norm(vectors, axis=1)
-    shared = spark.sparkContext.broadcast((ids, vectors, norms, adj))
+    files = tuple(sorted(index.inputFiles()))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, vectors, norms, adj = shared.value
+        ids, vectors, norms, adj = _graph(files)
         for pdf in batches:
             out = []
             for query_id, q in zip(pdf["vec_id"], pdf["embedding"], strict=True):
                 q = np.asarray(q, np.float64)
-                near = lambda at: vectors[at] @ q / (norms[at] * np.linalg.norm(q) + 1e-8)  # noqa: B023, E731
+                near = lambda at: vectors[at].astype(np.float64) @ q / (norms[at] * np.linalg.norm(q) + 1e-8)  # noqa: B023, E731
                 frontier = _drawn(seed, int(query_id), len(ids), starts)
                 seen = best = frontier
                 score = near(frontier)
@@ -153,6 +147,27 @@ def beam_search(index: DataFrame, queries: DataFrame, k: int = 10, buffer: int =
     return queries.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInPandas(run, "query_id long, rank long, neighbor_id long, score double")
 
 
+@lru_cache(maxsize=1)
+def _graph(files: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Nodes in order, their vectors, norms and neighbours' places (-1: none), kept by a worker for its further tasks."""
+    parts = [(b.column(0).to_numpy(), matrix(b.column(1)).astype(np.float32), b.column(2).flatten().to_numpy().reshape(b.num_rows, -1)) for b in stored_batches(files)]
+    if not parts:
+        return np.zeros(0, np.int64), np.zeros((0, 0), np.float32), np.zeros(0), np.zeros((0, 0), np.int32)
+    ids = np.concatenate([p[0] for p in parts])
+    order = np.argsort(ids, kind="stable")
+    place = np.empty(len(ids), np.int64)
+    place[order] = np.arange(len(ids))
+    ids = ids[order]
+    vectors, adj, norms = np.empty((len(ids), parts[0][1].shape[1]), np.float32), np.empty((len(ids), parts[0][2].shape[1]), np.int32), np.empty(len(ids))
+    lo = 0
+    for _, rows, near in parts:
+        to = place[lo : lo + len(rows)]
+        at = np.minimum(np.searchsorted(ids, near), len(ids) - 1)
+        vectors[to], adj[to], norms[to] = rows, np.where(ids[at] == near, at, -1), np.linalg.norm(rows.astype(np.float64), axis=1)
+        lo += len(rows)
+    return ids, vectors, norms, adj
+
+
 def _drawn(seed: int, query_id: int, n: int, starts: int) -> np.ndarray:
     """Start positions of a query, drawn without a permutation of all n."""
     return np.random.default_rng([seed, query_id]).choice(n, min(n, starts), replace=False, shuffle=False)

@@ -13,7 +13,7 @@ and read the queries past them from the shared folder.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -200,7 +200,7 @@ def _chunks(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[list[pa.R
         yield held
 
 
-def _stored(files: list[str]) -> Iterator[pa.RecordBatch]:
+def stored_batches(files: Sequence[str]) -> Iterator[pa.RecordBatch]:
     """Batches of (id, vector) from files of the shared folder."""
     for uri in files:
         fs, path = open_fs(uri)
@@ -210,7 +210,7 @@ def _stored(files: list[str]) -> Iterator[pa.RecordBatch]:
 
 def _stored_blocks(files: list[str], limit: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(ids, vectors) of at most ``limit`` bytes (or one row) at a time from files of the shared folder."""
-    for batch in _stored(files):
+    for batch in stored_batches(files):
         ids, rows = batch.column(0).to_numpy(), matrix(batch.column(1))
         size = max(1, limit // max(1, 8 * rows.shape[1]))
         for lo in range(0, len(ids), size):
@@ -258,7 +258,7 @@ def _told_once(rows: DataFrame, queries: DataFrame, run: Callable) -> DataFrame:
     def past(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held in _chunks(batches, limit):
             asked = pa.Table.from_batches(held)
-            yield from run(asked.column(0).to_numpy(), matrix(asked.column(1)), _stored(files))
+            yield from run(asked.column(0).to_numpy(), matrix(asked.column(1)), stored_batches(files))
 
     return queries.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(past, kind)
 
@@ -307,16 +307,22 @@ def shard_batches(names: DataFrame, size: int = 100, force: bool = False, order:
     return shard.crossJoin(F.broadcast(total)).filter(F.col("shard_id") < F.floor(F.col("_n") / size)).drop("_row", "_n")
 
 
-def numbered_rows(df: DataFrame, *order: str) -> DataFrame:
-    """df with _row, its place from 0 in the total order, by range partitions and a prefix sum of their counts."""
+def numbered_rows(df: DataFrame, *order: str | Column) -> DataFrame:
+    """df with _row, its place from 0 in the total order, by range partitions and a prefix sum of their counts.
+
+    The sorted partitions are stored before they are counted: laid out twice, ranges may be cut at other places, as they
+    are drawn from a sample.
+    """
     parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    laid = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
-    counts = laid.groupBy("_part").agg(F.count("*").alias("_n"))
+    # The high bits of the id are the partition, the low 33 the place inside it.
+    laid = store(df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "numbered")
+    part = F.shiftrightunsigned("_at", 33).alias("_part")
+    counts = laid.groupBy(part).agg(F.count("*").alias("_n"))
     before = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    inside = Window.partitionBy("_part").orderBy(*order)
     # One row for each partition.
-    return laid.withColumn("_in", F.row_number().over(inside) - 1).join(F.broadcast(starts), "_part").withColumn("_row", (F.col("_start") + F.col("_in")).cast("long")).drop("_part", "_in", "_start")
+    placed = laid.withColumn("_part", F.shiftrightunsigned("_at", 33)).join(F.broadcast(starts), "_part")
+    return placed.withColumn("_row", F.col("_start") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_part", "_at", "_start")
 
 
 def positional(hits: DataFrame, infos: DataFrame, keys: tuple[str, ...] = ("shard_id", "local_idx")) -> DataFrame:

@@ -318,6 +318,27 @@ def test_searches_of_all_rows_are_dealt_to_tasks_with_the_same_result(spark, sf,
     assert rows() == whole and "rows" in stored
 
 
+def test_places_are_dense_where_ranges_are_sampled(spark):
+    rows = spark.range(300_000, numPartitions=1).select(F.xxhash64("id").alias("key"), F.repeat(F.lit("x"), 9).alias("more"))
+    got = knn.numbered_rows(rows, "key").select("_row", "key").orderBy("_row").toPandas()
+    assert (got["_row"] == np.arange(300_000)).all() and got["key"].is_monotonic_increasing
+
+
+def test_thresholds_of_a_running_sum_equal_sql_with_ties_and_nulls(spark):
+    import duckdb
+    import pandas as pd
+
+    t = pd.DataFrame({"k": [3, 1, 1, 2, None, 2, 5], "n": [4, 1, 2, None, 9, 3, 0]}).astype("Int64")
+    con = duckdb.connect()
+    con.register("t", t)
+    df = spark.createDataFrame([tuple(None if pd.isna(x) else int(x) for x in r) for r in t.itertuples(index=False)], "k long, n int")
+    wanted = con.execute("""WITH s AS (SELECT row_number() OVER (ORDER BY k) AS position, sum(n) OVER (ORDER BY k) AS running FROM t), x AS (SELECT unnest([0, 2, 5, 12, 100]) AS threshold)
+     SELECT threshold, min(CASE WHEN running > threshold THEN position END), min(CASE WHEN running > threshold THEN running END) FROM s, x GROUP BY threshold""").fetchall()
+    rows = lambda df: sorted(tuple(r) for r in metrics.cumulative_thresholds(df, "k", "n", (0, 2, 5, 12, 100)).collect())
+    assert rows(df) == sorted((int(a), b, None if c is None else int(c)) for a, b, c in wanted)
+    assert rows(df.limit(0)) == []
+
+
 def test_mojibake_and_byte_pairs(spark):
     from tessera.plans.more import BYTE_PAIRS, public_tokenizers
 
