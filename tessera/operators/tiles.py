@@ -26,6 +26,13 @@ def tile_grid(slides: DataFrame, size: int = 256, first_level: int = 0) -> DataF
     return rows.select(*[c for c in slides.columns if c != "levels"], F.col("_l.level").alias("level"), "x", "y", F.lit(size).alias("w"), F.lit(size).alias("h"))
 
 
+def scanned(grid: DataFrame, patches: DataFrame, keys: Sequence[str] = ("slide_no", "level")) -> DataFrame:
+    """The tiles of grid(keys, x, y, w, h) that patches(keys, gx, gy) have, each as often as they have it."""
+    at = patches.select(*keys, F.col("gx").alias("_gx"), F.col("gy").alias("_gy"))
+    places = grid.withColumn("_gx", F.floor(F.col("x") / F.col("w")).cast("int")).withColumn("_gy", F.floor(F.col("y") / F.col("h")).cast("int"))
+    return places.join(at, [*keys, "_gx", "_gy"]).drop("_gx", "_gy").select(*grid.columns)
+
+
 def whole_tiles(images: DataFrame, size: int = 224) -> DataFrame:
     """Tiles that do not overlap; partial ones are dropped. images: width, height and other columns."""
     s = F.lit(size)

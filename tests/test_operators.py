@@ -339,6 +339,18 @@ def test_thresholds_of_a_running_sum_equal_sql_with_ties_and_nulls(spark):
     assert rows(df.limit(0)) == []
 
 
+def test_tile_grid_equals_its_sql_on_a_partly_scanned_slide(spark, sf, tmp_path):
+    import duckdb
+
+    from tessera.plans import catalogue
+
+    spark.read.parquet(f"{sf}/embeddings.parquet").filter("vec_id < 125 OR vec_id IN (207, 290)").write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    got = catalogue.queries()["tile_grid"](spark, str(tmp_path)).select("slide_no", "level", "x", "y", "w", "h")
+    assert sorted(tuple(r) for r in got.collect()) == sorted(con.execute(catalogue.oracle_sql()["tile_grid"]).fetchall())
+
+
 def test_mojibake_and_byte_pairs(spark):
     from tessera.plans.more import BYTE_PAIRS, public_tokenizers
 
