@@ -7,12 +7,17 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType
 
 START, END = 49406, 49407
+#: Bytes of texts whose encodings are held at once; the tokenizer keeps over a hundred bytes a token.
+ENCODED = 1 << 20
 
 
 def whitespace_clean(text: Column) -> Column:
@@ -78,14 +83,29 @@ def _byte_pairs(path: str):
     return t
 
 
+def _slices(texts: pa.Array) -> Iterator[pa.Array]:
+    """Stretches of texts of about ENCODED bytes, or one text."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    lo = 0
+    while lo < len(texts):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + ENCODED, "right")))
+        yield texts.slice(lo, hi - lo)
+        lo = hi
+
+
 def byte_pair_ids(text: Column, path: str) -> Column:
     """Ids of cleaned lower-case text under the byte-pair vocabulary at path."""
 
-    @F.pandas_udf(ArrayType(IntegerType()))
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf(ArrayType(IntegerType()))
+    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         t = _byte_pairs(path)
-        for s in batches:
-            yield pd.Series([e.ids for e in t.encode_batch(s.fillna("").tolist(), add_special_tokens=False)])
+        for batch in batches:
+            ids, ends = [np.zeros(0, np.int32)], [0]
+            for some in _slices(batch):
+                for e in t.encode_batch_fast([x or "" for x in some.to_pylist()], add_special_tokens=False):
+                    ids.append(np.array(e.ids, np.int32))
+                    ends.append(ends[-1] + len(ids[-1]))
+            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids)))
 
     return encode(lower_clean(text))
 
@@ -101,12 +121,12 @@ def byte_pair_text(ids: Column, path: str) -> Column:
     """The text of ids, a blank after each word; ids that stand for no text are left out."""
     byte_of = {sign: b for b, sign in byte_signs().items()}
 
-    @F.pandas_udf(StringType())
-    def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf(StringType())
+    def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         t = _byte_pairs(path)
-        for s in batches:
-            words = ("".join(t.id_to_token(int(i)) for i in x if i < START).split("</w>") for x in s)
-            yield pd.Series([" ".join(bytes(byte_of[c] for c in w).decode(errors="replace") for w in x) for x in words])
+        for batch in batches:
+            words = ("".join(t.id_to_token(i) for i in x.as_py() if i < START).split("</w>") for x in batch)
+            yield pa.array((" ".join(bytes(byte_of[c] for c in w).decode(errors="replace") for w in x) for x in words), pa.string())
 
     return decode(ids)
 

@@ -351,6 +351,14 @@ def test_tile_grid_equals_its_sql_on_a_partly_scanned_slide(spark, sf, tmp_path)
     assert sorted(tuple(r) for r in got.collect()) == sorted(con.execute(catalogue.oracle_sql()["tile_grid"]).fetchall())
 
 
+def test_byte_pairs_are_encoded_in_slices_of_bounded_bytes(spark, monkeypatch):
+    import pyarrow as pa
+
+    texts = pa.array(["ab", None, "x" * 50, "", "é" * 4, "yy"])
+    monkeypatch.setattr(text, "ENCODED", 10)
+    assert [s.to_pylist() for s in text._slices(texts)] == [["ab", None], ["x" * 50], ["", "é" * 4, "yy"]] and list(text._slices(texts[:0])) == []
+
+
 def test_mojibake_and_byte_pairs(spark):
     from tessera.plans.more import BYTE_PAIRS, public_tokenizers
 
