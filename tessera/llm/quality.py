@@ -234,19 +234,29 @@ def train(texts: pa.Array, bad: np.ndarray) -> Model | None:
     return Model(weights.reshape(_FAMILIES, -1), bias, slope, shift)
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, limit: int, which=None) -> pa.Table:
-    """text and label of at most ``limit`` labelled rows, those of smallest hash of doc_id; bounded, so it may go to the driver."""
+def labelled(docs: DataFrame, labels: DataFrame, label: str, limit: int, which=None) -> DataFrame:
+    """text and label of at most ``limit`` labelled rows, those of smallest hash of doc_id; bounded, so one task may hold it."""
     rows = labels.select("doc_id", label).filter(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1))
     if which is not None:
         rows = rows.filter(which)
     few = rows.orderBy(F.xxhash64("doc_id"), "doc_id", label).limit(limit)
     short = docs.select("doc_id", "text").filter(F.coalesce(F.octet_length("text"), F.lit(0)) <= TEXT_BYTES)
-    return short.join(F.broadcast(few), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).select("text", F.col(label).cast("int").alias(label)).toArrow()
+    return short.join(F.broadcast(few), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).select("text", F.col(label).cast("int").alias(label))
 
 
 def fitted(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> Model | None:
-    sample = labelled(docs, labels, "quality", limit)
-    return train(sample["text"], 1 - sample["quality"].to_numpy())
+    """The model, trained by one task on its bounded sample; the driver gets its 2 MB alone."""
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [b for b in batches if b.num_rows]
+        if parts:
+            sample = pa.Table.from_batches(parts)
+            m = train(sample["text"], 1 - sample["quality"].to_numpy())
+            if m is not None:
+                yield pa.RecordBatch.from_pylist([{"weights": m.weights.astype(np.float32).tobytes(), "bias": m.bias, "slope": m.slope, "shift": m.shift}])
+
+    found = labelled(docs, labels, "quality", limit).coalesce(1).mapInArrow(fit, "weights binary, bias double, slope double, shift double").toArrow().to_pylist()
+    return Model(np.frombuffer(found[0]["weights"], np.float32).reshape(_FAMILIES, -1), found[0]["bias"], found[0]["slope"], found[0]["shift"]) if found else None
 
 
 _JUDGED = {"n_words": pa.int64(), "word_chars": pa.int64(), "n_symbols": pa.int64(), "n_dup_lines": pa.int64(), "n_repeat_words": pa.int64(), "base_failed": pa.bool_(), "kept": pa.bool_(), "bad_probability": pa.float64()}

@@ -266,6 +266,16 @@ def labelled_texts(n: int, mark: str, seed: int = 1) -> tuple[list[str], np.ndar
     return texts, y
 
 
+def test_quality_is_trained_by_a_task(spark, monkeypatch):
+    def here(*_):
+        raise AssertionError("trained on the driver")
+
+    monkeypatch.setattr(quality, "_fit", here)
+    docs = spark.createDataFrame([(i, f"{'good' if i % 2 else 'bad'} words {i % 7} in a text") for i in range(80)], "doc_id long, text string")
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).alias("quality"))
+    assert quality.fitted(docs, labels).weights.shape == (4, 1 << quality.BITS) and quality.fitted(docs, labels.limit(0)) is None
+
+
 def test_quality_on_held_out_rows(spark):
     texts, y = labelled_texts(600, "%%&&")
     docs = spark.createDataFrame([(i, t, "en", True) for i, t in enumerate(texts)] + [(9000 + i, t, "en", False) for i, t in enumerate(ODD)], "doc_id long, text string, lang string, kept boolean")
