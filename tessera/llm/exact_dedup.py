@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import fresh, store
+from tessera.llm.shared import fresh, repeated, store
 from tessera.operators.components import lookup
 
 #: log2 of the number of runs that one merge takes.
@@ -132,13 +132,12 @@ def duplicates(docs: DataFrame, keep: str = "largest") -> DataFrame:
 def deduplicate(docs: DataFrame, keep: str = "largest") -> DataFrame:
     """The rows of docs that stay, one for each distinct text, with all their columns.
 
-    Rows are numbered as they are read; of rows that share the doc_id that stays, the first stays. Texts move only where
-    the rows that go are too many to be sent to every task.
+    Rows are numbered as they are read; of rows that share the doc_id that stays, the first stays. Texts are not shuffled.
     """
     row = fresh(docs, "_row")
     numbered = store(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
     digests = store(text_digests(numbered, row), "digests")
     marked = store(_marked(digests.withColumnRenamed(row, "row"), keep).filter("group_size > 1").select("row", "digest", "kept"), "copies")
     first = marked.filter("kept").groupBy("digest").agg(F.min("row").alias("row"))
-    gone = marked.join(first, "row", "left_anti").select(F.col("row").alias(row))
-    return numbered.join(gone, row, "left_anti").select(*docs.columns)
+    gone = marked.join(first, "row", "left_anti").select(F.col("row").alias(row), F.lit(0).alias("n"))
+    return repeated(numbered, row, gone, 1)

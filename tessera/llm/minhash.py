@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import textkernel as K
-from tessera.llm.shared import by_group, store
+from tessera.llm.shared import by_group, fresh, repeated, store
 from tessera.operators.components import UnionFind, connected_components, lookup
 
 WIDTH = 5
@@ -339,6 +339,10 @@ def groups(docs: DataFrame) -> DataFrame:
 
 
 def distinct_rows(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, one document of each group, with all their columns."""
-    gone = groups(docs).filter("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """The rows of docs that stay, one document of each group, with all their columns. What goes is found by numbers of
+    rows, so texts are not shuffled to drop it."""
+    row = fresh(docs, "_row")
+    numbered = store(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    gone = groups(numbered).filter("not kept").select("doc_id").distinct()
+    found = numbered.select(F.col("doc_id").cast("long").alias("doc_id"), row).join(gone, "doc_id", "left_semi")
+    return repeated(numbered, row, found.select(row, F.lit(0).alias("n")), 1)

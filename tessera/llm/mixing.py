@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.llm import textkernel as K
-from tessera.llm.shared import fresh, remove, store
+from tessera.llm.shared import fresh, remove, repeated, store
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -203,9 +203,9 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """docs with every row repeated as often as the mix takes it; rows taken zero times go."""
-    row, n, copy = fresh(docs, "_row"), fresh(docs, "_copies"), fresh(docs, "_copy")
+    """docs with every row repeated as often as the mix takes it; rows taken zero times go. Texts are not shuffled."""
+    row = fresh(docs, "_row")
     # Rows are numbered and written once, so that each has its own number of copies, whatever its doc_id.
     numbered = store(docs.withColumn(row, F.monotonically_increasing_id()), "mix-rows")
-    taken = copies(numbered, row).select(row, F.col("copies").alias(n)).filter(F.col(n) > 0)
-    return numbered.join(taken, row).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*docs.columns)
+    taken = copies(numbered, row).select(row, F.col("copies").alias("n")).filter("n > 0")
+    return repeated(numbered, row, taken, 0)

@@ -5,7 +5,13 @@ from __future__ import annotations
 import os
 import re
 import uuid
+from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,3 +53,55 @@ def by_group(df: DataFrame, key: str, salt: Column, salts: int, aggregates: dict
     whole = partial.groupBy(key).agg(*[merge(F.col(n)).alias(n) for n, (_, merge) in aggregates.items()])
     spread = partial.select(key, "_salt").join(whole, key)
     return salted.join(spread, [key, "_salt"], "left").drop("_salt")
+
+
+#: Bits of a monotonically increasing id that are the place inside its partition.
+_PLACE = 33
+_SLICE = 1024
+
+
+def repeated(numbered: DataFrame, row: str, counts: DataFrame, otherwise: int) -> DataFrame:
+    """numbered without the column ``row``, every row as often as counts(row, n) tells, or ``otherwise`` where they don't.
+
+    numbered is a table of store() whose ``row`` is a monotonically increasing id, so its high bits are the partition that
+    wrote the row. Only the counts are dealt out, to a folder for each such partition; the task that reads rows of a
+    partition reads its counts, and the rows themselves, with their texts, are neither shuffled nor sorted.
+    """
+    path = new_path(numbered.sparkSession, "counts")
+    told = counts.select(F.col(row).alias("row"), F.col("n").cast("long").alias("n")).withColumn("part", F.shiftrightunsigned("row", _PLACE))
+    told.repartition("part").write.partitionBy("part").parquet(path)
+    out = numbered.drop(row)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column(row).to_numpy()
+            n = np.full(len(at), otherwise, np.int64)
+            for part in np.unique(at >> _PLACE).tolist():
+                rows, times = _counts_of(path, part)
+                if len(rows):
+                    mine = np.flatnonzero(at >> _PLACE == part)
+                    i = np.minimum(np.searchsorted(rows, at[mine]), len(rows) - 1)
+                    there = rows[i] == at[mine]
+                    n[mine[there]] = times[i[there]]
+            batch = batch.drop_columns([row])
+            for lo in range(0, len(at), _SLICE):
+                own = n[lo : lo + _SLICE]
+                yield batch.slice(lo, _SLICE).take(pa.array(np.repeat(np.arange(len(own)), own)))
+
+    return numbered.select(*out.columns, row).mapInArrow(run, out.schema)
+
+
+@lru_cache(maxsize=2)
+def _counts_of(path: str, part: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted rows and their numbers that repeated() has written for a partition."""
+    fs, folder = open_fs(f"{path}/part={part}")
+    rows, times = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for file in fs.get_file_info(pafs.FileSelector(folder, allow_not_found=True)):
+        if file.path.endswith(".parquet"):
+            with fs.open_input_file(file.path) as source:
+                got = pq.ParquetFile(source).read(["row", "n"])
+            rows.append(got["row"].to_numpy())
+            times.append(got["n"].to_numpy())
+    rows, times = np.concatenate(rows), np.concatenate(times)
+    order = np.argsort(rows)
+    return rows[order], times[order]

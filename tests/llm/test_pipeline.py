@@ -12,7 +12,7 @@ from test_corpus_operators import encoded, water
 from test_dedup import linked, near_copies
 
 import corpus_pipeline
-from tessera.llm import quality
+from tessera.llm import exact_dedup, minhash, mixing, quality, shared
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _row long, size long"
 
@@ -103,3 +103,27 @@ def test_run_is_its_stages_and_empty_tables_pass(spark, made, tmp_path):
     empty.write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_rows_are_dropped_and_repeated_without_a_shuffle_of_texts(spark, made):
+    docs = spark.read.parquet(f"{made}/documents.parquet").repartition(5)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for stage in (exact_dedup.deduplicate, minhash.distinct_rows, mixing.mix):
+            out = stage(docs)
+            plan = out._jdf.queryExecution().executedPlan().toString()
+            assert "Exchange" not in plan and "Join" not in plan and out.columns == docs.columns and out.count() > 50
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_rows_are_repeated_as_often_as_told(spark):
+    docs = spark.range(5000, numPartitions=3).select("id", F.when(F.col("id") % 7 > 0, F.repeat(F.lit("x"), (F.col("id") % 5).cast("int"))).alias("text"))
+    numbered = shared.store(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    counts = numbered.filter("id % 4 < 3 and id < 4000").select("_row", (F.col("id") % 4).alias("n"))
+    for otherwise in (0, 1):
+        got = shared.repeated(numbered, "_row", counts, otherwise).collect()
+        wanted = {i: i % 4 if i % 4 < 3 and i < 4000 else otherwise for i in range(5000)}
+        assert Counter(r["id"] for r in got) == {i: n for i, n in wanted.items() if n}
+        assert all(r["text"] == ("x" * (r["id"] % 5) if r["id"] % 7 else None) for r in got)
+        assert shared.repeated(numbered, "_row", counts.limit(0), otherwise).count() == 5000 * otherwise
