@@ -271,7 +271,16 @@ def components(edges: DataFrame) -> DataFrame:
 # --- operator ----------------------------------------------------------------------------------------------------
 
 
-def confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+def _texts_of(docs: DataFrame, nodes: DataFrame, row: str | None) -> DataFrame:
+    """id, text of the docs that the distinct ids of nodes name. row: a column as repeated() takes it, with which no text is shuffled."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text", *([row] if row else []))
+    if not row:
+        return texts.join(nodes, "id").select("id", "text")
+    found = texts.select("id", row).join(nodes, "id", "left_semi")
+    return repeated(texts, row, found.select(row, F.lit(1).alias("n")), 0)
+
+
+def confirmed(docs: DataFrame, pairs: DataFrame, row: str | None = None) -> DataFrame:
     """The distinct pairs (a, b) whose full sets reach the similarity. A set is sent once for each pair, and that of a node
     with many partners once for each ``BLOCK`` of them as well."""
     sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("k"))
@@ -279,7 +288,7 @@ def confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     own = sizes.select("a", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("_i"), F.col("a").alias("id"))
     asked = dealt.unionByName(own).withColumn("_j", F.lit(0))
     nodes = asked.select("id").distinct()
-    sets = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(nodes, "id").select("id", "text").mapInArrow(_full_sets, "id long, shingles binary")
+    sets = _texts_of(docs, nodes, row).mapInArrow(_full_sets, "id long, shingles binary")
     rows = asked.join(sets, "id").select("a", "_i", "_j", "id", "shingles").repartition("a", "_i").sortWithinPartitions("a", "_i", "_j", "id")
     return rows.mapInArrow(_confirmed, "a long, b long")
 
@@ -289,7 +298,7 @@ def _labelled(ids: DataFrame, label: DataFrame) -> DataFrame:
     return ids.join(label.withColumnRenamed("label", "part"), "id", "left").withColumn("part", F.coalesce("part", "id"))
 
 
-def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
+def links(docs: DataFrame, classes: DataFrame, row: str | None = None) -> DataFrame:
     """Links (a, b) that join all classes of similarity 0.75 or more. classes: id, n_shingles, sketch."""
     bands = classes.select("id", "sketch").mapInArrow(_bands, "key long, id long")
     shared = store(bands.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("first")).filter("n > 1"), "buckets")
@@ -298,7 +307,7 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     side = lambda k: classes.select(F.col("id").alias(k), F.col("n_shingles").alias(f"n_{k}"), F.col("sketch").alias(f"sketch_{k}"))
     stars = buckets.filter("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
     stars = lookup(stars.join(side("b"), "b"), "a", side("a"), None).mapInArrow(_alike, "a long, b long")
-    found = store(confirmed(docs, store(stars, "alike")), "links")
+    found = store(confirmed(docs, store(stars, "alike"), row), "links")
     # What else its bucket may hold.
     parts = _labelled(buckets, components(found))
     apart = parts.filter("n > 2").groupBy("key").agg(F.min("part").alias("x"), F.max("part").alias("y")).filter("x <> y").select("key")
@@ -307,7 +316,7 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     forest = store(forest.distinct(), "alike")
     if forest.isEmpty():
         return found
-    more = store(found.unionByName(confirmed(docs, forest)), "links")
+    more = store(found.unionByName(confirmed(docs, forest, row)), "links")
     # Families that these links leave apart.
     family = components(found.unionByName(forest))
     parts = _labelled(family, components(more))
@@ -315,14 +324,14 @@ def links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     members = store(lookup(parts, "label", sizes, None), "families")
     if members.isEmpty():
         return more
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(members, "id").select("id", "label", "n", "part", "text")
+    texts = _texts_of(docs, members.select("id").distinct(), row).join(members, "id").select("id", "label", "n", "part", "text")
     full = texts.mapInArrow(_full_sets, "id long, label long, n long, part long, shingles binary")
     dealt = in_blocks(full, "label", "n", BLOCK // 4).select("label", "_i", "_j", "id", "part", "shingles")
     return more.unionByName(dealt.mapInArrow(_forests("label", _similar), "a long, b long"))
 
 
-def groups(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row of docs."""
+def groups(docs: DataFrame, row: str | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every row of docs. row: see _texts_of()."""
     sketched = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_sketch, _SKETCHED)
     sketched = store(sketched, "sketches")
     named = by_group(sketched.drop("sketch"), "digest", F.xxhash64("doc_id"), 64, {"first": (F.min("doc_id"), F.min)})
@@ -332,7 +341,7 @@ def groups(docs: DataFrame) -> DataFrame:
     # A document is tied to the class of its set; classes are tied by links; and rows of one doc_id by that.
     tied = named.filter("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
     several = tied.join(named.filter("n_shingles > 0").groupBy("doc_id").agg(F.countDistinct("digest").alias("k")).filter("k > 1").select(F.col("doc_id").alias("b")), "b", "left_semi").select("a", "b")
-    found = components(links(docs, classes).unionByName(several)).select(F.col("id").alias("first"), "label")
+    found = components(links(docs, classes, row).unionByName(several)).select(F.col("id").alias("first"), "label")
     out = named.join(found, "first", "left")
     component = F.coalesce("label", "first", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
@@ -343,6 +352,6 @@ def distinct_rows(docs: DataFrame) -> DataFrame:
     rows, so texts are not shuffled to drop it."""
     row = fresh(docs, "_row")
     numbered = store(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
-    gone = groups(numbered).filter("not kept").select("doc_id").distinct()
+    gone = groups(numbered, row).filter("not kept").select("doc_id").distinct()
     found = numbered.select(F.col("doc_id").cast("long").alias("doc_id"), row).join(gone, "doc_id", "left_semi")
     return repeated(numbered, row, found.select(row, F.lit(0).alias("n")), 1)
