@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import fresh, repeated, store
+from tessera.llm.shared import fresh, lean, repeated, store
 from tessera.operators.components import lookup
 
 #: log2 of the number of runs that one merge takes.
@@ -105,12 +105,12 @@ def tree_merge(digests: DataFrame, keep: str = "largest", bits: int = BITS) -> D
     depth = max(1, (max(1, digests.rdd.getNumPartitions()) - 1).bit_length())
     lead = F.conv(F.hex(F.substring("digest", 1, 4)), 16, 10).cast("long")
     runs = digests.select(F.pmod(F.spark_partition_id(), F.lit(2**depth)).cast("int").alias("node"), "digest", "length", F.col("doc_id").cast("long").alias("best_id"), F.lit(1).cast("long").alias("n"))
-    runs = runs.mapInArrow(_merge(keep == "largest", False), _RUN)
+    runs = runs.mapInArrow(lean(_merge(keep == "largest", False)), _RUN)
     for fixed in range(bits, depth + bits, bits):
         fixed = min(fixed, depth)
         rest = 2 ** (depth - fixed)
         to = F.shiftright(lead, 32 - fixed) * F.lit(rest) + F.pmod(F.col("node"), F.lit(rest))
-        runs = runs.withColumn("node", to.cast("int")).repartitionById(2**depth, "node").mapInArrow(merge, _RUN)
+        runs = runs.withColumn("node", to.cast("int")).repartitionById(2**depth, "node").mapInArrow(lean(merge), _RUN)
     return runs.drop("node")
 
 

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import textkernel as K
-from tessera.llm.shared import by_group, fresh, repeated, store
+from tessera.llm.shared import by_group, fresh, lean, repeated, store
 from tessera.operators.components import UnionFind, connected_components, lookup
 
 WIDTH = 5
@@ -271,13 +271,13 @@ def components(edges: DataFrame) -> DataFrame:
 # --- operator ----------------------------------------------------------------------------------------------------
 
 
-def _texts_of(docs: DataFrame, nodes: DataFrame, row: str | None) -> DataFrame:
-    """id, text of the docs that the distinct ids of nodes name. row: a column as repeated() takes it, with which no text is shuffled."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text", *([row] if row else []))
+def _sets_of(docs: DataFrame, nodes: DataFrame, row: str | None) -> DataFrame:
+    """id, shingles of the docs that the distinct ids of nodes name. row: a column as repeated() takes it, with which no text is shuffled."""
+    texts, schema = docs.select(F.col("doc_id").cast("long").alias("id"), "text", *([row] if row else [])), "id long, shingles binary"
     if not row:
-        return texts.join(nodes, "id").select("id", "text")
+        return texts.join(nodes, "id").select("id", "text").mapInArrow(lean(_full_sets), schema)
     found = texts.select("id", row).join(nodes, "id", "left_semi")
-    return repeated(texts, row, found.select(row, F.lit(1).alias("n")), 0)
+    return repeated(texts, row, found.select(row, F.lit(1).alias("n")), 0, _full_sets, schema)
 
 
 def confirmed(docs: DataFrame, pairs: DataFrame, row: str | None = None) -> DataFrame:
@@ -288,9 +288,9 @@ def confirmed(docs: DataFrame, pairs: DataFrame, row: str | None = None) -> Data
     own = sizes.select("a", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("_i"), F.col("a").alias("id"))
     asked = dealt.unionByName(own).withColumn("_j", F.lit(0))
     nodes = asked.select("id").distinct()
-    sets = _texts_of(docs, nodes, row).mapInArrow(_full_sets, "id long, shingles binary")
+    sets = _sets_of(docs, nodes, row)
     rows = asked.join(sets, "id").select("a", "_i", "_j", "id", "shingles").repartition("a", "_i").sortWithinPartitions("a", "_i", "_j", "id")
-    return rows.mapInArrow(_confirmed, "a long, b long")
+    return rows.mapInArrow(lean(_confirmed), "a long, b long")
 
 
 def _labelled(ids: DataFrame, label: DataFrame) -> DataFrame:
@@ -300,19 +300,19 @@ def _labelled(ids: DataFrame, label: DataFrame) -> DataFrame:
 
 def links(docs: DataFrame, classes: DataFrame, row: str | None = None) -> DataFrame:
     """Links (a, b) that join all classes of similarity 0.75 or more. classes: id, n_shingles, sketch."""
-    bands = classes.select("id", "sketch").mapInArrow(_bands, "key long, id long")
+    bands = classes.select("id", "sketch").mapInArrow(lean(_bands), "key long, id long")
     shared = store(bands.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("first")).filter("n > 1"), "buckets")
     buckets = store(lookup(bands, "key", shared, None), "bucket-rows")
     # What is alike to the first of its bucket.
     side = lambda k: classes.select(F.col("id").alias(k), F.col("n_shingles").alias(f"n_{k}"), F.col("sketch").alias(f"sketch_{k}"))
     stars = buckets.filter("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
-    stars = lookup(stars.join(side("b"), "b"), "a", side("a"), None).mapInArrow(_alike, "a long, b long")
+    stars = lookup(stars.join(side("b"), "b"), "a", side("a"), None).mapInArrow(lean(_alike), "a long, b long")
     found = store(confirmed(docs, store(stars, "alike"), row), "links")
     # What else its bucket may hold.
     parts = _labelled(buckets, components(found))
     apart = parts.filter("n > 2").groupBy("key").agg(F.min("part").alias("x"), F.max("part").alias("y")).filter("x <> y").select("key")
     left = lookup(parts, "key", apart, None).join(classes, "id")
-    forest = in_blocks(left, "key", "n").select("key", "_i", "_j", "id", "part", "n_shingles", "sketch").mapInArrow(_forests("key", _agreeing), "a long, b long")
+    forest = in_blocks(left, "key", "n").select("key", "_i", "_j", "id", "part", "n_shingles", "sketch").mapInArrow(lean(_forests("key", _agreeing)), "a long, b long")
     forest = store(forest.distinct(), "alike")
     if forest.isEmpty():
         return found
@@ -324,15 +324,14 @@ def links(docs: DataFrame, classes: DataFrame, row: str | None = None) -> DataFr
     members = store(lookup(parts, "label", sizes, None), "families")
     if members.isEmpty():
         return more
-    texts = _texts_of(docs, members.select("id").distinct(), row).join(members, "id").select("id", "label", "n", "part", "text")
-    full = texts.mapInArrow(_full_sets, "id long, label long, n long, part long, shingles binary")
+    full = _sets_of(docs, members.select("id").distinct(), row).join(members, "id")
     dealt = in_blocks(full, "label", "n", BLOCK // 4).select("label", "_i", "_j", "id", "part", "shingles")
-    return more.unionByName(dealt.mapInArrow(_forests("label", _similar), "a long, b long"))
+    return more.unionByName(dealt.mapInArrow(lean(_forests("label", _similar)), "a long, b long"))
 
 
 def groups(docs: DataFrame, row: str | None = None) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row of docs. row: see _texts_of()."""
-    sketched = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_sketch, _SKETCHED)
+    """doc_id, n_shingles, component_id, kept of every row of docs. row: see _sets_of()."""
+    sketched = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(_sketch), _SKETCHED)
     sketched = store(sketched, "sketches")
     named = by_group(sketched.drop("sketch"), "digest", F.xxhash64("doc_id"), 64, {"first": (F.min("doc_id"), F.min)})
     named = store(named.withColumn("first", F.when(F.col("doc_id").isNotNull(), F.coalesce("first", "doc_id"))), "classes")

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.llm import textkernel as K
-from tessera.llm.shared import fresh, remove, repeated, store
+from tessera.llm.shared import fresh, lean, remove, repeated, store
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -56,7 +56,7 @@ def sizes(docs: DataFrame, *keep: str) -> DataFrame:
     """doc_id, source, the columns of keep, size: the number of words of each text."""
     slim = docs.select("doc_id", "source", *keep, "text")
     fields = ", ".join(f"{n} {slim.schema[n].dataType.simpleString()}" for n in ("doc_id", "source", *keep))
-    return slim.mapInArrow(_count_words, f"{fields}, size long")
+    return slim.mapInArrow(lean(_count_words), f"{fields}, size long")
 
 
 def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.llm import textkernel as K
-from tessera.llm.shared import store
+from tessera.llm.shared import lean, store
 
 WINDOW = 1024
 GAP = 12
@@ -422,7 +422,7 @@ def _place_cut(placer):
 def pack(docs: DataFrame, window: int = WINDOW, path: str | None = None, gap: int = GAP) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset of every piece."""
     spark = docs.sparkSession
-    cut = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_cutter(path or _default_path(), window), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary")
+    cut = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(_cutter(path or _default_path(), window)), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary")
     pieces = store(cut.withColumn("piece", F.monotonically_increasing_id()), "pieces")  # numbers stay once written
     salts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     slim = pieces.drop("ids").withColumn("_salt", F.pmod(F.xxhash64("piece"), F.lit(salts)).cast("int"))
@@ -440,8 +440,8 @@ def pack(docs: DataFrame, window: int = WINDOW, path: str | None = None, gap: in
     # window * salts rows of three numbers; they are broadcast only where Spark's size check allows it.
     numbered = numbered.join(starts, ["length", "_salt"]).withColumn("number", F.col("_start") + F.col("_row"))
     numbered = store(numbered.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "piece", "number"), "numbered")
-    whole = numbered.mapInArrow(_place_whole(placer), PACKED)
+    whole = numbered.mapInArrow(lean(_place_whole(placer)), PACKED)
     if not (placer.value.rows[:, 5] > 0).any():
         return whole
-    chosen = numbered.mapInArrow(_select_cut(placer), "piece long, number long")
-    return whole.unionByName(pieces.join(chosen, "piece").select("doc_id", "start", "doc_tokens", "ids", "number").mapInArrow(_place_cut(placer), PACKED))
+    chosen = numbered.mapInArrow(lean(_select_cut(placer)), "piece long, number long")
+    return whole.unionByName(pieces.join(chosen, "piece").select("doc_id", "start", "doc_tokens", "ids", "number").mapInArrow(lean(_place_cut(placer)), PACKED))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -15,7 +15,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.session import folder, new_path, open_fs, remove, store  # noqa: F401
+from tessera.session import folder, lean, new_path, open_fs, remove, store  # noqa: F401
 
 
 def local_path(uri: str) -> str | None:
@@ -60,12 +60,15 @@ _PLACE = 33
 _SLICE = 1024
 
 
-def repeated(numbered: DataFrame, row: str, counts: DataFrame, otherwise: int) -> DataFrame:
+def repeated(numbered: DataFrame, row: str, counts: DataFrame, otherwise: int, then: Callable | None = None, schema: str | None = None) -> DataFrame:
     """numbered without the column ``row``, every row as often as counts(row, n) tells, or ``otherwise`` where they don't.
 
     numbered is a table of store() whose ``row`` is a monotonically increasing id, so its high bits are the partition that
     wrote the row. Only the counts are dealt out, to a folder for each such partition; the task that reads rows of a
     partition reads its counts, and the rows themselves, with their texts, are neither shuffled nor sorted.
+
+    then, schema: a function for mapInArrow that gets these rows in the same worker; a second mapInArrow in the stage
+    would double the workers of an executor and send the texts through the JVM once more.
     """
     path = new_path(numbered.sparkSession, "counts")
     told = counts.select(F.col(row).alias("row"), F.col("n").cast("long").alias("n")).withColumn("part", F.shiftrightunsigned("row", _PLACE))
@@ -86,9 +89,12 @@ def repeated(numbered: DataFrame, row: str, counts: DataFrame, otherwise: int) -
             batch = batch.drop_columns([row])
             for lo in range(0, len(at), _SLICE):
                 own = n[lo : lo + _SLICE]
+                if not own.any():
+                    continue
                 yield batch.slice(lo, _SLICE).take(pa.array(np.repeat(np.arange(len(own)), own)))
 
-    return numbered.select(*out.columns, row).mapInArrow(run, out.schema)
+    whole = (lambda batches: then(run(batches))) if then else run
+    return numbered.select(*out.columns, row).mapInArrow(lean(whole), schema or out.schema)
 
 
 @lru_cache(maxsize=2)

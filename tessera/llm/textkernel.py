@@ -39,19 +39,24 @@ _powers = {}
 
 
 def _power(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64, grown by doubling and kept."""
+    """base**0 .. base**(n-1) modulo 2**64. The first ``_STEPS`` are grown by doubling and kept, the rest are their multiples."""
     have = _powers.get(base)
-    if have is None or len(have) < n:
-        size = 1 << max(16, int(n - 1).bit_length())
-        have = np.ones(size, U)
+    if have is None:
+        have = np.ones(_STEPS, U)
         width = 1
         factor = base
-        while width < size:
+        while width < _STEPS:
             have[width : 2 * width] = have[:width] * U(factor)
             factor = factor * factor % 2**64
             width *= 2
         _powers[base] = have
-    return have[:n]
+    if n <= _STEPS:
+        return have[:n]
+    step = pow(base, _STEPS, 2**64)
+    out = np.empty(n, U)
+    for k in range(0, n, _STEPS):
+        np.multiply(have[: n - k], U(pow(step, k // _STEPS, 2**64)), out=out[k : k + _STEPS])
+    return out
 
 
 _INVERSE = pow(_BASE, -1, 2**64)

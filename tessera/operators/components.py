@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.session import remove, ship, store
+from tessera.session import lean, remove, ship, store
 
 #: Edges that one task may finish by union-find.
 FINISH = 200_000
@@ -93,7 +93,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", t
         if n <= 2 * FINISH:
             ship(rest.sparkSession)
             kind = rest.schema["a"].dataType.simpleString()
-            hooks.append(store(rest.repartition(1).mapInArrow(_finished, f"a {kind}, to {kind}"), "hooks"))
+            hooks.append(store(rest.repartition(1).mapInArrow(lean(_finished), f"a {kind}, to {kind}"), "hooks"))
             break
         order = lambda x: F.struct(F.xxhash64(x, F.lit(rounds)).alias("h"), F.col(x).alias("v"))  # noqa: B023, E731
         near = both.groupBy("a").agg(F.min(order("b")).alias("near")).select("a", F.least(order("a"), "near").alias("near"))

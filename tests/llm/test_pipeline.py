@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import random
+import re
 from collections import Counter, defaultdict
+from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -13,6 +16,8 @@ from test_dedup import linked, near_copies
 
 import corpus_pipeline
 from tessera.llm import exact_dedup, minhash, mixing, quality, shared
+from tessera.llm import textkernel as K
+from tessera.session import lean
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _row long, size long"
 
@@ -127,3 +132,36 @@ def test_rows_are_repeated_as_often_as_told(spark):
         assert Counter(r["id"] for r in got) == {i: n for i, n in wanted.items() if n}
         assert all(r["text"] == ("x" * (r["id"] % 5) if r["id"] % 7 else None) for r in got)
         assert shared.repeated(numbered, "_row", counts.limit(0), otherwise).count() == 5000 * otherwise
+
+
+def test_a_worker_gives_back_what_its_task_has_freed():
+    used = lambda: int(re.search(r"Pss_Anon:\s+(\d+)", Path("/proc/self/smaps_rollup").read_text())[1]) / 1024
+    kept = []
+
+    def run(batches):
+        held = [bytes([i % 251]) * 2000 for i in range(40_000)]
+        kept.append(bytes(2000))  # on top, so that free() alone gives nothing back
+        yield from batches
+        del held
+
+    before = used()
+    assert list(lean(run)(iter([1, 2]))) == [1, 2]
+    assert used() - before < 30
+
+
+def test_a_worker_keeps_few_powers_and_they_are_right():
+    K.Rolling(np.zeros(3 << 20, np.uint8))
+    assert sum(x.nbytes for x in K._powers.values()) < 4 << 20
+    for base in (K._BASE, K._INVERSE):
+        got = K._power(base, 200_001)
+        assert len(got) == 200_001 and all(int(got[i]) == pow(base, i, 2**64) for i in (0, 1, 65_535, 65_536, 65_537, 131_072, 200_000))
+
+
+def test_sets_of_candidates_take_one_worker_a_task(spark, made):
+    docs = shared.store(spark.read.parquet(f"{made}/documents.parquet").drop("_row").withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    nodes = docs.filter("doc_id % 3 = 0").select(F.col("doc_id").cast("long").alias("id")).distinct()
+    pairs = nodes.select(F.col("id").alias("a"), F.col("id").alias("b"))
+    one, two = minhash._sets_of(docs, nodes, "_row"), minhash._sets_of(docs, nodes, None)
+    assert one._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert {(r["id"], bytes(r["shingles"])) for r in one.collect()} == {(r["id"], bytes(r["shingles"])) for r in two.collect()}
+    assert minhash.confirmed(docs, pairs, "_row")._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 2
